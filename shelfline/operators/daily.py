@@ -14,21 +14,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions import flags
+from shelfline.sources.schemas import MEASURE
 
 CELL = ("trans_dt", "store_key", "prod_key")
 
 
 def sales_cells(sales: DataFrame) -> DataFrame:
-    """Transaction lines summed to one row per day, store and product."""
+    """Transaction lines summed to one row per day, store and product.
+
+    Sums go back to ``decimal(18,2)``: up to 18 digits a decimal is one long, in
+    rows, sorts and shuffles alike.  A day's total beyond that fails the cast.
+    """
     return sales.groupBy(*CELL).agg(
         F.count(F.lit(1)).alias("n_lines"),
-        F.sum("sales_qty").alias("sales_qty"),
-        F.sum("sales_price").alias("price_total"),
+        _total("sales_qty").alias("sales_qty"),
+        _total("sales_price").alias("price_total"),
         F.count("sales_price").alias("price_lines"),
-        F.sum("sales_amt").alias("sales_amt"),
-        F.sum("discount").alias("discount"),
-        F.sum("sales_cost").alias("sales_cost"),
-        F.sum("sales_mgrn").alias("sales_mgrn"),
+        _total("sales_amt").alias("sales_amt"),
+        _total("discount").alias("discount"),
+        _total("sales_cost").alias("sales_cost"),
+        _total("sales_mgrn").alias("sales_mgrn"),
     )
 
 
@@ -84,5 +89,9 @@ def with_coded_flags(cells: DataFrame) -> DataFrame:
     )
 
 
+def _total(measure: str) -> Column:
+    return F.sum(measure).cast(MEASURE)
+
+
 def _either(key: str) -> Column:
     return F.coalesce(F.col(f"s.{key}"), F.col(f"i.{key}")).alias(key)

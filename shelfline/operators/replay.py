@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.operators.weekly import WEEK, WEEK_END_DAY, summarise
+from shelfline.operators.weekly import WEEK, WEEK_END_DAY, by_week, summarise
 
 
 def as_of(
@@ -32,7 +32,8 @@ def replay(
     that date.  Which builds ("slots") a day takes part in is worked out on the
     calendar, so the facts meet it in one equi-join on the date and copy a row
     only for as-of dates inside its own week (a NULL slot is the closed build).
-    After the one aggregation, closed rows fan out to the dates they serve.
+    Copies are made and summed where ``by_week`` put the rows, without another
+    shuffle.  Closed rows then fan out to the dates they serve.
     """
     wanted = F.array(*[F.lit(d).cast("date") for d in sorted(set(days))])
     weeks = calendar.groupBy("yr_num", "wk_num").agg(F.max("cal_dt").alias("_close"))
@@ -43,13 +44,12 @@ def replay(
     )
 
     slots = (
-        calendar.select(F.col("cal_dt").alias("_day"), "yr_num", "wk_num", "day_of_wk_num")
+        calendar.select(F.col("cal_dt").alias("_day"), "yr_num", "wk_num")
         .join(weeks, ["yr_num", "wk_num"])
-        .withColumn("_slot", F.explode(F.concat(open_for, closed_slot)))
-        .drop("_close")
+        .select("_day", F.explode(F.concat(open_for, closed_slot)).alias("_slot"))
     )
     built = summarise(
-        cells.join(slots, F.col("trans_dt") == F.col("_day"), "inner"),
+        by_week(cells, calendar).join(slots, F.col("trans_dt") == F.col("_day"), "inner"),
         ("_slot", *WEEK),
         week_end_day,
     )

@@ -42,11 +42,22 @@ def on_calendar(df: DataFrame, calendar: DataFrame, date_column: str) -> DataFra
     return df.join(days, F.col(date_column) == F.col("_day"), "inner").drop("_day")
 
 
+def by_week(cells: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Day rows with their week, gathered by mart key.
+
+    A mart key has at most seven day rows, so there is nothing to gain from
+    partial sums before the shuffle: they would merge next to nothing and are
+    several times wider than the rows.  Shuffling the rows themselves lets every
+    aggregation by mart key, with or without further keys, run where they land.
+    """
+    return on_calendar(cells, calendar, "trans_dt").repartition(*WEEK)
+
+
 def weekly_mart(
     cells: DataFrame, calendar: DataFrame, week_end_day: int = WEEK_END_DAY
 ) -> DataFrame:
     """All weekly metrics from the day table."""
-    return summarise(on_calendar(cells, calendar, "trans_dt"), WEEK, week_end_day)
+    return summarise(by_week(cells, calendar), WEEK, week_end_day)
 
 
 def summarise(
@@ -144,7 +155,7 @@ def weekly_mart_as_coded(
     closing = F.col("day_of_wk_num") == week_end_day
     pairs = F.sum(F.col("n_lines") * F.col("n_stock"))
     sums = (
-        on_calendar(paired, calendar, "trans_dt")
+        by_week(paired, calendar)
         .groupBy(*WEEK)
         .agg(
             F.sum(F.col("sales_qty") * copies).alias("wk_sales_qty"),

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from shelfline.functions import names as N
 from shelfline.operators import landing, quality, replay, star, weekday, weekly
-from shelfline.operators.daily import daily, with_coded_flags
+from shelfline.operators.daily import CELL, daily, with_coded_flags
 from shelfline.plans import job
 from shelfline.plans import sample_model as sample
 from shelfline.sources import catalog, files, schemas, scratch, sinks
@@ -135,7 +135,7 @@ def s06_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s08_mart_from_saved_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.fresh_path(spark, "daily")
-    sinks.save_table(_cells(spark, sf_dir), path, sort_by=("trans_dt", "store_key", "prod_key"))
+    sinks.save_table(_cells(spark, sf_dir), path, range_by=CELL)
     return _plain(weekly.weekly_mart(files.read_saved(spark, path), sample.calendar(spark)))
 
 
@@ -183,8 +183,7 @@ def s11_contract_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s11_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells with several sales lines: what joining lines to stock would repeat."""
-    cell = ("trans_dt", "store_key", "prod_key")
-    return _plain(quality.repeated_keys(sample.sales(spark, sf_dir), cell))
+    return _plain(quality.repeated_keys(sample.sales(spark, sf_dir), CELL))
 
 
 def s12_job_run(spark: SparkSession, sf_dir: str) -> DataFrame:

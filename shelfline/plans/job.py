@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.operators.daily import daily
+from shelfline.operators.daily import CELL, daily
 from shelfline.operators.weekly import WEEK, WEEK_END_DAY, weekly_mart
 from shelfline.session import build_session
 from shelfline.sources import catalog, files, sinks
@@ -75,10 +75,10 @@ def run(spark: SparkSession, config: JobConfig) -> dict[str, str]:
     for table in DIMENSIONS:
         save(table, inputs[table], single_file=True)
     if config.save_sales:
-        save("sales", inputs["sales"], partition_by=("trans_dt",))
+        save("sales", inputs["sales"], range_by=(*CELL, "trans_id"))
     cells = daily(inputs["sales"], inputs["inventory"])
     if config.save_daily:
-        save(DAY_TABLE, cells, partition_by=("trans_dt",), sort_by=("store_key", "prod_key"))
+        save(DAY_TABLE, cells, range_by=CELL)
         cells = files.read_saved(spark, saved[DAY_TABLE])
     mart = weekly_mart(cells, inputs["calendar"], config.week_end_day)
     if config.single_file:

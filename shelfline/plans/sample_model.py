@@ -149,19 +149,20 @@ def landing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with the store and product they belong to."""
-    stores = (
-        _read(spark, sf_dir, "supplier")
-        .join(_read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("s_suppkey", F.col("n_regionkey").alias("store_key"))
-    )
+    """Line items with the store and product they belong to.
+
+    Each dimension joins the lines by itself, so Spark judges its size from its
+    own files and not from an estimate over a join of dimensions.
+    """
     parts = _read(spark, sf_dir, "part").select(
         "p_partkey", _prod_key().alias("prod_key"), "p_retailprice"
     )
     return (
         _read(spark, sf_dir, "lineitem")
-        .join(stores, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(_read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(_read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .withColumnRenamed("n_regionkey", "store_key")
     )
 
 

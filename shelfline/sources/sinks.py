@@ -29,22 +29,27 @@ def save_table(
     *,
     partition_by: Sequence[str] = (),
     sort_by: Sequence[str] = (),
+    range_by: Sequence[str] = (),
     single_file: bool = False,
     compression: str = "zstd",
     mode: str = "overwrite",
 ) -> None:
     """Write parquet.
 
-    Partitioned tables are rebalanced on the partition columns: adaptive
-    execution splits a large partition over several tasks and merges small ones.
-    Sorting comes after that, so files really are sorted.  With ``mode``
-    "overwrite" a rerun replaces only the partitions it writes.
+    ``partition_by`` makes folders.  Rows are rebalanced on those columns first:
+    adaptive execution splits a large partition over several tasks and merges
+    small ones.  ``range_by`` makes files of disjoint, sorted key ranges instead,
+    which readers skip by their min/max statistics.  Sorting always comes after
+    the shuffle, so files really are sorted.  With ``mode`` "overwrite" a rerun
+    replaces only the partitions it writes.
     """
     if partition_by:
         df = df.hint("rebalance", *partition_by)
+    elif range_by:
+        df = df.repartitionByRange(*range_by)
     elif single_file:
         df = _single(df)
-    order = [*partition_by, *[c for c in sort_by if c not in partition_by]]
+    order = list(dict.fromkeys([*partition_by, *range_by, *sort_by]))
     if order:
         df = df.sortWithinPartitions(*order)
     writer = df.write.mode(mode).option("compression", compression)

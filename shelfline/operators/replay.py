@@ -53,10 +53,9 @@ def replay(
         ("_slot", *WEEK),
         week_end_day,
     )
-    serves = weeks.select("yr_num", "wk_num", closed_for.alias("_closed_for"))
-    dates = F.when(F.col("_slot").isNull(), F.col("_closed_for")).otherwise(F.array("_slot"))
+    dates = F.when(F.col("_slot").isNull(), closed_for).otherwise(F.array("_slot"))
     return (
-        built.join(serves, ["yr_num", "wk_num"])
+        built.join(weeks, ["yr_num", "wk_num"])
         .withColumn("as_of", F.explode(dates))
         .select("as_of", *[c for c in built.columns if c != "_slot"])
     )

@@ -185,6 +185,12 @@ listing as (
          run_date, o_orderstatus = 'O' as dashed
   from (select substr(o_orderpriority, 1, 1) as rank, o_orderstatus,
                cast(o_orderdate as date) as run_date from orders)
+  union all
+  select case event_type when 'click' then 'sales' when 'error' then 'inventory'
+              when 'purchase' then 'product' when 'signup' then 'store'
+              when 'view' then 'calendar' else 'returns' end,
+         cast(ts as date), false
+  from events
 ),
 found as (
   select run_date, table_name,

@@ -6,7 +6,8 @@ product    distinct part brands (``Brand#7`` is product 7)
 sales      line items with the store of their supplier, product of their part
 inventory  line items by order date: finished lines are on hand, all on order
 calendar   ISO weeks, Monday 0 to Sunday 6, generated from a date range
-landing    one file name per order: priority picks the table, status the style
+landing    a file name per order (priority picks the table, status the style)
+           and per event (its type picks the table)
 =========  =================================================================
 
 Dimension joins carry no hints: Spark broadcasts what its statistics show to be
@@ -20,10 +21,12 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfline.functions import names as N
 from shelfline.sources import schemas
 
 FIRST_DAY, LAST_DAY = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
 MONEY = schemas.MEASURE
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -133,19 +136,26 @@ def calendar(
 
 
 def landing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file name per order, in both conventions, some for a table nobody asked for."""
-    from shelfline.functions import names as N
+    """A file name per order and per event.
 
+    Orders are sparse over years of days, in both conventions, and some are for a
+    table nobody asked for; events are dense over one month.
+    """
     rank, status = F.substring("o_orderpriority", 1, 1), F.col("o_orderstatus")
-    table = F.when((rank == "5") & (status == "P"), "returns")
-    for digit, name in enumerate(N.REQUIRED_TABLES, start=1):
-        table = table.when(rank == str(digit), name)
+    order_table = F.when((rank == "5") & (status == "P"), "returns")
+    event_table = F.when(F.col("event_type").isNull(), "returns")
+    for digit, (kind, name) in enumerate(zip(EVENT_TYPES, N.REQUIRED_TABLES), start=1):
+        order_table = order_table.when(rank == str(digit), name)
+        event_table = event_table.when(F.col("event_type") == kind, name)
     day = F.to_date("o_orderdate")
-    return _read(spark, sf_dir, "orders").select(
-        F.when(status == "O", N.dashed_name(table, day))
-        .otherwise(N.compact_name(table, day))
-        .alias("name")
+    dashed, compact = N.dashed_name(order_table, day), N.compact_name(order_table, day)
+    by_order = _read(spark, sf_dir, "orders").select(
+        F.when(status == "O", dashed).otherwise(compact).alias("name")
+    )
+    by_event = _read(spark, sf_dir, "events").select(
+        N.compact_name(event_table, F.to_date("ts")).alias("name")
     )
+    return by_order.unionByName(by_event)
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,19 +28,19 @@ def dashed_name(table: Column, day: Column) -> Column:
 
 
 def table_of(name: Column) -> Column:
-    """Table part of a landed name (a bare name or the last step of a path)."""
-    return F.nullif(F.regexp_extract(name, _whole(), 1), F.lit(""))
+    """Table part of a landed name (or of a path ending in one); "" if it is none."""
+    return F.regexp_extract(name, _whole(), 1)
 
 
 def date_of(name: Column) -> Column:
     """Date part of a landed name, either convention; NULL if it is no date."""
-    digits = F.regexp_replace(F.regexp_extract(name, _whole(), 2), "-", "")
-    return F.try_to_date(F.nullif(digits, F.lit("")), COMPACT_LABEL)
+    digits = F.replace(F.regexp_extract(name, _whole(), 2), F.lit("-"), F.lit(""))
+    return F.try_to_date(digits, COMPACT_LABEL)
 
 
 def landed_name(path: Column) -> Column:
-    """The landed name inside a path: a file, or a folder of part files."""
-    return F.nullif(F.regexp_extract(path, f"(?:^|/)({NAME_PATTERN})(?:/[^/]*)?$", 1), F.lit(""))
+    """The landed name inside a path (a file, or a folder of part files); "" if none."""
+    return F.regexp_extract(path, f"(?:^|/)({NAME_PATTERN})(?:/[^/]*)?$", 1)
 
 
 def _whole() -> str:

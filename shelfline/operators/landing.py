@@ -21,22 +21,21 @@ REQUIRED = N.REQUIRED_TABLES
 
 
 def parse(listing: DataFrame) -> DataFrame:
-    """Names with their table and date; NULL where the name is not recognised."""
+    """Names with their table and date; the date is NULL if the name is not recognised."""
     return listing.withColumns(
         {"table_name": N.table_of(F.col("name")), "run_date": N.date_of(F.col("name"))}
     )
 
 
 def unrecognised(listing: DataFrame) -> DataFrame:
-    parsed = parse(listing)
-    return parsed.filter(_recognised().eqNullSafe(False)).select("name")
+    return parse(listing).filter(F.col("run_date").isNull()).select("name")
 
 
 def found(listing: DataFrame) -> DataFrame:
     """Distinct (run_date, table_name), with one name each: the last in text order."""
     return (
         parse(listing)
-        .filter(_recognised())
+        .filter(F.col("run_date").isNotNull())
         .groupBy("run_date", "table_name")
         .agg(F.max("name").alias("name"))
     )
@@ -44,17 +43,19 @@ def found(listing: DataFrame) -> DataFrame:
 
 def expected(listing: DataFrame, required: Sequence[str] = REQUIRED) -> DataFrame:
     """Every required table for every day that has any file."""
-    tables = F.explode(F.array(*[F.lit(t) for t in required]))
-    return found(listing).select("run_date").distinct().select("run_date", tables.alias("table_name"))
+    days = found(listing).select("run_date").distinct()
+    return days.select("run_date", _each(required).alias("table_name"))
 
 
 def differences(listing: DataFrame, required: Sequence[str] = REQUIRED) -> DataFrame:
     """Rows that break set equality: ``missing`` and ``unexpected`` tables per day."""
-    want, have = expected(listing, required), found(listing).drop("name")
-    key = ["run_date", "table_name"]
-    missing = want.join(have, key, "left_anti").withColumn("status", F.lit("missing"))
-    extra = have.join(want, key, "left_anti").withColumn("status", F.lit("unexpected"))
-    return missing.unionByName(extra)
+    have = found(listing).drop("name")
+    names = listing.sparkSession.range(0, 1, 1, 1).select(_each(required).alias("table_name"))
+    missing = expected(listing, required).join(have, ["run_date", "table_name"], "left_anti")
+    extra = have.join(names, "table_name", "left_anti").select("run_date", "table_name")
+    return missing.withColumn("status", F.lit("missing")).unionByName(
+        extra.withColumn("status", F.lit("unexpected"))
+    )
 
 
 def audit(
@@ -120,5 +121,5 @@ def read_manifest(manifests: DataFrame, required: Sequence[str] = REQUIRED) -> D
     )
 
 
-def _recognised() -> Column:
-    return F.col("table_name").isNotNull() & F.col("run_date").isNotNull()
+def _each(tables: Sequence[str]) -> Column:
+    return F.explode(F.array(*[F.lit(t) for t in tables]))

@@ -80,5 +80,5 @@ def test_names_inside_paths(spark):
     assert [tuple(r) for r in rows] == [
         ("sales_20221012.csv.gz", "sales"),
         ("store_inv_2022-10-12.csv", "store_inv"),
-        (None, None),
+        ("", ""),
     ]

@@ -11,7 +11,8 @@ room, the reading chosen is:
 * ``out_of_stock_pct`` is out-of-stock days over seven, as worded; the share in
   stock is one minus it, NULL if the week has no known flag;
 * potential low-stock impact values the stock on hand at the day's own average
-  price (no amount column for stock exists);
+  price (no amount column for stock exists).  Each day's term is an exact decimal
+  quotient at six places, so the sum does not depend on the order of rows;
 * partial weeks still divide by seven.
 
 ``weekly_mart_as_coded`` answers what the line-grain SQL form computes.
@@ -67,7 +68,8 @@ def summarise(
     amount, on_hand = F.col("sales_amt"), F.col("inventory_on_hand_qty")
     empty, low = F.col("out_of_stock_flg"), F.col("low_stock_flg")
     closing = F.col("day_of_wk_num") == week_end_day
-    stock_value = on_hand.cast("double") * ratio(amount, F.col("sales_qty"))
+    sold = F.col("sales_qty")
+    unmet = F.try_divide(amount * (sold - on_hand), sold)  # amount - on_hand * (amount / sold)
 
     sums = days.groupBy(*keys).agg(
         _sum_or_zero("sales_qty").alias("wk_sales_qty"),
@@ -84,9 +86,7 @@ def summarise(
         F.count_if(low).alias("low_stock_times"),
         F.count(empty).alias("_known_days"),
         F.sum(empty.cast("int") + low.cast("int")).alias("low_stock_impact"),
-        F.round(F.sum(F.when(low, amount.cast("double") - stock_value)), 8).alias(
-            "potential_low_stock_impact"
-        ),
+        F.sum(F.when(low, unmet)).alias("potential_low_stock_impact"),
         F.sum(F.when(empty, amount)).alias("no_stock_impact"),
     )
     out_share = F.col("out_of_stock_times").cast("double") / DAYS_PER_WEEK

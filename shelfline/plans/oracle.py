@@ -2,7 +2,8 @@
 
 Written from the definitions, not from the Spark plans: the as-coded mart joins
 at line grain and the replay rebuilds everything per date.  Flags are counted
-with CASE sums, ratios divide doubles once and are not rounded.
+with CASE sums, ratios divide doubles once and are not rounded.  The potential
+low-stock impact is summed in whole millionths, each day rounded half up.
 """
 
 from __future__ import annotations
@@ -106,9 +107,11 @@ sums as (
          count(out_of_stock_flg) as known_days,
          cast(sum(cast(out_of_stock_flg as integer) + cast(low_stock_flg as integer)) as bigint)
            as low_stock_impact,
-         round(sum(case when low_stock_flg then
-             cast(sales_amt as double) - cast(inventory_on_hand_qty as double)
-               * (cast(sales_amt as double) / nullif(cast(sales_qty as double), 0)) end), 8)
+         cast(sum(case when low_stock_flg then
+             (20000 * cast(sales_amt * 100 as hugeint)
+                * cast((sales_qty - inventory_on_hand_qty) * 100 as hugeint)
+              + cast(sales_qty * 100 as hugeint))
+             // (2 * cast(sales_qty * 100 as hugeint)) end) as double) / 1000000
            as potential_low_stock_impact,
          cast(sum(case when out_of_stock_flg then sales_amt end) as double) as no_stock_impact
   from {days}

@@ -74,18 +74,19 @@ def audit(
             asked.alias("run_date"), F.lit(None).cast("string").alias("table_name")
         )
         have = have.unionByName(blank)
-    wanted = F.array(*[F.lit(t) for t in sorted(required)])
     is_wanted = F.col("table_name").isin(*required)
     per_day = have.groupBy("run_date").agg(
-        F.array_sort(F.collect_set(F.when(is_wanted, F.col("table_name")))).alias("present"),
+        *[F.bool_or(F.col("table_name") == t).alias(f"_{t}") for t in required],
         F.count_if(~is_wanted).alias("n_unexpected"),
     )
-    missing = F.array_except(wanted, F.col("present"))
+    seen = {t: F.coalesce(F.col(f"_{t}"), F.lit(False)) for t in sorted(required)}
+    present = F.array_compact(F.array(*[F.when(hit, t) for t, hit in seen.items()]))
+    missing = F.array_compact(F.array(*[F.when(~hit, t) for t, hit in seen.items()]))
     return per_day.select(
         "run_date",
-        "present",
+        present.alias("present"),
         missing.alias("missing"),
-        F.size("present").alias("n_present"),
+        F.size(present).alias("n_present"),
         F.size(missing).alias("n_missing"),
         "n_unexpected",
         ((F.size(missing) == 0) & (F.col("n_unexpected") == 0)).alias("ready"),

@@ -97,22 +97,23 @@ def export_snapshot(
     """Unload every table as of a date; returns ``(table_name, rows_written)``.
 
     Facts are cut at ``as_of``, dimensions go whole, and one date drives both the
-    cut and the file label.  Rows are counted by the write itself, not by a
-    second scan.  Tables named in ``single_file`` go into one file if small.
+    cut and the file label.  Rows are counted by the writing tasks themselves, not
+    by a second scan; nothing is shuffled after the count, so a task that is run
+    again after a loss is not counted twice.  Tables named in ``single_file`` go
+    into one file if small.
     """
     written: list[tuple[str, int]] = []
     for table, df in tables.items():
         date_column = schemas.FACT_DATES.get(table)
         rows = cut(df, date_column, as_of) if date_column else df
+        rows = schemas.to_contract(rows, table)
+        if table in single_file:
+            rows = _single(rows)
         seen = Observation()
-        counted = schemas.to_contract(rows, table).observe(
-            seen, F.count(F.lit(1)).alias("rows_written")
-        )
         unload_csv(
-            counted,
+            rows.observe(seen, F.count(F.lit(1)).alias("rows_written")),
             location.path(table, label or as_of, dashed),
             compression=compression,
-            single_file=table in single_file,
         )
         written.append((table, int(seen.get["rows_written"])))
     session = next(iter(tables.values())).sparkSession

@@ -19,6 +19,8 @@ def spark(tmp_path_factory):
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",
+            # tables here are kilobytes; let them still be written by several tasks
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
             "spark.driver.memory": "4g",
             "spark.checkpoint.dir": str(shared),
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),

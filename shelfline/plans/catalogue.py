@@ -177,9 +177,16 @@ def s10_external_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s11_contract_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.contract_breaches(
-        schemas.to_contract(sample.store(spark, sf_dir), "store"), "store"
+    """Customers put through the store contract: their names overrun some columns."""
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    stores = sample.read(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("store_key"),
+        name.alias("store_num"),
+        name.alias("postal_zip_cd"),
+        F.concat_ws(" ", name, segment).alias("prov_state_desc"),
+        segment.alias("market_name"),
     )
+    return quality.contract_breaches(schemas.to_contract(stores, "store"), "store")
 
 
 def s11_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,18 +250,13 @@ def k03_gzip_unload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k04_plain_unload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dimension, small enough for one file."""
-    return _plain(
-        _unloaded(spark, sample.calendar(spark), "calendar", compression="none", single_file=True)
-    )
+    return _plain(_unloaded(spark, sample.sales(spark, sf_dir), "sales", compression="none"))
 
 
 def k05_bounded_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of limited length hold the same rows."""
     return _plain(
-        _unloaded(spark, sample.product(spark, sf_dir), "product", max_records=10).select(
-            "prod_key", "brand_name"
-        )
+        _unloaded(spark, sample.inventory(spark, sf_dir), "inventory", max_records=10_000)
     )
 
 
@@ -317,7 +319,7 @@ def p10_as_of_next_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p11_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as untrusted text: a status where a flag belongs, a word as quantity."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines = sample.read(spark, sf_dir, "lineitem")
     flag = F.when(F.col("l_linestatus") == "F", "0").when(F.col("l_returnflag") == "A", "2")
     raw = lines.select(
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("cal_dt"),
@@ -428,7 +430,7 @@ def o02_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f02_f06_names_and_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names built in both conventions, then taken apart again."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = sample.read(spark, sf_dir, "orders")
     day = F.to_date("o_orderdate")
     table = F.lower(F.regexp_replace("o_orderpriority", "[^A-Z]+", ""))
     built = orders.select(

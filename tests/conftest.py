@@ -19,6 +19,7 @@ def spark(tmp_path_factory):
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",
+            "spark.sql.sources.parallelPartitionDiscovery.threshold": "1000",
             # tables here are kilobytes; let them still be written by several tasks
             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
             "spark.driver.memory": "4g",

@@ -146,7 +146,7 @@ def test_listing_does_not_read_contents(spark, tmp_path, capsys):
     assert [tuple(r) for r in df.collect()] == [("sales_20221012.csv.gz", 1)]
 
 
-def test_job_end_to_end(spark, sample_dir, tmp_path):
+def test_job_end_to_end(spark, sample_dir, tmp_path, capsys):
     tables = sample.tables(spark, sample_dir)
     counts = sinks.export_snapshot(tables, Location(str(tmp_path / "in")), RUN, single_file=job.DIMENSIONS)
     written = {r.table_name: r.rows_written for r in counts.collect()}
@@ -164,6 +164,14 @@ def test_job_end_to_end(spark, sample_dir, tmp_path):
     assert os.path.basename(saved["store"]) == "run_date=19980902"
     assert len(glob.glob(f"{saved['store']}/*.parquet")) == 1
     rows = spark.sql("SELECT * FROM reports.sales_inv_store_wk")
+    week = files.read_saved(spark, os.path.dirname(saved[job.MART])).filter(
+        "run_date = 19980902 AND yr_num = 1998 AND wk_num = 1"
+    )
+    capsys.readouterr()
+    week.explain()
+    pruned = capsys.readouterr().out.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert "run_date" in pruned and "yr_num" in pruned and "wk_num" in pruned
+    assert week.count() == rows.filter("yr_num = 1998 AND wk_num = 1").count() > 0
     kept = job.run(spark, job.JobConfig(RUN, str(tmp_path / "in"), str(tmp_path / "kept"), save_daily=True))
     again = files.read_saved(spark, kept[job.MART]).select(rows.columns)
     assert rows.count() == again.count() > 0 and rows.exceptAll(again).count() == 0

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from shelfline.sources.scratch import fresh_path
 
@@ -47,6 +48,11 @@ def saved(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def widened(df: DataFrame, **kinds: str) -> StructType:
+    """The frame's schema and more fields, given by name and type."""
+    return StructType([*df.schema.fields, *(StructField(name, StructType.fromDDL(f"x {kind}")[0].dataType) for name, kind in kinds.items())])
+
+
 class Block(NamedTuple):
     """Consecutive texts of a batch: ``data`` holds their bytes end to end."""
 

@@ -23,6 +23,8 @@ BANDS, ROWS = 56, 6
 BINS = BANDS * ROWS
 #: Members of a star confirmed in one group; a larger star is dealt over several.
 STAR = 64
+#: Centres of a bucket that its first star has left in several components.
+FIRST_HUBS = 64
 
 
 def shingle_sets(batch: pa.RecordBatch, column: str, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -67,12 +69,18 @@ def minhashes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A row of ``BANDS`` bucket keys for each set."""
-    rows = minhashes(values, bounds).reshape(-1, BANDS, ROWS) * ROW_ODDS
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """A row of ``BANDS`` bucket keys for each row of minhashes."""
+    rows = found.reshape(-1, BANDS, ROWS) * ROW_ODDS
     return mix(rows.sum(axis=2, dtype=U) + BAND_SEEDS).view(np.int64)
 
 
+def sketches(rows: np.ndarray) -> np.ndarray:
+    """Two longs a set: the low bits of its first 128 (mixed) minhashes, of which J / 2 more than half agree."""
+    bits = np.packbits((mix(rows[:, :128]) & U(1)).astype(np.uint8), axis=1)
+    return np.ascontiguousarray(bits).view(np.int64)
+
+
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of each set, modulo 2**64."""
     total = np.concatenate((np.zeros(1, U), np.cumsum(values, dtype=U)))
@@ -80,24 +88,26 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``(id, n, h1, h2, bands)`` of each row of ``docs(id, text)``: set size, set digest, bucket keys."""
+    """``(id, n, h1, h2, s1, s2, bands)`` of each row of ``docs(id, text)``: set size, digest, sketch, bucket keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = 0
             for values, bounds in shingle_sets(batch, "text", width):
                 size = np.diff(bounds)
-                keys = band_keys(values, bounds)[size > 0]
+                least = minhashes(values, bounds)
+                keys, sketch = band_keys(least)[size > 0], sketches(least)
                 at = np.concatenate(([0], np.cumsum((size > 0) * BANDS))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(row, len(size)), pa.array(size, pa.int64()),
                      pa.array(_sums(values, bounds)), pa.array(_sums(mix(values), bounds)),
+                     pa.array(sketch[:, 0]), pa.array(sketch[:, 1]),
                      pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel()))],
-                    ["id", "n", "h1", "h2", "bands"],
+                    ["id", "n", "h1", "h2", "s1", "s2", "bands"],
                 )
                 row += len(size)
 
-    return docs.mapInArrow(sign, "id long, n long, h1 long, h2 long, bands array<long>")
+    return docs.mapInArrow(sign, "id long, n long, h1 long, h2 long, s1 long, s2 long, bands array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -141,9 +151,17 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     )
 
 
-def _alike_in_size(x: str, y: str, percent: int):
-    """Sets of these sizes can reach the threshold at all."""
-    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+def _possible(percent: int):
+    """Whether two sets, of sizes and sketches in ``n, s1, s2`` and ``an, as1, as2``, may reach the threshold.
+
+    Their sizes must allow it.  Of 128 sketch bits, sets at 80% differ in 12.8 on
+    average; more than 33 have a chance of 2e-8.
+    """
+    differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("as1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("as2")))
+    # 2e-8 at 80%; the mean and the spread above it move with the threshold
+    share = (100 - percent) / 200
+    most = int(128 * share + 6 * (128 * share * (1 - share)) ** 0.5)
+    return (100 * F.least("n", "an") >= percent * F.greatest("n", "an")) & (differ <= most)
 
 
 def near_duplicates(
@@ -157,10 +175,11 @@ def near_duplicates(
 
     Stars: an id first joins the centre it shares most buckets with, the centre
     of a bucket being the member that meets the most others over all its buckets
-    (the original among its edited copies).  Buckets whose members are then still
-    in different components draw stars around the next 1, 8, 64, ... members, until
-    every bucket is one component or each of its members has been a centre: there
-    is no cap on candidates, and a group of copies is settled by its first star.
+    (the original among its edited copies).  In buckets whose members are then
+    still in different components, the first 64 members, then the next 4096 and so
+    on, are centres too, until every bucket is one component or each of its members
+    has been a centre: there is no cap on candidates, and a group of copies is
+    settled by its first star.  Edges within a component are not drawn.
 
     Null, empty or wordless texts have an empty set and are linked with nothing.
     A row without id is linked with nothing and kept (its component is null).
@@ -171,13 +190,11 @@ def near_duplicates(
     named = signed.where("id is not null and n > 0")
     classes = saved(named.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "classes")
     reps = named.join(classes.withColumnRenamed("rep", "id"), ["id", "h1", "h2", "n"], "left_semi")
-    found = _links(reps.select("id", "n", F.explode("bands").alias("key")), docs, width, percent)
-    same = classes.groupBy("rep").count().where("count > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    labels = components(found.union(same))
+    labels = _labels(reps.select("id", "n", "s1", "s2", "bands"), docs, width, percent)
     settled = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "h1", "h2", "n", F.coalesce("component", "rep").alias("component")
     )
-    out = signed.drop("bands").join(settled, ["h1", "h2", "n"], "left")
+    out = signed.select("id", "n", "h1", "h2").join(settled, ["h1", "h2", "n"], "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(
         F.col("id").alias("doc_id"),
@@ -187,48 +204,44 @@ def near_duplicates(
     )
 
 
-def _links(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links ``(a, b)`` among the classes of ``members(id, n, key)`` that join all linked ones."""
+def _labels(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``(id, component)`` of the linked classes among ``reps(id, n, s1, s2, bands)``."""
+    members = reps.select("id", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("id").alias("size")).where("size > 1")
     met = saved(members.join(shared, "key"), "met")
-    scores = met.groupBy("id").agg(F.sum("size").alias("score"))
-    met = saved(met.join(scores, "id").select("key", "id", "n", "score"), "scored")
-    texts = saved(docs.join(met.select("id").distinct(), "id", "left_semi"), "candidates")
-
-    centre = met.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"), "n")).alias("c"))
-    drawn = (
-        met.join(centre, "key")
-        .select("id", "n", "c.score", "c.minus", F.col("c.n").alias("cn"))
-        .where((F.col("id") != -F.col("minus")) & _alike_in_size("n", "cn", percent))
-    )
-    votes = drawn.groupBy("id", "minus", "score").agg(F.count("n").alias("votes"))
-    best = votes.groupBy("id").agg(F.max(F.struct("votes", "score", "minus")).alias("c"))
+    scores = met.groupBy("id").agg(F.sum("size").alias("score")).join(reps.drop("bands"), "id")
+    met = saved(met.select("key", "id").join(scores, "id"), "scored")
+    texts = saved(docs.join(scores.select("id"), "id", "left_semi"), "candidates")
+
+    about = F.struct("score", (-F.col("id")).alias("minus"), F.col("n").alias("an"), F.col("s1").alias("as1"), F.col("s2").alias("as2"))
+    centre = met.groupBy("key").agg(F.max(about).alias("c")).select("key", "c.minus", F.col("c.score").alias("top"), "c.an", "c.as1", "c.as2")
+    drawn = met.join(centre, "key").where((F.col("id") != -F.col("minus")) & _possible(percent))
+    votes = drawn.groupBy("id", "minus", "top").agg(F.count("n").alias("votes"))
+    best = votes.groupBy("id").agg(F.max(F.struct("votes", "top", "minus")).alias("c"))
     pairs = saved(best.select((-F.col("c.minus")).alias("a"), F.col("id").alias("b")), "pairs")
     tried = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     links = saved(confirm(pairs, texts, width, percent), "links")
 
-    width_now, labels = 1, components(links)
+    hubs_now, labels = FIRST_HUBS, components(links)
     while True:
         apart = met.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         ranked = Window.partitionBy("key").orderBy(F.desc("score"), "id")
         met = saved(apart.join(mixed, "key", "left_semi").withColumn("rank", F.row_number().over(ranked)), "apart")
         if met.isEmpty():
-            return links
-        hubs = met.where(F.col("rank") <= width_now).select(
-            "key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac")
-        )
-        drawn = met.join(hubs, "key").where((F.col("component") != F.col("ac")) & _alike_in_size("n", "an", percent))
-        fresh = (
-            drawn.select(F.least("a", "id").alias("x"), F.greatest("a", "id").alias("y"), "a", F.col("id").alias("b"))
-            .groupBy("x", "y").agg(F.min_by(F.struct("a", "b"), "a").alias("p"))
-            .join(tried, ["x", "y"], "left_anti")
-        )
+            return labels
+        hubs = met.where(F.col("rank") <= hubs_now).select(
+            "key", F.col("id").alias("a"), F.col("rank").alias("ar"), F.col("component").alias("ac"),
+            F.col("n").alias("an"), F.col("s1").alias("as1"), F.col("s2").alias("as2"),
+        )
+        drawn = met.join(hubs, "key").where((F.col("rank") > F.col("ar")) & (F.col("component") != F.col("ac")) & _possible(percent))
+        fresh = drawn.select(F.least("a", "id").alias("x"), F.greatest("a", "id").alias("y"), "a", F.col("id").alias("b"))
+        fresh = fresh.groupBy("x", "y").agg(F.min_by(F.struct("a", "b"), "a").alias("p")).join(tried, ["x", "y"], "left_anti")
         fresh = saved(fresh, "pairs")
         tried = tried.union(fresh.select("x", "y"))
         more = saved(confirm(fresh.select("p.a", "p.b"), texts, width, percent), "links")
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
-        met = met.where(F.col("rank") > width_now).drop("rank", "component")
-        width_now *= 8
+        met = met.where(F.col("rank") > hubs_now).drop("rank", "component")
+        hubs_now *= 64

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import near_dup, packing, rans
+from shelfline.llm import fingerprint, language, licence, line_crf, mixing, near_dup, packing, rans, toxicity, wrapper
 from shelfline.llm.common import table
 
 
@@ -15,10 +15,37 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op2_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op4_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence.scan(table(spark, sf_dir, "documents"), licence.known_licences(spark))
+
+
+def op5_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op6_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, scorer).select(
+        "doc_id",
+        (toxicity.remainder(F.col("doc_id")) == 1).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        F.col("toxic").cast("int").alias("predicted"),
+    )
+
+
 def op7_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, frequencies = rans.write_tokens(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path(), end_id=2)
     return rans.read_tokens(files, frequencies).drop("ids")
@@ -28,12 +55,30 @@ def op8_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path(), end_id=1).drop("ids")
 
 
+def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = line_crf.train(docs, table(spark, sf_dir, "labels"))
+    return line_crf.measure_quality(docs, field).drop("text")
+
+
+def op10_golden_ratio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_words(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_improbable_features,
+        op2_wrapper_text,
         op3_minhash_near_dup,
+        op4_licence_digests,
+        op5_language_evidence,
+        op6_kneser_ney_toxicity,
         op7_rans_token_files,
         op8_concatenate_and_cut,
+        op9_line_crf_quality,
+        op10_golden_ratio_mix,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_licence_digests": licence.scan_sql()}

@@ -56,8 +56,13 @@ class Words(NamedTuple):
     bounds: np.ndarray  # words of text i: bounds[i] to bounds[i + 1]
 
 
-def spans(block: Block) -> Words:
-    inside = (block.data != 0x20) & (block.data - np.uint8(0x09) > np.uint8(4))
+def is_word(data: np.ndarray) -> np.ndarray:
+    return (data != 0x20) & (data - np.uint8(0x09) > np.uint8(4))
+
+
+def spans(block: Block, inside: np.ndarray | None = None) -> Words:
+    """The runs of bytes ``inside`` (by default, those that are not white space), cut between texts."""
+    inside = is_word(block.data) if inside is None else inside
     n = len(inside)
     first = inside.copy()
     first[1:] &= ~inside[:-1]

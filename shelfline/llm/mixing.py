@@ -8,7 +8,6 @@ its blocks one after the other, around the circle again if need be.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,7 +87,7 @@ def circles(docs: DataFrame) -> DataFrame:
 
 
 def schedule(goals: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``(source, slot, rank, block, words)``: which block each slot of the mix takes.
+    """``(source, slot, rank, lap, block, words)``: which block each slot of the mix takes.
 
     Slot i lies at the fraction of i golden ratios; the source whose stretch of the
     cumulative weights holds it gets the slot.  The slots of a source are ranked;
@@ -128,7 +127,8 @@ def schedule(goals: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame:
     block = F.col("rank") % F.col("per")
     start = F.floor(F.col("rank") / F.col("per")) * F.col("source_size") + block * block_words
     full = F.least(F.lit(block_words), F.col("source_size") - block * block_words)
-    return both.select("source", "slot", "rank", block.alias("block"), F.least(full, F.col("goal") - start).alias("words"))
+    lap = F.floor(F.col("rank") / F.col("per"))
+    return both.select("source", "slot", "rank", lap.alias("lap"), block.alias("block"), F.least(full, F.col("goal") - start).alias("words"))
 
 
 def _golden(i: str) -> Column:
@@ -179,6 +179,20 @@ def pieces(placed: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame:
     return cut.select(*cut.columns, (lo - first).alias("lo"), (hi - first).alias("hi"), (lo - F.col("at")).alias("skip"))
 
 
+def takes(sizes: DataFrame, goals: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame]:
+    """``sizes(row, doc_id, source, size)`` in their circles, and what the slots take of each.
+
+    The second: ``row, lap, slot`` (the first), and the words ``first`` to ``last`` of the
+    document, which are consecutive within a lap of its circle.
+    """
+    placed = saved(circles(sizes), "placed")
+    slots = schedule(goals, block_words=block_words).withColumnRenamed("source", "s").withColumnRenamed("block", "b")
+    cut = pieces(placed, block_words=block_words)
+    hit = cut.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).where("lo < words")
+    end = F.col("skip") + F.least("hi", "words") - F.col("lo")
+    return placed, hit.groupBy("row", "lap").agg(F.min("slot").alias("slot"), F.min("skip").alias("first"), F.max(end).alias("last"))
+
+
 def mix_words(docs: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``(doc_id, source, size, source_size, target, taken)`` for every row of ``docs(doc_id, text, source)``.
 
@@ -189,21 +203,49 @@ def mix_words(docs: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame:
     Null and wordless texts have size 0 and are taken 0 times.  A null source is a
     source.  Rows of one id are taken one after the other.  Other columns are ignored.
     """
-    sizes = saved(sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).drop("text"), "sizes")
-    goals = targets(sizes, weights=WEIGHTS)
-    numbered = sizes.withColumn("row", F.monotonically_increasing_id())
-    placed = saved(circles(numbered), "placed")
-    # uses of a block: whole ones, and one that may be cut short
-    slots = schedule(goals, block_words=block_words)
-    uses = slots.groupBy("source", "block", "words").agg(F.count("*").alias("uses"))
-    uses = uses.select(F.col("source").alias("s"), F.col("block").alias("b"), "words", "uses")
-    cut = pieces(placed, block_words=block_words)
-    hit = cut.join(uses, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    words = F.col("uses") * F.greatest(F.lit(0), F.least("hi", "words") - F.col("lo"))
-    taken = hit.groupBy(F.col("row").alias("r")).agg(F.sum(words).alias("taken"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
+    sizes = saved(sized(docs).drop("text").withColumn("row", F.monotonically_increasing_id()), "sizes")
+    goals = targets(sizes)
+    placed, used = takes(sizes, goals, block_words)
+    taken = used.groupBy(F.col("row").alias("r")).agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
     named = goals.select(F.col("source").alias("s"), "source_size", "target")
     return (
         placed.join(taken, F.col("row") == F.col("r"), "left")
         .join(named, F.col("source").eqNullSafe(F.col("s")))
         .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
+
+
+def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix itself: columns of ``docs(doc_id, text, source, ...)`` and ``slot``, the place in the mix.
+
+    A row for each document and lap in which slots take words of it; its text is
+    what they take, the whole text or the words from one to another with the white
+    space between them, and a column ``n_chars`` follows it.  Documents without
+    words are in no mix.  Otherwise as ``mix_words``.
+    """
+    columns = [c for c in docs.columns if c not in ("slot", "row")]
+    numbered = saved(docs.select(columns).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    sizes = saved(sized(numbered.select("row", F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).drop("text"), "sizes")
+    _, used = takes(sizes, targets(sizes), block_words)
+    drawn = numbered.join(used, "row").drop("row")
+
+    def slice_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, last = batch.column("first").to_numpy(), batch.column("last").to_numpy()
+            texts = []
+            for block in blocks(batch.column("text")):
+                words, raw = spans(block), block.data.tobytes()
+                for i in range(len(block)):
+                    a, b = first[block.first + i], last[block.first + i]
+                    lo, hi = words.bounds[i], words.bounds[i + 1]
+                    start = block.offsets[i] if a == 0 else words.starts[lo + a]
+                    end = block.offsets[i + 1] if b == hi - lo else words.ends[lo + b - 1]
+                    texts.append(raw[start:end].decode())
+            out = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.array(texts, pa.string())}
+            if "n_chars" in out:
+                out["n_chars"] = pa.array([len(t) for t in texts], out["n_chars"].type)
+            kept = [*columns, "slot"]
+            yield pa.RecordBatch.from_arrays([out[c] for c in kept], kept)
+
+    return drawn.mapInArrow(slice_texts, drawn.drop("lap", "first", "last").select(*columns, "slot").schema)

@@ -204,6 +204,21 @@ def near_duplicates(
     )
 
 
+def without_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` that stay when one document of each group does.
+
+    Of rows with one id the first by a hash of the text stays; a row without id stays.
+    """
+    found = near_duplicates(docs, width=width, percent=percent)
+    found = saved(found, "groups")
+    gone = found.where("not kept").select("doc_id").distinct()
+    rest = docs.join(gone, "doc_id", "left_anti")
+    often = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    again = rest.join(often, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    return rest.join(often, "doc_id", "left_anti").unionByName(again).select(docs.columns)
+
+
 def _labels(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``(id, component)`` of the linked classes among ``reps(id, n, s1, s2, bands)``."""
     members = reps.select("id", F.explode("bands").alias("key"))

@@ -222,17 +222,20 @@ def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame:
     A row for each document and lap in which slots take words of it; its text is
     what they take, the whole text or the words from one to another with the white
     space between them, and a column ``n_chars`` follows it.  Documents without
-    words are in no mix.  Otherwise as ``mix_words``.
+    words are in no mix.  Names beginning with ``_mix_`` are the operator's own, an
+    input column ``slot`` is replaced.  Otherwise as ``mix_words``.
     """
-    columns = [c for c in docs.columns if c not in ("slot", "row")]
-    numbered = saved(docs.select(columns).withColumn("row", F.monotonically_increasing_id()), "numbered")
-    sizes = saved(sized(numbered.select("row", F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).drop("text"), "sizes")
+    columns = [c for c in docs.columns if c != "slot"]
+    numbered = saved(docs.select(columns).withColumn("_mix_row", F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col("_mix_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
+    sizes = saved(sized(rows).drop("text"), "sizes")
     _, used = takes(sizes, targets(sizes), block_words)
-    drawn = numbered.join(used, "row").drop("row")
+    used = used.select(F.col("row").alias("_mix_row"), "slot", F.col("first").alias("_mix_first"), F.col("last").alias("_mix_last"))
+    drawn = numbered.join(used, "_mix_row").drop("_mix_row")
 
     def slice_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, last = batch.column("first").to_numpy(), batch.column("last").to_numpy()
+            first, last = batch.column("_mix_first").to_numpy(), batch.column("_mix_last").to_numpy()
             texts = []
             for block in blocks(batch.column("text")):
                 words, raw = spans(block), block.data.tobytes()
@@ -248,4 +251,4 @@ def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame:
             kept = [*columns, "slot"]
             yield pa.RecordBatch.from_arrays([out[c] for c in kept], kept)
 
-    return drawn.mapInArrow(slice_texts, drawn.drop("lap", "first", "last").select(*columns, "slot").schema)
+    return drawn.mapInArrow(slice_texts, drawn.select(*columns, "slot").schema)

@@ -120,7 +120,7 @@ class Coder:
             word = words[np.where(need, at[:, None] + rank - 1, len(words) - 1)]
             states = np.where(live, np.where(need, (x << U(32)) | word, x), states)
             at += rank[:, -1]
-        flat, k, texts = out.reshape(len(states), -1), 0, []
+        flat, k, texts = out.reshape(len(states), STRIDE * LANES), 0, []
         for c in coded:
             texts.append(flat[k : k + len(c[1])].ravel()[: c[0]])
             k += len(c[1])

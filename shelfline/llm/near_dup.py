@@ -21,10 +21,14 @@ from shelfline.llm.words import LOWERED, U, hash_spans, mix, seeds, shingles, so
 
 BANDS, ROWS = 56, 6
 BINS = BANDS * ROWS
+#: Bins of the finer signature by which likely pairs are told.
+FINE = 1024
 #: Members of a star confirmed in one group; a larger star is dealt over several.
 STAR = 64
-#: Centres of a bucket that its first star has left in several components.
-FIRST_HUBS = 64
+#: Members outside a bucket's largest component that are matched in one group.
+OUTSIDERS = 512
+#: The likeliest partners of such a member that are tried before all the others.
+FIRST_TRIES = 4
 
 
 def shingle_sets(batch: pa.RecordBatch, column: str, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -40,29 +44,29 @@ def _orders(bins: int) -> np.ndarray:
     return np.argsort(seeds(bins * bins, 23).reshape(bins, bins), axis=1).astype(np.int32)
 
 
-ORDERS = _orders(BINS)
+ORDERS, FINE_ORDERS = _orders(BINS), _orders(FINE)
 ROW_ODDS, BAND_SEEDS = seeds(ROWS, 31), seeds(BANDS, 37)
 
 
-def minhashes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each set, the least hash of each of ``BINS`` equal ranges of one permutation.
+def minhashes(values: np.ndarray, bounds: np.ndarray, orders: np.ndarray = ORDERS) -> np.ndarray:
+    """For each set, the least hash of each of ``len(orders)`` equal ranges of one permutation.
 
     An empty bin copies the first filled one of its own order of bins (optimal
     densification), so bins agree with the sets' Jaccard similarity even when
     there are fewer shingles than bins.  Rows of empty sets are zero.
     """
-    n = len(bounds) - 1
+    n, size = len(bounds) - 1, len(orders)
     text = np.repeat(np.arange(n), np.diff(bounds))
-    cell = text * BINS + (((values >> U(32)) * U(BINS)) >> U(32)).astype(np.int64)
+    cell = text * size + (((values >> U(32)) * U(size)) >> U(32)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else cell
-    out, filled = np.zeros((n, BINS), U), np.zeros((n, BINS), bool)
+    out, filled = np.zeros((n, size), U), np.zeros((n, size), bool)
     out.flat[cell[first]] = values[first]
     filled.flat[cell[first]] = True
     rows, bins = np.nonzero(~filled & (np.diff(bounds) > 0)[:, None])
-    for step in range(BINS):
+    for step in range(size):
         if not len(rows):
             break
-        donor = ORDERS[bins, step]
+        donor = orders[bins, step]
         found = filled[rows, donor]
         out[rows[found], bins[found]] = out[rows[found], donor[found]]
         rows, bins = rows[~found], bins[~found]
@@ -70,15 +74,10 @@ def minhashes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def band_keys(found: np.ndarray) -> np.ndarray:
-    """A row of ``BANDS`` bucket keys for each row of minhashes."""
+    """A row of ``BANDS`` bucket keys for each row of minhashes; a key's last six bits are its band."""
     rows = found.reshape(-1, BANDS, ROWS) * ROW_ODDS
-    return mix(rows.sum(axis=2, dtype=U) + BAND_SEEDS).view(np.int64)
-
-
-def sketches(rows: np.ndarray) -> np.ndarray:
-    """Two longs a set: the low bits of its first 128 (mixed) minhashes, of which J / 2 more than half agree."""
-    bits = np.packbits((mix(rows[:, :128]) & U(1)).astype(np.uint8), axis=1)
-    return np.ascontiguousarray(bits).view(np.int64)
+    keys = mix(rows.sum(axis=2, dtype=U) + BAND_SEEDS)
+    return ((keys & ~U(63)) | np.arange(BANDS, dtype=U)).view(np.int64)
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -88,7 +87,7 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``(id, n, h1, h2, s1, s2, bands)`` of each row of ``docs(id, text)``: set size, digest, sketch, bucket keys."""
+    """``(id, n, h1, h2, bands)`` of each row of ``docs(id, text)``: set size, digest, bucket keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,18 +95,38 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             for values, bounds in shingle_sets(batch, "text", width):
                 size = np.diff(bounds)
                 least = minhashes(values, bounds)
-                keys, sketch = band_keys(least)[size > 0], sketches(least)
+                keys = band_keys(least)[size > 0]
                 at = np.concatenate(([0], np.cumsum((size > 0) * BANDS))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(row, len(size)), pa.array(size, pa.int64()),
                      pa.array(_sums(values, bounds)), pa.array(_sums(mix(values), bounds)),
-                     pa.array(sketch[:, 0]), pa.array(sketch[:, 1]),
                      pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel()))],
-                    ["id", "n", "h1", "h2", "s1", "s2", "bands"],
+                    ["id", "n", "h1", "h2", "bands"],
                 )
                 row += len(size)
 
-    return docs.mapInArrow(sign, "id long, n long, h1 long, h2 long, s1 long, s2 long, bands array<long>")
+    return docs.mapInArrow(sign, "id long, n long, h1 long, h2 long, bands array<long>")
+
+
+def sketches(texts: DataFrame, width: int) -> DataFrame:
+    """``(id, sketch, keys)`` of ``texts(id, text)``: a byte of each fine minhash, four of each bucket key.
+
+    Of the sketch's bytes, a little over J agree.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = 0
+            for values, bounds in shingle_sets(batch, "text", width):
+                fine = mix(minhashes(values, bounds, FINE_ORDERS)).astype(np.uint8)
+                keys = (band_keys(minhashes(values, bounds)).view(U) >> U(6)).astype("<u4")
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(row, len(fine)), pa.array([x.tobytes() for x in fine], pa.binary()), pa.array([x.tobytes() for x in keys], pa.binary())],
+                    ["id", "sketch", "keys"],
+                )
+                row += len(fine)
+
+    return texts.mapInArrow(sketch, "id long, sketch binary, keys binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -151,17 +170,91 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     )
 
 
-def _possible(percent: int):
-    """Whether two sets, of sizes and sketches in ``n, s1, s2`` and ``an, as1, as2``, may reach the threshold.
+def _sizes_allow(x: str, y: str, percent: int):
+    """Sets of these sizes can reach the threshold at all."""
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def _likely(percent: int) -> float:
+    """Agreement of sketches that a pair at the threshold falls short of once in a million times."""
+    share = percent / 100
+    return FINE * share - 4.75 * (FINE * share * (1 - share)) ** 0.5
+
+
+def leftover(met: DataFrame, labels: DataFrame, sketched: DataFrame, percent: int, most: int | None = None) -> DataFrame:
+    """Pairs ``(a, b, alike)`` that share a bucket of ``met(id, n, key)``, lie in different components and are likely.
 
-    Their sizes must allow it.  Of 128 sketch bits, sets at 80% differ in 12.8 on
-    average; more than 33 have a chance of 2e-8.
+    In each bucket the members outside its largest component are set against all
+    members, by sketch.  A pair is given once, in the first band it shares.  With
+    ``most``, only so many of the likeliest for each such member and bucket.
+    A bucket is dealt over as many groups as its outsiders need; members stream by.
     """
-    differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("as1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("as2")))
-    # 2e-8 at 80%; the mean and the spread above it move with the threshold
-    share = (100 - percent) / 200
-    most = int(128 * share + 6 * (128 * share * (1 - share)) ** 0.5)
-    return (100 * F.least("n", "an") >= percent * F.greatest("n", "an")) & (differ <= most)
+    apart = met.select("id", "n", "key").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    kinds = apart.groupBy("key", "component").agg(F.count("id").alias("size"))
+    largest = kinds.groupBy("key").agg(F.max(F.struct("size", (-F.col("component")).alias("minus"))).alias("c"), F.sum("size").alias("size"))
+    mixed = largest.where("c.size < size").select(
+        "key", (-F.col("c.minus")).alias("main"), F.ceil((F.col("size") - F.col("c.size")) / OUTSIDERS).alias("groups")
+    )
+    apart = apart.join(mixed, "key")
+    outside = apart.where("component <> main").withColumn("chunk", F.pmod(F.hash("id"), "groups")).withColumn("member", F.lit(0))
+    everyone = apart.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).withColumn("member", F.lit(1))
+    columns = ["key", "chunk", "member", "id", "component", "n"]
+    rows = outside.select(columns).union(everyone.select(columns)).join(sketched, "id")
+    floor = _likely(percent)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ours, best = None, [], {}
+        table = None
+
+        def given() -> pa.RecordBatch:
+            nonlocal best
+            found = [(a, b, alike) for a, pairs in best.items() for alike, b in pairs]
+            best = {}
+            a, b, alike = zip(*found, strict=True) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(alike, pa.int32())], ["a", "b", "alike"])
+
+        for batch in batches:
+            keys, chunks, roles, ids, parts, sizes = (batch.column(c).to_pylist() for c in ("key", "chunk", "member", "id", "component", "n"))
+            data, bands = (np.array([np.frombuffer(x, kind) for x in batch.column(c).to_pylist()]) for c, kind in (("sketch", "u1"), ("keys", "<u4")))
+            i = 0
+            while i < len(ids):
+                if group != (keys[i], chunks[i]):
+                    if best:
+                        yield given()
+                    group, ours, table = (keys[i], chunks[i]), [], None
+                if not roles[i]:
+                    ours.append((ids[i], parts[i], sizes[i], data[i], bands[i]))
+                    i += 1
+                    continue
+                j = i
+                while j < len(ids) and j < i + 32 and group == (keys[j], chunks[j]):
+                    j += 1
+                if table is None:
+                    table = [np.array([o[k] for o in ours]) for k in range(5)]
+                own_id, own_part, own_n, own, own_bands = table
+                alike = (data[i:j, None, :] == own[None, :, :]).sum(axis=2)
+                there, here = np.array(ids[i:j])[:, None], np.array(parts[i:j])[:, None]
+                n = np.array(sizes[i:j])[:, None]
+                likely = (alike >= floor) & (here != own_part) & (100 * np.minimum(n, own_n) >= percent * np.maximum(n, own_n))
+                for m, o in zip(*np.nonzero(likely), strict=True):
+                    if int((bands[i + m] == own_bands[o]).argmax()) != keys[i] & 63:
+                        continue
+                    pairs = best.setdefault(int(own_id[o]), [])
+                    pairs.append((int(alike[m, o]), int(there[m, 0])))
+                    if most and len(pairs) > 4 * most:
+                        pairs[:] = sorted(pairs, reverse=True)[:most]
+                i = j
+            if not most and sum(map(len, best.values())) > 50_000:
+                yield given()
+            if most:
+                for pairs in best.values():
+                    pairs[:] = sorted(pairs, reverse=True)[:most]
+        if best:
+            yield given()
+
+    matched = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "member", "id").mapInArrow(match, "a long, b long, alike int")
+    once = matched.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max(F.struct("alike", "a", "b")).alias("p"))
+    return once.select("p.a", "p.b", "p.alike")
 
 
 def near_duplicates(
@@ -175,11 +268,12 @@ def near_duplicates(
 
     Stars: an id first joins the centre it shares most buckets with, the centre
     of a bucket being the member that meets the most others over all its buckets
-    (the original among its edited copies).  In buckets whose members are then
-    still in different components, the first 64 members, then the next 4096 and so
-    on, are centres too, until every bucket is one component or each of its members
-    has been a centre: there is no cap on candidates, and a group of copies is
-    settled by its first star.  Edges within a component are not drawn.
+    (the original among its edited copies).  In buckets whose members are then still
+    in different components, those outside the largest one are matched with all
+    members by finer signatures: first the likeliest partners, then, of those still
+    outside, every partner whose signature allows the threshold.  There is no cap on
+    candidates, edges within a component are not drawn, and a group of copies is
+    settled by its first star.
 
     Null, empty or wordless texts have an empty set and are linked with nothing.
     A row without id is linked with nothing and kept (its component is null).
@@ -190,7 +284,7 @@ def near_duplicates(
     named = signed.where("id is not null and n > 0")
     classes = saved(named.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "classes")
     reps = named.join(classes.withColumnRenamed("rep", "id"), ["id", "h1", "h2", "n"], "left_semi")
-    labels = _labels(reps.select("id", "n", "s1", "s2", "bands"), docs, width, percent)
+    labels = _labels(reps.select("id", "n", "bands"), docs, width, percent)
     settled = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "h1", "h2", "n", F.coalesce("component", "rep").alias("component")
     )
@@ -220,43 +314,34 @@ def without_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) ->
 
 
 def _labels(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``(id, component)`` of the linked classes among ``reps(id, n, s1, s2, bands)``."""
+    """``(id, component)`` of the linked classes among ``reps(id, n, bands)``."""
     members = reps.select("id", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("id").alias("size")).where("size > 1")
     met = saved(members.join(shared, "key"), "met")
-    scores = met.groupBy("id").agg(F.sum("size").alias("score")).join(reps.drop("bands"), "id")
+    scores = met.groupBy("id").agg(F.sum("size").alias("score")).join(reps.select("id", "n"), "id")
     met = saved(met.select("key", "id").join(scores, "id"), "scored")
     texts = saved(docs.join(scores.select("id"), "id", "left_semi"), "candidates")
 
-    about = F.struct("score", (-F.col("id")).alias("minus"), F.col("n").alias("an"), F.col("s1").alias("as1"), F.col("s2").alias("as2"))
-    centre = met.groupBy("key").agg(F.max(about).alias("c")).select("key", "c.minus", F.col("c.score").alias("top"), "c.an", "c.as1", "c.as2")
-    drawn = met.join(centre, "key").where((F.col("id") != -F.col("minus")) & _possible(percent))
+    about = F.struct("score", (-F.col("id")).alias("minus"), "n")
+    centre = met.groupBy("key").agg(F.max(about).alias("c")).select("key", "c.minus", F.col("c.score").alias("top"), F.col("c.n").alias("cn"))
+    drawn = met.join(centre, "key").where((F.col("id") != -F.col("minus")) & _sizes_allow("n", "cn", percent))
     votes = drawn.groupBy("id", "minus", "top").agg(F.count("n").alias("votes"))
     best = votes.groupBy("id").agg(F.max(F.struct("votes", "top", "minus")).alias("c"))
     pairs = saved(best.select((-F.col("c.minus")).alias("a"), F.col("id").alias("b")), "pairs")
-    tried = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     links = saved(confirm(pairs, texts, width, percent), "links")
-
-    hubs_now, labels = FIRST_HUBS, components(links)
-    while True:
-        apart = met.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        ranked = Window.partitionBy("key").orderBy(F.desc("score"), "id")
-        met = saved(apart.join(mixed, "key", "left_semi").withColumn("rank", F.row_number().over(ranked)), "apart")
-        if met.isEmpty():
+    labels = components(links)
+
+    sketched = sketches(texts, width)
+    for most in (FIRST_TRIES, None):
+        pairs = leftover(met, labels, sketched, percent, most)
+        if most:
+            nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("alike"), "b"))
+            pairs = pairs.withColumn("nth", nth).where(F.col("nth") <= most)
+        pairs = saved(pairs.select("a", "b"), "pairs")
+        if pairs.isEmpty():
             return labels
-        hubs = met.where(F.col("rank") <= hubs_now).select(
-            "key", F.col("id").alias("a"), F.col("rank").alias("ar"), F.col("component").alias("ac"),
-            F.col("n").alias("an"), F.col("s1").alias("as1"), F.col("s2").alias("as2"),
-        )
-        drawn = met.join(hubs, "key").where((F.col("rank") > F.col("ar")) & (F.col("component") != F.col("ac")) & _possible(percent))
-        fresh = drawn.select(F.least("a", "id").alias("x"), F.greatest("a", "id").alias("y"), "a", F.col("id").alias("b"))
-        fresh = fresh.groupBy("x", "y").agg(F.min_by(F.struct("a", "b"), "a").alias("p")).join(tried, ["x", "y"], "left_anti")
-        fresh = saved(fresh, "pairs")
-        tried = tried.union(fresh.select("x", "y"))
-        more = saved(confirm(fresh.select("p.a", "p.b"), texts, width, percent), "links")
+        more = saved(confirm(pairs, texts, width, percent), "links")
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
-        met = met.where(F.col("rank") > hubs_now).drop("rank", "component")
-        hubs_now *= 64
+    return labels

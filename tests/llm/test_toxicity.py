@@ -1,0 +1,135 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+
+from shelfline.llm import toxicity
+from shelfline.llm.common import blocks
+
+
+def grams_of(word, order=toxicity.ORDER):
+    padded = " " * (order - 1) + word.lower() + " "
+    return [padded[i : i + order] for i in range(len(word) + 1)]
+
+
+def as_number(gram):
+    return int.from_bytes(gram.encode(), "big")
+
+
+def test_spelling_against_slices():
+    texts = ["Idiot, it's ünd", "", "a 1x"]
+    (block,) = blocks(pa.array(texts, pa.string()))
+    words = toxicity.runs(block)
+    raw = block.data.tobytes()
+    found = [raw[a:b].decode() for a, b in zip(words.starts, words.ends)]
+    assert found == ["Idiot", "it's", "ünd", "a", "1x"]
+    grams, bounds = toxicity.spelling(block, words.starts, words.ends)
+    for i, word in enumerate(found):
+        data = b" " * 5 + word.lower().encode() + b" "
+        want = [int.from_bytes(data[k : k + 6], "big") for k in range(len(data) - 5)]
+        assert grams[bounds[i] : bounds[i + 1]].tolist() == want
+
+
+class Plain:
+    """Interpolated Kneser-Ney as in the books, with dictionaries; the shared level below."""
+
+    def __init__(self, counts, shared):
+        self.levels, self.shared = {}, shared
+        now = dict(counts)
+        for order in range(toxicity.ORDER, toxicity.LEAST - 1, -1):
+            if order < toxicity.ORDER:
+                below = {}
+                for gram in counts:
+                    below[gram[-order:]] = below.get(gram[-order:], 0) + 1
+                now = below
+            self.levels[order] = now
+
+    @staticmethod
+    def step(now, gram, lower):
+        context = gram[:-1]
+        same = {g: n for g, n in now.items() if g[:-1] == context}
+        if not same:
+            return lower
+        total = sum(same.values())
+        return max(same.get(gram, 0) - toxicity.DISCOUNT, 0) / total + toxicity.DISCOUNT * len(same) / total * lower
+
+    def p(self, gram):
+        p = self.step(self.shared, gram[-(toxicity.LEAST - 1) :], 1 / 256)
+        for order in range(toxicity.LEAST, toxicity.ORDER + 1):
+            p = self.step(self.levels[order], gram[-order:], p)
+        return p
+
+
+def counted(words):
+    out = {}
+    for w in words:
+        for g in grams_of(w):
+            out[g] = out.get(g, 0) + 1
+    return out
+
+
+def arrays(counts):
+    grams = sorted((as_number(g), n) for g, n in counts.items())
+    return np.array([g for g, _ in grams], np.uint64), np.array([n for _, n in grams])
+
+
+def test_gains_against_dictionaries():
+    rng = random.Random(2)
+    toxic = [rng.choice(["idiot", "moron", "the", "and", "then"]) for _ in range(40)]
+    ordinary = [rng.choice(["the", "and", "then", "thing", "other"]) for _ in range(60)]
+    everything = {g for w in {*toxic, *ordinary, "unseen", "words"} for g in grams_of(w)}
+    shared = {}
+    for g in everything:
+        shared[g[-3:]] = shared.get(g[-3:], 0) + 1
+    a, b = Plain(counted(toxic), shared), Plain(counted(ordinary), shared)
+    model = toxicity.model(arrays(counted(toxic)), arrays(counted(ordinary)), arrays(shared))
+    grams = sorted({g for w in ["idiot", "idiots", "the", "unseen", "zzz", "thing"] for g in grams_of(w)})
+    got = model.gains(np.array([as_number(g) for g in grams], np.uint64))
+    want = [np.log(a.p(g)) - np.log(b.p(g)) for g in grams]
+    assert np.allclose(got, want)
+    (block,) = blocks(pa.array(["The idiot", "", "thing the the"], pa.string()))
+    want = [np.mean([sum(np.log(a.p(g)) - np.log(b.p(g)) for g in grams_of(w)) for w in t.split()] or [0]) for t in ["the idiot", "", "thing the the"]]
+    assert np.allclose(model.evidence(block), want)
+
+
+def corpus(spark, n=900):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(n):
+        toxic = i % 5 == 0
+        words = ["".join(rng.choices(["th", "er", "on", "an", "re", "ing"], k=rng.randint(1, 3))) for _ in range(80)]
+        if toxic:
+            for _ in range(5):
+                words[rng.randrange(80)] = rng.choice(["blixor", "blixa", "grumpf", "blixend"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_held_out_accuracy_and_no_peeking(spark):
+    docs, labels = corpus(spark)
+    scorer = toxicity.train(docs, labels)
+    held = docs.where(toxicity.remainder(docs["doc_id"]) == 1)
+    got = toxicity.score(held, scorer).collect()
+    assert sum(r["toxic"] == (r["doc_id"] % 5 == 0) for r in got) >= 0.97 * len(got)
+    # labels of held-out rows change nothing
+    from pyspark.sql import functions as F
+
+    other = labels.withColumn("toxic", F.when(toxicity.remainder(F.col("doc_id")) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")).cast("int"))
+    again = toxicity.train(docs, other)
+    assert (again.slope, again.intercept) == (scorer.slope, scorer.intercept)
+
+
+def test_odd_and_empty_tables(spark, odd_docs, no_docs):
+    docs, labels = corpus(spark, 200)
+    scorer = toxicity.train(docs, labels)
+    got = toxicity.score(odd_docs, scorer)
+    rows = got.collect()
+    assert len(rows) == odd_docs.count() and set(got.columns) == set(odd_docs.columns)
+    assert all(0 <= r["toxicity"] <= 1 for r in rows)
+    assert len({r["toxicity"] for r in rows if not (r["text"] or "").strip()}) == 1
+    assert toxicity.score(no_docs, scorer).collect() == []
+    nothing = toxicity.train(no_docs, labels.limit(0))
+    assert {r["toxic"] for r in toxicity.score(odd_docs, nothing).collect()} == {False}
+    one = toxicity.train(docs, labels.where("toxic = 0"))
+    assert {r["toxic"] for r in toxicity.score(odd_docs, one).collect()} == {False}

@@ -23,7 +23,7 @@ PERCENT, MOST = 150, 2
 #: Words of a block.
 BLOCK_WORDS = 2048
 #: Fraction of the golden ratio, in units of 2**-62.
-GOLDEN = 2850178347834286189
+GOLDEN = 2850178704830799621
 
 
 def sized(docs: DataFrame) -> DataFrame:

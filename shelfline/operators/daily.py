@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions import flags
-from shelfline.sources.schemas import MEASURE
+from shelfline.sources.schemas import narrow
 
 CELL = ("trans_dt", "store_key", "prod_key")
 
@@ -23,7 +23,7 @@ def sales_cells(sales: DataFrame) -> DataFrame:
     """Transaction lines summed to one row per day, store and product.
 
     Sums go back to ``decimal(18,2)``: up to 18 digits a decimal is one long, in
-    rows, sorts and shuffles alike.  A day's total beyond that fails the cast.
+    rows, sorts and shuffles alike.  A day's total beyond that is an error.
     """
     return sales.groupBy(*CELL).agg(
         F.count(F.lit(1)).alias("n_lines"),
@@ -40,16 +40,13 @@ def sales_cells(sales: DataFrame) -> DataFrame:
 def stock_cells(inventory: DataFrame) -> DataFrame:
     """One stock row per cell.
 
-    The contract already promises that.  Should a row be delivered twice, taking
-    the maximum keeps it counted once; ``quality.repeated_keys`` lists such keys.
+    The contract already promises that.  Of rows for one cell the greatest is taken
+    as a whole (most on hand, then on order, then out of stock), so the result is a
+    row that was delivered; ``quality.repeated_keys`` lists such keys.
     """
-    return inventory.groupBy(
-        F.col("cal_dt").alias("trans_dt"), "store_key", "prod_key"
-    ).agg(
-        F.max("inventory_on_hand_qty").alias("inventory_on_hand_qty"),
-        F.max("inventory_on_order_qty").alias("inventory_on_order_qty"),
-        F.max("out_of_stock_flg").alias("out_of_stock_flg"),
-    )
+    row = F.struct("inventory_on_hand_qty", "inventory_on_order_qty", "out_of_stock_flg")
+    cells = inventory.groupBy(F.col("cal_dt").alias("trans_dt"), "store_key", "prod_key")
+    return cells.agg(F.max(row).alias("_row")).select(*CELL, "_row.*")
 
 
 def daily(sales: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -90,7 +87,7 @@ def with_coded_flags(cells: DataFrame) -> DataFrame:
 
 
 def _total(measure: str) -> Column:
-    return F.sum(measure).cast(MEASURE)
+    return narrow(F.sum(measure))
 
 
 def _either(key: str) -> Column:

@@ -48,14 +48,23 @@ def expected(listing: DataFrame, required: Sequence[str] = REQUIRED) -> DataFram
 
 
 def differences(listing: DataFrame, required: Sequence[str] = REQUIRED) -> DataFrame:
-    """Rows that break set equality: ``missing`` and ``unexpected`` tables per day."""
-    have = found(listing).drop("name")
-    names = listing.sparkSession.range(0, 1, 1, 1).select(_each(required).alias("table_name"))
-    missing = expected(listing, required).join(have, ["run_date", "table_name"], "left_anti")
-    extra = have.join(names, "table_name", "left_anti").select("run_date", "table_name")
-    return missing.withColumn("status", F.lit("missing")).unionByName(
-        extra.withColumn("status", F.lit("unexpected"))
+    """Rows that break set equality: ``missing`` and ``unexpected`` tables per day.
+
+    One pass: a day's recognised names meet in one row that says which required
+    tables are there, every other table of the day in a row of its own.
+    """
+    wanted = F.col("table_name").isin(*required)
+    other = F.when(~wanted, F.col("table_name"))
+    rows = (
+        parse(listing)
+        .filter(F.col("run_date").isNotNull())
+        .select("run_date", "table_name", F.explode(F.array_distinct(F.array(F.lit(None).cast("string"), other))).alias("other"))
     )
+    days = rows.groupBy("run_date", "other").agg(*[F.bool_or(F.col("table_name") == t).alias(f"_{t}") for t in required])
+    gaps = F.array_compact(F.array(*[F.when(~F.col(f"_{t}"), t) for t in required]))
+    listed = F.when(F.col("other").isNull(), gaps).otherwise(F.array("other"))
+    status = F.when(F.col("other").isNull(), "missing").otherwise("unexpected")
+    return days.select("run_date", F.explode(listed).alias("table_name"), status.alias("status"))
 
 
 def audit(

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfline.operators.daily import daily
 from shelfline.operators.weekly import WEEK, WEEK_END_DAY, by_week, summarise
 
 
@@ -19,6 +20,12 @@ def as_of(
     return df.filter(F.col(date_column) <= (F.date_add(limit, plus_days) if plus_days else limit))
 
 
+def cells_until(sales: DataFrame, inventory: DataFrame, days: Sequence[dt.date]) -> DataFrame:
+    """The day table for a replay of these dates: neither fact is read beyond the last of them."""
+    last = max(days)
+    return daily(as_of(sales, "trans_dt", last), as_of(inventory, "cal_dt", last))
+
+
 def replay(
     cells: DataFrame,
     calendar: DataFrame,
@@ -33,8 +40,40 @@ def replay(
     calendar, so the facts meet it in one equi-join on the date and copy a row
     only for as-of dates inside its own week (a NULL slot is the closed build).
     Copies are made and summed where ``by_week`` put the rows, without another
-    shuffle.  Closed rows then fan out to the dates they serve.
+    shuffle.  Closed rows then fan out to the dates they serve; ``compact`` leaves
+    them as they are.
+    """
+    built, weeks, closed_for = _builds(cells, calendar, days, week_end_day)
+    dates = F.when(F.col("_slot").isNull(), closed_for).otherwise(F.array("_slot"))
+    return (
+        built.join(weeks, ["yr_num", "wk_num"])
+        .withColumn("as_of", F.explode(dates))
+        .select("as_of", *[c for c in built.columns if c != "_slot"])
+    )
+
+
+def compact(
+    cells: DataFrame,
+    calendar: DataFrame,
+    days: Sequence[dt.date],
+    week_end_day: int = WEEK_END_DAY,
+) -> DataFrame:
+    """The same without copies: a closed week once, valid from its last day; an open one per date.
+
+    ``as_of`` is NULL for closed weeks: they hold for every date from ``valid_from`` on.
     """
+    built, weeks, _ = _builds(cells, calendar, days, week_end_day)
+    return built.join(weeks, ["yr_num", "wk_num"]).select(
+        F.col("_slot").alias("as_of"),
+        F.coalesce("_slot", "_close").alias("valid_from"),
+        *[c for c in built.columns if c != "_slot"],
+    )
+
+
+def _builds(
+    cells: DataFrame, calendar: DataFrame, days: Sequence[dt.date], week_end_day: int
+) -> tuple[DataFrame, DataFrame, Column]:
+    """Weeks built per slot, the last day of each week, and the dates it has closed by."""
     wanted = F.array(*[F.lit(d).cast("date") for d in sorted(set(days))])
     weeks = calendar.groupBy("yr_num", "wk_num").agg(F.max("cal_dt").alias("_close"))
     closed_for = F.filter(wanted, lambda d: d >= F.col("_close"))
@@ -53,9 +92,4 @@ def replay(
         ("_slot", *WEEK),
         week_end_day,
     )
-    dates = F.when(F.col("_slot").isNull(), closed_for).otherwise(F.array("_slot"))
-    return (
-        built.join(weeks, ["yr_num", "wk_num"])
-        .withColumn("as_of", F.explode(dates))
-        .select("as_of", *[c for c in built.columns if c != "_slot"])
-    )
+    return built, weeks, closed_for

@@ -13,6 +13,8 @@ room, the reading chosen is:
 * potential low-stock impact values the stock on hand at the day's own average
   price (no amount column for stock exists).  Each day's term is an exact decimal
   quotient at six places, so the sum does not depend on the order of rows;
+* the impact of low stock counts each flag by itself, NULL only if neither is
+  known on any day of the week;
 * partial weeks still divide by seven.
 
 ``weekly_mart_as_coded`` answers what the line-grain SQL form computes.
@@ -43,6 +45,12 @@ def on_calendar(df: DataFrame, calendar: DataFrame, date_column: str) -> DataFra
     return df.join(days, F.col(date_column) == F.col("_day"), "inner").drop("_day")
 
 
+def undated(df: DataFrame, calendar: DataFrame, date_column: str) -> DataFrame:
+    """Rows whose date the calendar does not have: those ``on_calendar`` would drop."""
+    days = calendar.select(F.col("cal_dt").alias("_day"))
+    return df.join(days, F.col(date_column) == F.col("_day"), "left_anti")
+
+
 def by_week(cells: DataFrame, calendar: DataFrame) -> DataFrame:
     """Day rows with their week, gathered by mart key.
 
@@ -85,7 +93,10 @@ def summarise(
         F.count_if("in_stock_flg").alias("in_stock_times"),
         F.count_if(low).alias("low_stock_times"),
         F.count(empty).alias("_known_days"),
-        F.sum(empty.cast("int") + low.cast("int")).alias("low_stock_impact"),
+        F.when(
+            F.count(empty) + F.count(low) > 0,
+            F.sum(F.coalesce(empty.cast("int"), F.lit(0)) + F.coalesce(low.cast("int"), F.lit(0))),
+        ).alias("low_stock_impact"),
         F.sum(F.when(low, unmet)).alias("potential_low_stock_impact"),
         F.sum(F.when(empty, amount)).alias("no_stock_impact"),
     )

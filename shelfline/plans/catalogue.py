@@ -8,6 +8,7 @@ at the very end, for comparison with another engine.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from shelfline.functions import names as N
 from shelfline.operators import landing, quality, replay, star, weekday, weekly
-from shelfline.operators.daily import CELL, daily, with_coded_flags
+from shelfline.operators.daily import CELL, daily, stock_cells, with_coded_flags
 from shelfline.plans import job
 from shelfline.plans import sample_model as sample
 from shelfline.sources import catalog, files, schemas, scratch, sinks
@@ -27,6 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 AS_OF = dt.date(1998, 9, 2)  # a Wednesday: its week is open
 REPLAY_DAYS = (dt.date(1996, 6, 30), AS_OF, dt.date(2000, 12, 31))
+PART_ROWS = 1_000
 LANDING_BASE = "s3a://landing"
 SCHEMA = "shelfline"
 
@@ -39,7 +41,7 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weekly.weekly_mart(_cells(spark, sf_dir), sample.calendar(spark))
+    return weekly.weekly_mart(_cells(spark, sf_dir), sample.model_calendar(spark, sf_dir))
 
 
 def _mart_columns(*metrics: str) -> Query:
@@ -58,22 +60,7 @@ def _plain(df: DataFrame) -> DataFrame:
 
 
 def _day_columns(cells: DataFrame) -> DataFrame:
-    return cells.select(
-        "trans_dt",
-        "store_key",
-        "prod_key",
-        "sales_qty",
-        "sales_price",
-        "sales_amt",
-        "discount",
-        "sales_cost",
-        "sales_mgrn",
-        "inventory_on_hand_qty",
-        "inventory_on_order_qty",
-        "out_of_stock_flg",
-        "in_stock_flg",
-        "low_stock_flg",
-    )
+    return cells.select(*schemas.DAY_COLUMNS)
 
 
 def _unloaded(spark: SparkSession, df: DataFrame, table: str, **layout) -> DataFrame:
@@ -130,19 +117,19 @@ def s06_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         files.list_files(spark, path, "*.parquet")
         .groupBy(year.cast("bigint").alias("yr_num"), week.cast("bigint").alias("wk_num"))
-        .agg((F.max("length") > 0).alias("has_data"))
+        .agg((F.min("length") > 0).alias("has_data"), F.bool_and(F.col("modificationTime").isNotNull()).alias("dated"))
     )
 
 
 def s08_mart_from_saved_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.fresh_path(spark, "daily")
-    sinks.save_table(_cells(spark, sf_dir), path, range_by=CELL)
-    return _plain(weekly.weekly_mart(files.read_saved(spark, path), sample.calendar(spark)))
+    sinks.save_table(_cells(spark, sf_dir), path, cluster_by=CELL[:1], sort_by=CELL)
+    return _plain(weekly.weekly_mart(files.read_saved(spark, path), sample.model_calendar(spark, sf_dir)))
 
 
 def s09_views_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.register(
-        {"sales": sample.sales(spark, sf_dir), "calendar": sample.calendar(spark)}
+        {"sales": sample.sales(spark, sf_dir), "calendar": sample.model_calendar(spark, sf_dir)}
     )
     return _plain(
         spark.sql(
@@ -176,6 +163,40 @@ def s10_external_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def s10_dimension_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job's dimensions and mart as catalog tables, joined in SQL by the views on the latest run."""
+    schema = f"{SCHEMA}_{scratch.fresh_path(spark, 'schema').rsplit('-', 1)[1]}"
+    catalog.create_schema(spark, schema, scratch.fresh_path(spark, "schema"))
+    landed = scratch.fresh_path(spark, "landed")
+    sinks.export_snapshot(sample.tables(spark, sf_dir), Location(landed), AS_OF)
+    config = job.JobConfig(AS_OF, landed, scratch.fresh_path(spark, "out"), catalog_schema=schema)
+    job.run(spark, config)
+    return _plain(
+        spark.sql(
+            f"""
+            SELECT s.store_desc, p.brand_name, c.yr_num, c.wk_num, count(*) AS n_days,
+                   max(m.wk_sales_qty) AS qty, max(m.wk_sales_amt) AS amt
+            FROM {schema}.{job.MART}_latest m
+            JOIN {schema}.store_latest s ON m.store_key = s.store_key
+            JOIN {schema}.product_latest p ON m.prod_key = p.prod_key
+            JOIN {schema}.calendar_latest c ON m.yr_num = c.yr_num AND m.wk_num = c.wk_num
+            GROUP BY s.store_desc, p.brand_name, c.yr_num, c.wk_num
+            """
+        )
+    )
+
+
+def s01_store_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer per store, every column filled, out to CSV and back through the typed reader."""
+    key, name = F.col("c_custkey"), F.col("c_name")
+    columns = {"store_key": key.cast("int"), "frnchs_flg": key % 2 == 0, "store_size": (key / 8).cast("decimal(19,3)")}
+    columns |= {"market_key": (key % 100).cast("int"), "submarket_key": (key % 1000).cast("int")}
+    columns |= {"latitude": (key / 16 - 90).cast("decimal(19,6)"), "longitude": (key / 32).cast("decimal(19,6)")}
+    texts = {n: F.substring(F.concat(name, F.lit(f", {n}")), 1, limit) for n, limit in schemas.varchar_limits("store").items()}
+    stores = sample.read(spark, sf_dir, "customer").select(*[c.alias(n) for n, c in {**texts, **columns}.items()])
+    return _plain(_unloaded(spark, stores, "store"))
+
+
 def s11_contract_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers put through the store contract: their names overrun some columns."""
     name, segment = F.col("c_name"), F.col("c_mktsegment")
@@ -202,14 +223,43 @@ def s12_job_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(files.read_saved(spark, job.run(spark, config)[job.MART]))
 
 
+def s12_append_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appended runs that keep the day table: every mart row twice, none doubled."""
+    landed, out = scratch.fresh_path(spark, "landed"), scratch.fresh_path(spark, "out")
+    sinks.export_snapshot(sample.tables(spark, sf_dir), Location(landed), AS_OF)
+    config = job.JobConfig(AS_OF, landed, out, mode="append", save_daily=True)
+    for _ in range(2):
+        saved = job.run(spark, config)
+    return _plain(
+        files.read_saved(spark, saved[job.MART])
+        .groupBy(*weekly.WEEK)
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("wk_sales_qty").alias("qty"), F.sum("wk_sales_amt").alias("amt"))
+    )
+
+
+def p11_job_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job over a drop with bad stock rows: what it rejects, and why."""
+    landed = scratch.fresh_path(spark, "landed")
+    tables = sample.tables(spark, sf_dir)
+    sinks.export_snapshot({t: df for t, df in tables.items() if t != "inventory"}, Location(landed), AS_OF)
+    sinks.unload_csv(_untrusted_stock(spark, sf_dir), Location(landed).path("inventory", AS_OF))
+    saved = job.run(spark, job.JobConfig(AS_OF, landed, scratch.fresh_path(spark, "out"), rejects=True))
+    rejects = files.read_saved(spark, saved[job.REJECTS]).groupBy("table_name", quality.REASON)
+    repeated = files.read_saved(spark, saved[job.REPEATED])
+    return rejects.agg(F.count(F.lit(1)).alias("n_rows")).union(
+        repeated.agg(F.lit("inventory"), F.lit("repeated key"), F.count(F.lit(1)))
+    )
+
+
 def s12_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two days land one after the other; each pass ingests only what is new."""
+    """Two days land one after the other, then again, once under the other name: each counts once."""
     place = Location(scratch.fresh_path(spark, "arrivals"))
     target = scratch.fresh_path(spark, "ingested")
     checkpoint = scratch.fresh_path(spark, "arrivals-checkpoint")
     stock = sample.inventory(spark, sf_dir)
-    for day in (AS_OF, AS_OF + dt.timedelta(days=1)):
-        sinks.export_snapshot({"inventory": stock}, place, day)
+    next_day = AS_OF + dt.timedelta(days=1)
+    for day, dashed in ((AS_OF, False), (next_day, False), (AS_OF, False), (next_day, True)):
+        sinks.export_snapshot({"inventory": stock}, place, day, dashed=dashed, compression="none" if dashed else "gzip")
         arrivals.ingest(spark, place, "inventory", target, checkpoint).awaitTermination()
     return _plain(
         files.read_saved(spark, target)
@@ -254,9 +304,13 @@ def k04_plain_unload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k05_bounded_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of limited length hold the same rows."""
-    return _plain(
-        _unloaded(spark, sample.inventory(spark, sf_dir), "inventory", max_records=10_000)
+    """Parts of limited length hold the same rows: how many, and none too long."""
+    stock = _unloaded(spark, sample.inventory(spark, sf_dir), "inventory", max_records=PART_ROWS)
+    parts = stock.groupBy(F.col("_metadata.file_path").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    return parts.agg(
+        F.sum("n").alias("n_rows"),
+        (F.max("n") <= PART_ROWS).alias("bounded"),
+        (F.count("part") >= F.ceil(F.sum("n") / PART_ROWS)).alias("enough_parts"),
     )
 
 
@@ -267,7 +321,22 @@ def k07_append_and_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     first_half, second_half = F.col("wk_num") <= 26, F.col("wk_num") > 26
     sinks.save_table(mart.filter(first_half), path, partition_by=("wk_num",), mode="append")
     sinks.save_table(mart.filter(second_half), path, partition_by=("wk_num",), mode="append")
-    sinks.save_table(mart.filter(second_half), path, partition_by=("wk_num",))
+    sinks.save_table(mart.filter(second_half), path, partition_by=("wk_num",), replace_partitions=True)
+    return _plain(files.read_saved(spark, path))
+
+
+def k01_rerun_smaller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second run with fewer weeks leaves none of the first run's."""
+    path = scratch.fresh_path(spark, "mart")
+    mart = _mart(spark, sf_dir)
+    for rows in (mart, mart.filter("wk_num <= 26")):
+        sinks.save_table(rows, path, partition_by=weekly.WEEK[:2])
+    return _plain(files.read_saved(spark, path))
+
+
+def k02_raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.fresh_path(spark, "sales")
+    sinks.save_table(sample.sales(spark, sf_dir), path, compression="gzip")
     return _plain(files.read_saved(spark, path))
 
 
@@ -290,7 +359,7 @@ def p04_p05_stock_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p06_p07_closing_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On-hand on the closing day, else zero; one row per stock row."""
     dated = weekly.on_calendar(
-        sample.inventory(spark, sf_dir), sample.calendar(spark), "cal_dt"
+        sample.inventory(spark, sf_dir), sample.model_calendar(spark, sf_dir), "cal_dt"
     )
     closing = F.col("day_of_wk_num") == weekly.WEEK_END_DAY
     return _plain(
@@ -305,7 +374,9 @@ def p06_p07_closing_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p08_as_of_today(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stock = sample.inventory(spark, sf_dir)
+    """Stock with its dates moved so that ``AS_OF`` falls on today: later rows go."""
+    moved = F.date_add("cal_dt", F.date_diff(F.current_date(), F.lit(AS_OF)))
+    stock = sample.inventory(spark, sf_dir).withColumn("cal_dt", moved)
     return _plain(replay.as_of(stock, "cal_dt", F.current_date()))
 
 
@@ -317,11 +388,11 @@ def p10_as_of_next_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(replay.as_of(sample.inventory(spark, sf_dir), "cal_dt", AS_OF, plus_days=1))
 
 
-def p11_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _untrusted_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as untrusted text: a status where a flag belongs, a word as quantity."""
     lines = sample.read(spark, sf_dir, "lineitem")
     flag = F.when(F.col("l_linestatus") == "F", "0").when(F.col("l_returnflag") == "A", "2")
-    raw = lines.select(
+    return lines.select(
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("cal_dt"),
         F.col("l_suppkey").cast("string").alias("store_key"),
         F.col("l_partkey").cast("string").alias("prod_key"),
@@ -334,6 +405,10 @@ def p11_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("true").alias("promotion_flg"),
         F.lit(None).cast("string").alias("next_delivery_dt"),
     )
+
+
+def p11_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _untrusted_stock(spark, sf_dir)
     checked = quality.coerce(raw, "inventory")
     return _plain(
         checked.groupBy(quality.REASON, "out_of_stock_flg").agg(
@@ -351,10 +426,39 @@ def j01_daily_sales_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(_day_columns(_cells(spark, sf_dir)))
 
 
+def j01_conflicting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stock row per line, so cells conflict: the cell keeps one of its rows whole."""
+    return _plain(stock_cells(_line_stock(spark, sf_dir)))
+
+
+def _line_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = sample.read(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("cal_dt"))
+    sold = sample.sales(spark, sf_dir).join(orders, F.col("trans_id") == F.col("o_orderkey"))
+    on_hand = F.when(F.col("trans_time") % 2 == 0, F.col("sales_qty")).otherwise(F.lit(0).cast(schemas.MEASURE))
+    return sold.select(
+        "cal_dt", "store_key", "prod_key", on_hand.alias("inventory_on_hand_qty"),
+        F.col("sales_qty").alias("inventory_on_order_qty"),
+        F.when(F.col("trans_time") != 3, F.col("trans_time") % 2 == 1).alias("out_of_stock_flg"),
+    )
+
+
+def j02_undated_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts a calendar cut short does not have: counted, not lost unseen."""
+    days = sample.model_calendar(spark, sf_dir).filter(F.col("cal_dt") <= F.lit(AS_OF))
+    lines, stock = sample.sales(spark, sf_dir), sample.inventory(spark, sf_dir)
+    return functools.reduce(
+        DataFrame.union,
+        [
+            weekly.undated(df, days, on).agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("n_rows"))
+            for t, df, on in (("sales", lines, "trans_dt"), ("inventory", stock, "cal_dt"))
+        ],
+    )
+
+
 def j03_inventory_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     stock = sample.inventory(spark, sf_dir)
     return _plain(
-        weekly.on_calendar(stock, sample.calendar(spark), "cal_dt").select(
+        weekly.on_calendar(stock, sample.model_calendar(spark, sf_dir), "cal_dt").select(
             "cal_dt", "store_key", "prod_key", "yr_num", "wk_num", "day_of_wk_num",
             "inventory_on_hand_qty",
         )
@@ -364,7 +468,7 @@ def j03_inventory_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j04_sales_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = sample.sales(spark, sf_dir)
     return _plain(
-        weekly.on_calendar(lines, sample.calendar(spark), "trans_dt").select(
+        weekly.on_calendar(lines, sample.model_calendar(spark, sf_dir), "trans_dt").select(
             "trans_id", "trans_dt", "store_key", "prod_key", "yr_num", "wk_num",
             "day_of_wk_num", "sales_qty", "sales_amt",
         )
@@ -388,7 +492,7 @@ def j06_missing_unexpected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m01_m02_weekly_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weeks = weekly.weekly_sales(sample.sales(spark, sf_dir), sample.calendar(spark))
+    weeks = weekly.weekly_sales(sample.sales(spark, sf_dir), sample.model_calendar(spark, sf_dir))
     return _plain(weekly.in_key_order(weeks))
 
 
@@ -398,18 +502,18 @@ def m_weekly_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a_weekly_mart_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     mart = weekly.weekly_mart_as_coded(
-        sample.sales(spark, sf_dir), sample.inventory(spark, sf_dir), sample.calendar(spark)
+        sample.sales(spark, sf_dir), sample.inventory(spark, sf_dir), sample.model_calendar(spark, sf_dir)
     )
     return _plain(mart)
 
 
 def a13_inventory_by_weekday(spark: SparkSession, sf_dir: str) -> DataFrame:
     stock = sample.inventory(spark, sf_dir)
-    return _plain(weekday.inventory_by_weekday(stock, sample.calendar(spark)))
+    return _plain(weekday.inventory_by_weekday(stock, sample.model_calendar(spark, sf_dir)))
 
 
 def a14_sales_by_weekday(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(weekday.sales_by_weekday(sample.sales(spark, sf_dir), sample.calendar(spark)))
+    return _plain(weekday.sales_by_weekday(sample.sales(spark, sf_dir), sample.model_calendar(spark, sf_dir)))
 
 
 def o01_ordered_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -465,8 +569,32 @@ def r01_landing_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _replay_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.cells_until(sample.sales(spark, sf_dir), sample.inventory(spark, sf_dir), REPLAY_DAYS)
+
+
 def r02_as_of_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(replay.replay(_cells(spark, sf_dir), sample.calendar(spark), REPLAY_DAYS))
+    days = sample.model_calendar(spark, sf_dir)
+    return _plain(replay.replay(_replay_cells(spark, sf_dir), days, REPLAY_DAYS))
+
+
+def r02_compact_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed weeks once, open weeks per date."""
+    days = sample.model_calendar(spark, sf_dir)
+    return _plain(replay.compact(_replay_cells(spark, sf_dir), days, REPLAY_DAYS))
+
+
+def r01_audit_of_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exported snapshot, listed from the file system and audited; one table is held back."""
+    place = Location(scratch.fresh_path(spark, "snapshot"))
+    tables = sample.tables(spark, sf_dir)
+    sinks.export_snapshot(tables, place, AS_OF)
+    sinks.export_snapshot({t: df for t, df in tables.items() if t != "store"}, place, AS_OF, label=AS_OF + dt.timedelta(days=1))
+    listed = files.list_files(spark, place.base, "*.csv.gz").filter("length > 0")
+    report = landing.audit(listed)
+    return _plain(
+        report.withColumns({"present": F.array_join("present", ","), "missing": F.array_join("missing", ",")})
+    )
 
 
 def r03_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -475,9 +603,7 @@ def r03_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r04_snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = Location(scratch.fresh_path(spark, "snapshot"))
-    return sinks.export_snapshot(
-        sample.tables(spark, sf_dir), place, AS_OF, single_file=job.DIMENSIONS
-    )
+    return sinks.export_snapshot(sample.tables(spark, sf_dir), place, AS_OF)
 
 
 QUERIES: dict[str, Query] = {
@@ -533,4 +659,14 @@ QUERIES: dict[str, Query] = {
     "k04_plain_unload": k04_plain_unload,
     "k05_bounded_parts": k05_bounded_parts,
     "k07_append_and_rerun": k07_append_and_rerun,
+    "r02_compact_replay": r02_compact_replay,
+    "r01_audit_of_snapshot": r01_audit_of_snapshot,
+    "s01_store_contract": s01_store_contract,
+    "s10_dimension_tables": s10_dimension_tables,
+    "j02_undated_facts": j02_undated_facts,
+    "j01_conflicting_stock": j01_conflicting_stock,
+    "p11_job_rejects": p11_job_rejects,
+    "s12_append_daily": s12_append_daily,
+    "k02_raw_sales": k02_raw_sales,
+    "k01_rerun_smaller": k01_rerun_smaller,
 }

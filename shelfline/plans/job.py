@@ -10,20 +10,27 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shelfline.functions import names as N
+from shelfline.operators import quality
 from shelfline.operators.daily import CELL, daily
 from shelfline.operators.weekly import WEEK, WEEK_END_DAY, weekly_mart
 from shelfline.session import build_session
-from shelfline.sources import catalog, files, sinks
+from shelfline.sources import catalog, files, schemas, scratch, sinks
 from shelfline.sources.files import Location
 
 DIMENSIONS = ("calendar", "product", "store")
 FACTS = ("sales", "inventory")
 MART = "sales_inv_store_wk"
 DAY_TABLE = "sales_inv_store_dy"
+REJECTS = "rejects"
+REPEATED = "repeated_keys"
+STOCK_KEY = ("cal_dt", "store_key", "prod_key")
 
 
 @dataclass(frozen=True)
@@ -36,7 +43,7 @@ class JobConfig:
     compression: str = "zstd"
     save_daily: bool = False
     save_sales: bool = False
-    single_file: bool = False
+    rejects: bool = False
     null_value: str | None = None
     dashed_names: bool = False
     catalog_schema: str | None = None
@@ -58,13 +65,29 @@ def read_inputs(spark: SparkSession, config: JobConfig) -> dict[str, DataFrame]:
     }
 
 
+def read_untrusted(spark: SparkSession, config: JobConfig) -> dict[str, DataFrame]:
+    """All columns as text, coerced: each table with the reason a row is rejected for."""
+    place = config.location()
+    return {
+        table: quality.coerce(
+            files.read_text_csv(spark, place.path(table, config.run_date, config.dashed_names), table, place.options),
+            table,
+        )
+        for table in FACTS + DIMENSIONS
+    }
+
+
 def run(spark: SparkSession, config: JobConfig) -> dict[str, str]:
     """Runs the job; returns the path of every table it saved.
 
-    Each table is computed once, by its own write.  If the day table is kept, the
-    mart is built from what was saved instead of joining the facts again.
+    A run's folder is replaced as a whole (mode "overwrite") or added to.  The mart
+    is built from this run's day rows only; if the day table is kept, they are
+    joined once, into a table of the job's own, and both are written from there.
+
+    With ``rejects`` nothing in a drop stops the job: rows that do not parse are
+    saved beside the mart with the reason, and so are keys of stock rows that came
+    more than once.
     """
-    inputs = read_inputs(spark, config)
     saved: dict[str, str] = {}
 
     def save(table: str, df: DataFrame, **layout) -> None:
@@ -72,24 +95,38 @@ def run(spark: SparkSession, config: JobConfig) -> dict[str, str]:
         sinks.save_table(df, path, mode=config.mode, compression=config.compression, **layout)
         saved[table] = path
 
+    if config.rejects:
+        checked = read_untrusted(spark, config)
+        inputs = {t: schemas.conform(quality.accepted(df), t) for t, df in checked.items()}
+        bad = [
+            quality.rejected(df).select(
+                F.lit(t).alias("table_name"), quality.REASON, F.to_json(F.struct(*schemas.columns(t))).alias("parsed")
+            )
+            for t, df in checked.items()
+        ]
+        save(REJECTS, functools.reduce(DataFrame.unionByName, bad), partition_by=("table_name",))
+        save(REPEATED, quality.repeated_keys(inputs["inventory"], STOCK_KEY))
+    else:
+        inputs = read_inputs(spark, config)
+
     for table in DIMENSIONS:
-        save(table, inputs[table], single_file=True)
+        save(table, inputs[table])
     if config.save_sales:
-        save("sales", inputs["sales"])  # as scanned: a copy needs no shuffle
+        save("sales", inputs["sales"])
     cells = daily(inputs["sales"], inputs["inventory"])
     if config.save_daily:
-        save(DAY_TABLE, cells, range_by=CELL)
-        cells = files.read_saved(spark, saved[DAY_TABLE])
+        own = scratch.fresh_path(spark, "cells")
+        sinks.save_table(cells, own, cluster_by=CELL[:1], sort_by=CELL)
+        cells = files.read_saved(spark, own)
+        save(DAY_TABLE, cells, cluster_by=CELL[:1], sort_by=CELL)
     mart = weekly_mart(cells, inputs["calendar"], config.week_end_day)
-    if config.single_file:
-        save(MART, mart, single_file=True, sort_by=WEEK)
-    else:
-        save(MART, mart, partition_by=WEEK[:2], sort_by=WEEK)
+    save(MART, mart, partition_by=WEEK[:2], sort_by=WEEK)
 
     if config.catalog_schema:
         catalog.create_schema(spark, config.catalog_schema)
         for table, path in saved.items():
-            catalog.expose(spark, f"{config.catalog_schema}.{table}", path)
+            name = f"{config.catalog_schema}.{table}"
+            catalog.expose_run(spark, name, path.rsplit("/", 1)[0], N.date_label(config.run_date))
     return saved
 
 
@@ -103,7 +140,7 @@ def parse_args(argv: list[str] | None = None) -> JobConfig:
     parser.add_argument("--compression", default="zstd")
     parser.add_argument("--save-daily", action="store_true")
     parser.add_argument("--save-sales", action="store_true")
-    parser.add_argument("--single-file", action="store_true")
+    parser.add_argument("--rejects", action="store_true")
     parser.add_argument("--null-value")
     parser.add_argument("--dashed-names", action="store_true")
     parser.add_argument("--catalog-schema")

@@ -8,6 +8,8 @@ low-stock impact is summed in whole millionths, each day rounded half up.
 
 from __future__ import annotations
 
+from shelfline.sources.schemas import varchar_limits
+
 AS_OF = "date '1998-09-02'"
 REPLAY = "(values (date '1996-06-30'), (date '1998-09-02'), (date '2000-12-31')) d(as_of)"
 
@@ -60,7 +62,10 @@ calendar as (
   select cal_dt, isoyear(cal_dt) as yr_num, week(cal_dt) as wk_num,
          isodow(cal_dt) - 1 as day_of_wk_num
   from (select cast(d as date) as cal_dt
-        from generate_series(timestamp '1995-01-01', timestamp '2001-12-31', interval 1 day) g(d))
+        from (select least(min(l_shipdate), (select min(o_orderdate) from orders)) as lo,
+                     greatest(max(l_shipdate), (select max(o_orderdate) from orders)) as hi
+              from lineitem),
+             generate_series(date_trunc('day', lo), date_trunc('day', hi), interval 1 day) g(d))
 )"""
 
 DAILY = """
@@ -105,7 +110,9 @@ sums as (
          cast(sum(case when in_stock_flg then 1 else 0 end) as bigint) as in_stock_times,
          cast(sum(case when low_stock_flg then 1 else 0 end) as bigint) as low_stock_times,
          count(out_of_stock_flg) as known_days,
-         cast(sum(cast(out_of_stock_flg as integer) + cast(low_stock_flg as integer)) as bigint)
+         cast(sum(case when out_of_stock_flg is null and low_stock_flg is null then null
+                       else coalesce(cast(out_of_stock_flg as integer), 0)
+                            + coalesce(cast(low_stock_flg as integer), 0) end) as bigint)
            as low_stock_impact,
          cast(sum(case when low_stock_flg then
              (20000 * cast(sales_amt * 100 as hugeint)
@@ -300,7 +307,9 @@ select i.cal_dt, {CELL_KEYS},
          as closing_on_hand,
        cast(case when out_of_stock_flg = true then 1 else 0 end as bigint) as is_out
 from inventory i join calendar c on i.cal_dt = c.cal_dt""",
-    "p08_as_of_today": f"{_STOCK}\nselect {STOCK_ROW} from inventory where cal_dt <= current_date",
+    "p08_as_of_today": f"""{_STOCK},
+moved as (select * replace (cal_dt + cast(date_diff('day', {AS_OF}, current_date) as integer) as cal_dt) from inventory)
+select {STOCK_ROW} from moved where cal_dt <= current_date""",
     "p09_as_of_date": f"{_LINES}\nselect {SALES_ROW} from sales where trans_dt <= {AS_OF}",
     "p10_as_of_next_day": f"{_STOCK}\nselect {STOCK_ROW} from inventory where cal_dt <= {AS_OF} + 1",
     "p11_coercion": """
@@ -370,7 +379,7 @@ from inventory cross join (values (true), (false)) v(dashed_name) where cal_dt <
     "s03_declared_table_load": f"{_STOCK}\nselect {STOCK_ROW} from inventory",
     "s06_list_files": f"""{_MART}
 select distinct cast(yr_num as bigint) as yr_num, cast(wk_num as bigint) as wk_num,
-       true as has_data from mart""",
+       true as has_data, true as dated from mart""",
     "s08_mart_from_saved_daily": _mart(),
     "s09_views_in_sql": f"""with {SALES},{CALENDAR}
 select {KEYS}, cast(sum(sales_qty) as double) as wk_sales_qty,
@@ -409,6 +418,77 @@ group by run_date""",
     "k02_daily_roundtrip": f"{_DAILY}\nselect {DAY_ROW} from daily",
     "k03_gzip_unload": f"{_STOCK}\nselect {STOCK_ROW} from inventory",
     "k04_plain_unload": f"{_LINES}\nselect {SALES_ROW} from sales",
-    "k05_bounded_parts": f"{_STOCK}\nselect {STOCK_ROW} from inventory",
+    "k05_bounded_parts": f"""{_STOCK}
+select count(*) as n_rows, true as bounded, true as enough_parts from inventory""",
+    "k01_rerun_smaller": _mart() + " where wk_num <= 26",
+    "k02_raw_sales": f"{_LINES}\nselect {SALES_ROW} from sales",
+    "s12_append_daily": f"""{_AS_OF_MART}
+select {KEYS}, cast(2 as bigint) as n_rows, 2 * wk_sales_qty as qty, 2 * wk_sales_amt as amt from mart""",
+    "p11_job_rejects": f"""with {SALES},
+raw as (
+  select *, case when l_linestatus = 'F' then 0 when l_returnflag = 'A' then 2
+                 when l_returnflag = 'R' then 1 end as flag from lineitem
+),
+judged as (
+  select case when l_returnflag = 'N' then 'inventory_on_hand_qty'
+              when flag = 2 then 'out_of_stock_flg' end as reject_reason, * from raw
+)
+select 'inventory' as table_name, reject_reason, count(*) as n_rows
+from judged where reject_reason is not null group by reject_reason
+union all
+select 'inventory', 'repeated key', count(*)
+from (select 1 from judged where reject_reason is null
+      group by cast(l_shipdate as date), l_suppkey, l_partkey having count(*) > 1)""",
+    "j01_conflicting_stock": f"""with {SALES},
+lines as (
+  select cast(o_orderdate as date) as trans_dt, store_key, prod_key,
+         case when trans_time % 2 = 0 then sales_qty else 0 end as on_hand, sales_qty as on_order,
+         case when trans_time <> 3 then trans_time % 2 = 1 end as flag
+  from sales join orders on trans_id = o_orderkey
+)
+select trans_dt, {CELL_KEYS}, cast(on_hand as double) as inventory_on_hand_qty,
+       cast(on_order as double) as inventory_on_order_qty, flag as out_of_stock_flg
+from (select *, row_number() over (partition by trans_dt, store_key, prod_key
+                                   order by on_hand desc, on_order desc, flag desc nulls last) as nth
+      from lines)
+where nth = 1""",
+    "j02_undated_facts": f"""{_STOCK}
+select 'sales' as table_name, count(*) as n_rows from sales where trans_dt > {AS_OF}
+union all select 'inventory', count(*) from inventory where cal_dt > {AS_OF}""",
+    "s10_dimension_tables": f"""{_AS_OF_MART}
+select r_name as store_desc, brand_name, cast(m.yr_num as bigint) as yr_num,
+       cast(m.wk_num as bigint) as wk_num, count(*) as n_days, max(wk_sales_qty) as qty,
+       max(wk_sales_amt) as amt
+from mart m join region on m.store_key = r_regionkey
+     join (select distinct cast(substr(p_brand, 7) as integer) as prod_key, p_brand as brand_name
+           from part) p on m.prod_key = p.prod_key
+     join calendar c on m.yr_num = c.yr_num and m.wk_num = c.wk_num
+group by 1, 2, 3, 4""",
+    "s01_store_contract": "select " + ", ".join(
+        [f"substr(c_name || ', {n}', 1, {limit}) as {n}" for n, limit in varchar_limits("store").items()]
+    ) + """, cast(c_custkey as bigint) as store_key, c_custkey % 2 = 0 as frnchs_flg,
+       cast(cast(c_custkey / 8 as decimal(19,3)) as double) as store_size,
+       cast(c_custkey % 100 as bigint) as market_key, cast(c_custkey % 1000 as bigint) as submarket_key,
+       cast(cast(c_custkey / 16 - 90 as decimal(19,6)) as double) as latitude,
+       cast(cast(c_custkey / 32 as decimal(19,6)) as double) as longitude
+from customer""",
+    "r01_audit_of_snapshot": f"""
+select {AS_OF} as run_date, 'calendar,inventory,product,sales,store' as present, '' as missing,
+       cast(5 as bigint) as n_present, cast(0 as bigint) as n_missing, cast(0 as bigint) as n_unexpected,
+       true as ready
+union all
+select cast({AS_OF} + 1 as date), 'calendar,inventory,product,sales', 'store', 4, 1, 0, false""",
+    "r02_compact_replay": f"""with {SALES},{STOCK},{CALENDAR},{DAILY},
+closes as (select yr_num as y, wk_num as w, max(cal_dt) as close from calendar group by 1, 2),
+dated as (
+  select d.*, c.*, close, cast(null as date) as as_of, close as valid_from
+  from daily d join calendar c on trans_dt = cal_dt join closes on yr_num = y and wk_num = w
+  where close <= (select max(as_of) from {REPLAY})
+  union all
+  select d.*, c.*, close, as_of, as_of as valid_from
+  from daily d join calendar c on trans_dt = cal_dt join closes on yr_num = y and wk_num = w
+       join {REPLAY.replace(' d(as_of)', ' e(as_of)')} on trans_dt <= as_of and as_of < close
+),{_metrics('dated', 'as_of, valid_from, ' + WEEK_KEYS)}
+select as_of, valid_from, {KEYS}, {MART_COLUMNS} from mart""",
     "k07_append_and_rerun": _mart(),
 }

@@ -5,7 +5,7 @@ store      regions
 product    distinct part brands (``Brand#7`` is product 7)
 sales      line items with the store of their supplier, product of their part
 inventory  line items by order date: finished lines are on hand, all on order
-calendar   ISO weeks, Monday 0 to Sunday 6, generated from a date range
+calendar   ISO weeks, Monday 0 to Sunday 6, from the first to the last fact date
 landing    a file name per order (priority picks the table, status the style)
            and per event (its type picks the table)
 =========  =================================================================
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from shelfline.functions import names as N
 from shelfline.sources import schemas
 
-FIRST_DAY, LAST_DAY = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
 MONEY = schemas.MEASURE
 
 # The columns used here; a declared schema saves a footer-reading job per table.
@@ -50,7 +49,7 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "inventory": inventory(spark, sf_dir),
         "store": store(spark, sf_dir),
         "product": product(spark, sf_dir),
-        "calendar": calendar(spark),
+        "calendar": model_calendar(spark, sf_dir),
     }
 
 
@@ -125,9 +124,18 @@ def product(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def calendar(
-    spark: SparkSession, first: dt.date = FIRST_DAY, last: dt.date = LAST_DAY
-) -> DataFrame:
+def model_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calendar of all dates between the first and the last of either fact.
+
+    Two dates reach the driver; with them the calendar's size is known in advance.
+    """
+    days = read(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("d"))
+    days = days.union(read(spark, sf_dir, "orders").select(F.to_date("o_orderdate")))
+    first, last = days.agg(F.min("d"), F.max("d")).first()
+    return calendar(spark, first, last)
+
+
+def calendar(spark: SparkSession, first: dt.date, last: dt.date) -> DataFrame:
     """One row per date; its size is known from the range, so Spark broadcasts it."""
     n_days = (last - first).days + 1
     day = F.date_add(F.lit(first), F.col("id").cast("int"))

@@ -24,9 +24,20 @@ def load(df: DataFrame, table: str, name: str) -> None:
 
 
 def expose(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """Make a saved parquet folder a catalog table, its partitions included."""
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    df = spark.catalog.createTable(name, path=path, source="parquet")
+    """Make a saved parquet folder a catalog table, its partitions included.
+
+    An existing table stays where it is: partitions written since are added, so
+    readers never find it gone.
+    """
+    if not spark.catalog.tableExists(name):
+        spark.catalog.createTable(name, path=path, source="parquet")
     if spark.sql(f"DESCRIBE TABLE {name}").filter("col_name = '# Partition Information'").count():
         spark.catalog.recoverPartitions(name)
+    spark.catalog.refreshTable(name)
     return spark.table(name)
+
+
+def expose_run(spark: SparkSession, name: str, folder: str, run_date: str) -> None:
+    """The folder of all runs as a table partitioned by ``run_date``, and ``{name}_latest`` on one run."""
+    expose(spark, name, folder)
+    spark.sql(f"CREATE OR REPLACE VIEW {name}_latest AS SELECT * FROM {name} WHERE run_date = {run_date}")

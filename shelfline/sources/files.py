@@ -55,11 +55,13 @@ def read_csv(
     return schemas.conform(raw, table)
 
 
-def read_text_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
+def read_text_csv(
+    spark: SparkSession, path: str, table: str, options: dict[str, str] | None = None
+) -> DataFrame:
     """The same columns as text, for ``quality.coerce``."""
     return (
         spark.read.schema(schemas.text_ddl(table))
-        .options(**{**CSV_PROFILE, "mode": "PERMISSIVE"})
+        .options(**{**(options or CSV_PROFILE), "mode": "PERMISSIVE"})
         .csv(path)
     )
 

@@ -109,6 +109,12 @@ KEYS: dict[str, tuple[str, ...]] = {
 # The date an as-of filter applies to; dimensions are always whole.
 FACT_DATES: dict[str, str] = {"sales": "trans_dt", "inventory": "cal_dt"}
 
+# The day table's columns.
+DAY_COLUMNS = (
+    "trans_dt", "store_key", "prod_key", "sales_qty", "sales_price", "sales_amt", "discount", "sales_cost", "sales_mgrn",
+    "inventory_on_hand_qty", "inventory_on_order_qty", "out_of_stock_flg", "in_stock_flg", "low_stock_flg",
+)
+
 MEASURE = "decimal(18,2)"
 
 
@@ -147,14 +153,22 @@ def _plain(kind: str) -> str:
 
 
 def flag_from_int(flag: Column) -> Column:
-    """0/1 to boolean; anything else (including NULL) is unknown."""
-    return F.when(flag == 1, True).when(flag == 0, False)
+    """0/1 to boolean, NULL stays unknown; any other value is an error."""
+    other = F.raise_error(F.concat(F.lit("a stock flag must be 0, 1 or empty, not "), flag.cast("string")))
+    return F.when(flag == 1, True).when(flag == 0, False).when(flag.isNotNull(), other.cast("boolean"))
+
+
+def narrow(value: Column) -> Column:
+    """To ``MEASURE``; a value that does not fit is an error, whatever the session's ANSI mode."""
+    fits = value.try_cast(MEASURE)
+    lost = F.raise_error(F.concat(F.lit(f"does not fit {MEASURE}: "), value.cast("string")))
+    return F.when(value.isNull() | fits.isNotNull(), fits).otherwise(lost.cast(MEASURE))
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Contract types to operator types.  A projection only, so it prunes."""
     changes: dict[str, Column] = {
-        name: F.col(name).cast(MEASURE)
+        name: narrow(F.col(name))
         for name, kind in CONTRACTS[table]
         if kind == "decimal(38,2)" and table in FACT_DATES
     }

@@ -1,8 +1,7 @@
-"""Where a job may put files of its own: the folder the cluster shares."""
+"""Where a job may put files of its own: a folder all executors share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,19 +10,9 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``.
-
-    Only a local-mode session without one gets a folder on this machine; on a
-    cluster the setting is required, because executors share nothing else.
-    """
+    """The session's ``spark.checkpoint.dir`` or, without one, a folder of its warehouse."""
     base = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {SETTING} to a folder all executors share")
-    base = tempfile.mkdtemp(prefix="shelfline-")
-    spark.conf.set(SETTING, base)
-    return base
+    return base.rstrip("/") if base else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -13,11 +13,6 @@ from shelfline.operators.replay import as_of as cut
 from shelfline.sources import schemas
 from shelfline.sources.files import Location
 
-# Fixed value: byte cap of one unloaded file.  Spark writers have no byte cap, so
-# it bounds which tables may go into a single file.
-MAX_FILE_BYTES = 107_772_160
-
-
 def table_path(base: str, table: str, run_date: dt.date) -> str:
     """``run_date=`` in the path makes every run a prunable partition."""
     return f"{base.rstrip('/')}/{table}/run_date={N.date_label(run_date)}"
@@ -28,33 +23,30 @@ def save_table(
     path: str,
     *,
     partition_by: Sequence[str] = (),
+    cluster_by: Sequence[str] = (),
     sort_by: Sequence[str] = (),
-    range_by: Sequence[str] = (),
-    single_file: bool = False,
     compression: str = "zstd",
     mode: str = "overwrite",
+    replace_partitions: bool = False,
 ) -> None:
     """Write parquet.
 
-    ``partition_by`` makes folders.  Rows are rebalanced on those columns first:
-    adaptive execution splits a large partition over several tasks and merges
-    small ones.  ``range_by`` makes files of disjoint, sorted key ranges instead,
-    which readers skip by their min/max statistics.  Sorting always comes after
-    the shuffle, so files really are sorted.  With ``mode`` "overwrite" a rerun
-    replaces only the partitions it writes.
+    ``partition_by`` makes folders; ``cluster_by`` only brings rows of near keys into
+    the same files.  Rows are rebalanced on those columns: adaptive execution alone
+    decides the number of files, splits a large partition over several tasks and
+    merges small ones.  Sorting comes after the shuffle, so files really are sorted.
+    With ``mode`` "overwrite" the whole folder is replaced, or with
+    ``replace_partitions`` only the partitions that the rows belong to.
     """
-    if partition_by:
-        df = df.hint("rebalance", *partition_by)
-    elif range_by:
-        df = df.repartitionByRange(*range_by)
-    elif single_file:
-        df = _single(df)
-    order = list(dict.fromkeys([*partition_by, *range_by, *sort_by]))
+    by = [*partition_by, *cluster_by]
+    df = df.hint("rebalance", *by)
+    order = list(dict.fromkeys([*by, *sort_by]))
     if order:
         df = df.sortWithinPartitions(*order)
     writer = df.write.mode(mode).option("compression", compression)
     if partition_by:
-        writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
+        overwrite = "dynamic" if replace_partitions else "static"
+        writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", overwrite)
     writer.parquet(path)
 
 
@@ -63,19 +55,18 @@ def unload_csv(
     path: str,
     *,
     compression: str = "gzip",
-    single_file: bool = False,
     max_records: int = 0,
     mode: str = "overwrite",
 ) -> None:
     """Write headered CSV part files below ``path``.
 
+    Rows are rebalanced first, so one long input partition is not one writer.
     ``max_records`` limits the rows of a part (0: no limit); more parts mean more
     readers later, as gzip files do not split.
     """
-    if single_file:
-        df = _single(df)
     (
-        df.write.mode(mode)
+        df.hint("rebalance")
+        .write.mode(mode)
         .option("header", "true")
         .option("dateFormat", "yyyy-MM-dd")
         .option("compression", compression)
@@ -92,23 +83,19 @@ def export_snapshot(
     compression: str = "gzip",
     dashed: bool = False,
     label: dt.date | None = None,
-    single_file: Sequence[str] = (),
 ) -> DataFrame:
     """Unload every table as of a date; returns ``(table_name, rows_written)``.
 
     Facts are cut at ``as_of``, dimensions go whole, and one date drives both the
-    cut and the file label.  Rows are counted by the writing tasks themselves, not
-    by a second scan; nothing is shuffled after the count, so a task that is run
-    again after a loss is not counted twice.  Tables named in ``single_file`` go
-    into one file if small.
+    cut and the file label.  Rows are counted by the tasks that send them to the
+    writers, not by a second scan; a stage is counted once, so a task that is run
+    again after a loss is not counted twice.
     """
     written: list[tuple[str, int]] = []
     for table, df in tables.items():
         date_column = schemas.FACT_DATES.get(table)
         rows = cut(df, date_column, as_of) if date_column else df
         rows = schemas.to_contract(rows, table)
-        if table in single_file:
-            rows = _single(rows)
         seen = Observation()
         unload_csv(
             rows.observe(seen, F.count(F.lit(1)).alias("rows_written")),
@@ -118,18 +105,3 @@ def export_snapshot(
         written.append((table, int(seen.get["rows_written"])))
     session = next(iter(tables.values())).sparkSession
     return session.createDataFrame(written, "table_name string, rows_written bigint")
-
-
-def _single(df: DataFrame) -> DataFrame:
-    """One partition, if the rows measure no more than the file cap.
-
-    A larger table keeps its partitions: no table of unknown size goes through
-    one task.
-    """
-    return df.repartition(1) if csv_bytes(df) <= MAX_FILE_BYTES else df
-
-
-def csv_bytes(df: DataFrame) -> int:
-    """Exact size of the rows as uncompressed CSV lines, summed where they lie."""
-    line = F.octet_length(F.to_csv(F.struct(*df.columns))) + 1
-    return int(df.agg(F.coalesce(F.sum(line), F.lit(0)).alias("n")).first()["n"])

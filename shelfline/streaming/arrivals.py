@@ -2,9 +2,11 @@
 
 Each call takes the files that arrived since the last one (the checkpoint
 remembers which) and files every snapshot under its own ``run_date``, read off
-the file name.  Nothing waits in between, so a timer may call it as often as it
-likes; each file is ingested once even if an executor or the driver is lost.
-Drops are whole snapshots, so there is no window, state or late data here.
+the file name.  A day's partition holds one drop: a day delivered again, under
+the same name or the other convention, replaces it, and of two drops for a day
+in one call the last in text order counts, as in the landing audit.  Nothing
+waits in between, so a timer may call it as often as it likes.  Drops are whole
+snapshots, so there is no window, state or late data here.
 """
 
 from __future__ import annotations
@@ -18,16 +20,29 @@ from shelfline.sources import schemas
 from shelfline.sources.files import Location
 
 
-def arrivals(spark: SparkSession, location: Location, table: str, per_batch: int = 1000) -> DataFrame:
-    """An unbounded frame of one table's drops, typed, with the day they are for."""
+def arrivals(spark: SparkSession, location: Location, table: str) -> DataFrame:
+    """An unbounded frame of one table's drops, typed, with their day and file name."""
     raw = (
         spark.readStream.schema(schemas.reader_ddl(table))
         .options(**location.options)
-        .option("maxFilesPerTrigger", per_batch)
-        .csv(f"{location.base.rstrip('/')}/{table}_*")
+        .csv(f"{location.base.rstrip('/')}/{table}_[0-9]*")
+    )
+    name = N.landed_name(F.col("_metadata.file_path"))
+    named = raw.withColumn("drop_name", name).withColumn("run_date", N.date_of(name))
+    return schemas.conform(named.filter(F.col("run_date").isNotNull()), table)
+
+
+def replace_days(batch: DataFrame, target: str) -> None:
+    """Writes one drop a day; a day's partition is replaced as a whole, so a batch can run again."""
+    chosen = batch.groupBy("run_date").agg(F.max("drop_name").alias("drop_name"))
+    (
+        batch.join(chosen, ["run_date", "drop_name"])
+        .drop("drop_name")
+        .write.mode("overwrite")
+        .partitionBy("run_date")
+        .option("partitionOverwriteMode", "dynamic")
+        .parquet(target)
     )
-    dated = raw.withColumn("run_date", N.date_of(N.landed_name(F.col("_metadata.file_path"))))
-    return schemas.conform(dated, table)
 
 
 def ingest(
@@ -36,9 +51,8 @@ def ingest(
     """Starts one pass over what has arrived; wait for it with ``awaitTermination``."""
     return (
         arrivals(spark, location, table)
-        .writeStream.format("parquet")
-        .partitionBy("run_date")
+        .writeStream.foreachBatch(lambda batch, _: replace_days(batch, target))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(target)
+        .start()
     )

@@ -100,21 +100,29 @@ def test_declared_table_rejects_text_that_is_too_long(spark):
     assert spark.table("checks.store").count() == 1
 
 
-def test_single_file_only_under_the_cap(spark, tmp_path, monkeypatch):
-    df = spark.range(0, 1000, 1, 4)
-    sinks.unload_csv(df, str(tmp_path / "one"), single_file=True)
-    assert len(glob.glob(f"{tmp_path}/one/*.csv.gz")) == 1
-    monkeypatch.setattr(sinks, "MAX_FILE_BYTES", 100)
-    sinks.unload_csv(df, str(tmp_path / "many"), single_file=True)
-    assert len(glob.glob(f"{tmp_path}/many/*.csv.gz")) == 4
+def test_parts_are_bounded_by_records(spark, tmp_path):
+    df = spark.range(0, 1000, 1, 1)
     sinks.unload_csv(df, str(tmp_path / "parts"), max_records=50, compression="none")
-    assert len(glob.glob(f"{tmp_path}/parts/*.csv")) == 20
-    assert sinks.csv_bytes(spark.range(10)) == 20
+    sizes = [sum(1 for _ in open(f)) - 1 for f in glob.glob(f"{tmp_path}/parts/*.csv")]
+    assert sum(sizes) == 1000 and max(sizes) <= 50
+
+
+def test_invalid_flags_and_wide_totals_are_errors(spark):
+    rows = spark.createDataFrame([(2,), (None,), (1,)], "out_of_stock_flg int")
+    assert rows.filter("out_of_stock_flg is null or out_of_stock_flg = 1").select(schemas.flag_from_int(F.col("out_of_stock_flg"))).count() == 2
+    with pytest.raises(Exception, match="must be 0, 1 or empty, not 2"):
+        rows.select(schemas.flag_from_int(F.col("out_of_stock_flg"))).collect()
+    big = spark.sql("select cast(99999999999999999 as decimal(38,2)) as x")
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        with pytest.raises(Exception, match="does not fit"):
+            big.select(schemas.narrow(F.col("x"))).collect()
+    spark.conf.set("spark.sql.ansi.enabled", "true")
 
 
 def test_saved_files_are_sorted(spark, tmp_path):
     df = spark.range(0, 10000).select((F.col("id") * 7919 % 10007).alias("k"))
-    sinks.save_table(df, str(tmp_path / "t"), range_by=("k",))
+    sinks.save_table(df, str(tmp_path / "t"), cluster_by=("k",))
     for path in glob.glob(f"{tmp_path}/t/*.parquet"):
         keys = [r.k for r in spark.read.parquet(path).collect()]
         assert keys == sorted(keys)
@@ -124,8 +132,11 @@ def test_rerun_replaces_only_its_partitions(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     sinks.save_table(df, path, partition_by=("k",))
-    sinks.save_table(df.filter("k = 2").withColumn("v", F.lit("c")), path, partition_by=("k",))
+    changed = df.filter("k = 2").withColumn("v", F.lit("c"))
+    sinks.save_table(changed, path, partition_by=("k",), replace_partitions=True)
     assert {(r.k, r.v) for r in files.read_saved(spark, path).collect()} == {(1, "a"), (2, "c")}
+    sinks.save_table(changed, path, partition_by=("k",))
+    assert {(r.k, r.v) for r in files.read_saved(spark, path).collect()} == {(2, "c")}
 
 
 def test_external_table_sees_partitions(spark, tmp_path):
@@ -148,7 +159,7 @@ def test_listing_does_not_read_contents(spark, tmp_path, capsys):
 
 def test_job_end_to_end(spark, sample_dir, tmp_path, capsys):
     tables = sample.tables(spark, sample_dir)
-    counts = sinks.export_snapshot(tables, Location(str(tmp_path / "in")), RUN, single_file=job.DIMENSIONS)
+    counts = sinks.export_snapshot(tables, Location(str(tmp_path / "in")), RUN)
     written = {r.table_name: r.rows_written for r in counts.collect()}
     assert written["sales"] == tables["sales"].filter(F.col("trans_dt") <= RUN).count()
     listed = files.list_files(spark, str(tmp_path / "in"), "*.csv.gz")
@@ -162,8 +173,7 @@ def test_job_end_to_end(spark, sample_dir, tmp_path, capsys):
     saved = job.run(spark, config)
     assert set(saved) == {"calendar", "product", "store", "sales", job.MART}
     assert os.path.basename(saved["store"]) == "run_date=19980902"
-    assert len(glob.glob(f"{saved['store']}/*.parquet")) == 1
-    rows = spark.sql("SELECT * FROM reports.sales_inv_store_wk")
+    rows = spark.sql("SELECT * FROM reports.sales_inv_store_wk_latest").drop("run_date")
     week = files.read_saved(spark, os.path.dirname(saved[job.MART])).filter(
         "run_date = 19980902 AND yr_num = 1998 AND wk_num = 1"
     )
@@ -177,7 +187,7 @@ def test_job_end_to_end(spark, sample_dir, tmp_path, capsys):
     assert rows.count() == again.count() > 0 and rows.exceptAll(again).count() == 0
 
     sinks.save_table(files.read_saved(spark, saved["store"]), saved["store"] + "-copy", mode="append")
-    appended = job.JobConfig(RUN, str(tmp_path / "in"), str(tmp_path / "kept"), mode="append", single_file=True)
+    appended = job.JobConfig(RUN, str(tmp_path / "in"), str(tmp_path / "kept"), mode="append")
     stores = files.read_saved(spark, job.run(spark, appended)["store"])
     assert stores.count() == 2 * written["store"]
 
@@ -199,6 +209,11 @@ def test_arrivals_are_ingested_once(spark, tmp_path, make):
     assert ingested() == {day("2021-01-04"): 1}
     arrive("2021-01-05")
     assert ingested() == {day("2021-01-04"): 1, day("2021-01-05"): 2}
+    arrive("2021-01-05")  # delivered again, then under the other name
+    assert ingested() == {day("2021-01-04"): 1, day("2021-01-05"): 2}
+    sinks.export_snapshot({"inventory": stock}, place, day("2021-01-05"), dashed=True, compression="none")
+    write(tmp_path / "in" / "inventory_inv_store_wk_20210105.csv", "a,b\n1,2\n")
+    assert ingested() == {day("2021-01-04"): 1, day("2021-01-05"): 2}
 
 
 def test_shared_folder_comes_from_the_session(spark):

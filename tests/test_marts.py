@@ -183,7 +183,7 @@ def test_invariants_on_the_sample(spark, sample_dir):
 
     sales, stock = sample.sales(spark, sample_dir), sample.inventory(spark, sample_dir)
     cells = daily(sales, stock)
-    mart_rows = weekly.weekly_mart(cells, sample.calendar(spark))
+    mart_rows = weekly.weekly_mart(cells, sample.model_calendar(spark, sample_dir))
     left = sales.select(*CELL).distinct()
     right = stock.select(F.col("cal_dt").alias("trans_dt"), "store_key", "prod_key")
     assert cells.count() == left.union(right).distinct().count()

@@ -1,15 +1,16 @@
 """The shapes of plans that keep the jobs scalable."""
 
+import datetime as dt
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
-from shelfline.operators import weekly
+from shelfline.operators import landing, weekly
 from shelfline.operators.daily import daily
-from shelfline.operators.replay import as_of, replay
+from shelfline.operators.replay import as_of, cells_until, replay
 from shelfline.plans import sample_model as sample
+from shelfline.plans.catalogue import QUERIES
 
 
 @pytest.fixture
@@ -35,8 +36,8 @@ def shuffles(text):
     return re.findall(r"Exchange (?:hash|range|single)partitioning\(([^)]*)\)|Exchange SinglePartition", text)
 
 
-def test_mart_shuffles_each_fact_once_and_the_day_rows_once(spark, saved, plan):
-    text = plan(weekly.weekly_mart(daily(*saved), sample.calendar(spark)))
+def test_mart_shuffles_each_fact_once_and_the_day_rows_once(spark, sample_dir, saved, plan):
+    text = plan(weekly.weekly_mart(daily(*saved), sample.model_calendar(spark, sample_dir)))
     assert len(shuffles(text)) == 3
     assert "SortMergeJoin" in text and "FullOuter" in text
     assert "BroadcastHashJoin" in text  # the calendar
@@ -44,9 +45,9 @@ def test_mart_shuffles_each_fact_once_and_the_day_rows_once(spark, saved, plan):
     assert text.count("partial_sum(sales_qty") >= 1  # lines are summed before they move
 
 
-def test_without_broadcast_the_joins_shuffle_and_agree(spark, saved, plan):
+def test_without_broadcast_the_joins_shuffle_and_agree(spark, sample_dir, saved, plan):
     """What happens to a calendar or dimension that is over the size threshold."""
-    build = lambda: weekly.weekly_mart(daily(*saved), sample.calendar(spark))
+    build = lambda: weekly.weekly_mart(daily(*saved), sample.model_calendar(spark, sample_dir))
     usual = build().collect()
     key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set(key, "-1")
@@ -57,14 +58,14 @@ def test_without_broadcast_the_joins_shuffle_and_agree(spark, saved, plan):
         spark.conf.set(key, before)
 
 
-def test_replay_adds_no_shuffle_of_facts(spark, saved, plan):
-    mart = weekly.weekly_mart(daily(*saved), sample.calendar(spark))
-    again = replay(daily(*saved), sample.calendar(spark), [sample.FIRST_DAY])
+def test_replay_adds_no_shuffle_of_facts(spark, sample_dir, saved, plan):
+    mart = weekly.weekly_mart(daily(*saved), sample.model_calendar(spark, sample_dir))
+    again = replay(daily(*saved), sample.model_calendar(spark, sample_dir), [dt.date(1996, 6, 30)])
     assert len(shuffles(plan(again))) <= len(shuffles(plan(mart))) + 2  # calendar weeks only
 
 
-def test_weekly_sales_is_one_shuffle(spark, saved, plan):
-    text = plan(weekly.weekly_sales(saved[0], sample.calendar(spark)))
+def test_weekly_sales_is_one_shuffle(spark, sample_dir, saved, plan):
+    text = plan(weekly.weekly_sales(saved[0], sample.model_calendar(spark, sample_dir)))
     assert len(shuffles(text)) == 1
     assert re.search(r"ReadSchema: struct<prod_key:int,store_key:int,trans_dt:date,sales_qty:[^,]*,2\),sales_amt", text)
 
@@ -74,15 +75,25 @@ def test_as_of_reaches_the_scan(saved, plan):
     assert "LessThanOrEqual(trans_dt,1998-09-02)" in text
 
 
-def test_preview_is_a_top_n(spark, saved, plan):
-    weeks = weekly.weekly_sales(saved[0], sample.calendar(spark))
+def test_replay_reads_no_fact_after_its_last_date(saved, plan):
+    text = plan(cells_until(*saved, [dt.date(1996, 6, 30), dt.date(1995, 1, 1)]))
+    assert "LessThanOrEqual(trans_dt,1996-06-30)" in text and "LessThanOrEqual(cal_dt,1996-06-30)" in text
+
+
+def test_differences_read_the_listing_once(spark, sample_dir, plan):
+    text = plan(landing.differences(sample.landing_names(spark, sample_dir)))
+    assert text.count("FileScan") == 2  # orders and events
+
+
+def test_preview_is_a_top_n(spark, sample_dir, saved, plan):
+    weeks = weekly.weekly_sales(saved[0], sample.model_calendar(spark, sample_dir))
     text = plan(weekly.in_key_order(weeks).limit(20))
     assert "TakeOrderedAndProject" in text and "Sort [" not in text
 
 
 def test_no_query_plans_a_product_or_python(spark, sample_dir, plan):
-    writers = ("s01", "s02", "s03", "s06", "s08", "s10", "s12", "k0", "r04")
-    for name, query in contract.queries().items():
+    writers = ("s01", "s02", "s03", "s06", "s08", "s10", "s12", "k0", "r04", "r01_audit_of", "p11_job")
+    for name, query in QUERIES.items():
         if name.startswith(writers):
             continue
         text = plan(query(spark, sample_dir))

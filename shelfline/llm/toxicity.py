@@ -28,6 +28,8 @@ SAMPLE_DOCS = 5000
 ORDER, LEAST = 6, 4
 DISCOUNT = 0.75
 REJECT = 0.7
+#: Share of each label's sample, farthest on the other label's side, that the curve is fitted without.
+TRIM = 0.005
 
 
 def remainder(doc_id):
@@ -242,8 +244,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS)
 
     Rows whose crc32(doc_id) leaves 1 modulo 3 are never used.  Of the others, at
     most ``sample_docs`` of each label, those of least crc32, train the class models;
-    shared counts cover all of ``docs``.  With one label only, every score is 0 or 1
-    accordingly; without labels, 0.
+    shared counts cover all of ``docs``.  With texts of one label only, every score is
+    0 or 1 accordingly; without any, 0.
     """
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     marked = labels.where("doc_id is not null and toxic in (0, 1)").where(crc % 3 != 1)
@@ -267,6 +269,11 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS)
 
     scored = sample.mapInArrow(cross, "doc_id long, toxic long, x double").toPandas().sort_values(["doc_id", "toxic", "x"])
     y, x = scored["toxic"].to_numpy(), scored["x"].to_numpy()
+    if len(set(y.tolist())) < 2:
+        return Scorer(None, 0.0, 30.0 if 1 in y else -30.0)
+    # degenerate and mislabelled texts would flatten the curve
+    plain = np.where(y == 1, x >= np.quantile(x[y == 1], TRIM), x <= np.quantile(x[y == 0], 1 - TRIM))
+    y, x = y[plain], x[plain]
     natural = np.array([sizes[k] / max(1, (y == k).sum()) for k in (0, 1)])
     whole = model(together(counts[1, 0], counts[1, 1]), together(counts[0, 0], counts[0, 1]), shared)
     return Scorer(whole, *logistic(x, y, natural[y] / natural.max()))

@@ -131,5 +131,6 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs):
     assert toxicity.score(no_docs, scorer).collect() == []
     nothing = toxicity.train(no_docs, labels.limit(0))
     assert {r["toxic"] for r in toxicity.score(odd_docs, nothing).collect()} == {False}
+    assert toxicity.train(no_docs, labels).model is None
     one = toxicity.train(docs, labels.where("toxic = 0"))
     assert {r["toxic"] for r in toxicity.score(odd_docs, one).collect()} == {False}

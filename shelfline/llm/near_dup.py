@@ -27,8 +27,6 @@ FINE = 1024
 STAR = 64
 #: Members outside a bucket's largest component that are matched in one group.
 OUTSIDERS = 512
-#: The likeliest partners of such a member that are tried before all the others.
-FIRST_TRIES = 4
 
 
 def shingle_sets(batch: pa.RecordBatch, column: str, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -181,13 +179,11 @@ def _likely(percent: int) -> float:
     return FINE * share - 4.75 * (FINE * share * (1 - share)) ** 0.5
 
 
-def leftover(met: DataFrame, labels: DataFrame, sketched: DataFrame, percent: int, most: int | None = None) -> DataFrame:
-    """Pairs ``(a, b, alike)`` that share a bucket of ``met(id, n, key)``, lie in different components and are likely.
+def leftover(met: DataFrame, labels: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` that share a bucket of ``met(id, n, key)``, lie in different components and are likely.
 
     In each bucket the members outside its largest component are set against all
-    members, by sketch.  A pair is given once, in the first band it shares.  With
-    ``most``, only so many of the likeliest for each such member and bucket.
-    A bucket is dealt over as many groups as its outsiders need; members stream by.
+    members, by sketch.  A pair is given in the first band it shares only.  A bucket is dealt over as many groups as its outsiders need; members stream by.
     """
     apart = met.select("id", "n", "key").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     kinds = apart.groupBy("key", "component").agg(F.count("id").alias("size"))
@@ -203,24 +199,13 @@ def leftover(met: DataFrame, labels: DataFrame, sketched: DataFrame, percent: in
     floor = _likely(percent)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ours, best = None, [], {}
-        table = None
-
-        def given() -> pa.RecordBatch:
-            nonlocal best
-            found = [(a, b, alike) for a, pairs in best.items() for alike, b in pairs]
-            best = {}
-            a, b, alike = zip(*found, strict=True) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(alike, pa.int32())], ["a", "b", "alike"])
-
+        group, ours, table = None, [], None
         for batch in batches:
             keys, chunks, roles, ids, parts, sizes = (batch.column(c).to_pylist() for c in ("key", "chunk", "member", "id", "component", "n"))
             data, bands = (np.array([np.frombuffer(x, kind) for x in batch.column(c).to_pylist()]) for c, kind in (("sketch", "u1"), ("keys", "<u4")))
-            i = 0
+            found_a, found_b, i = [], [], 0
             while i < len(ids):
                 if group != (keys[i], chunks[i]):
-                    if best:
-                        yield given()
                     group, ours, table = (keys[i], chunks[i]), [], None
                 if not roles[i]:
                     ours.append((ids[i], parts[i], sizes[i], data[i], bands[i]))
@@ -237,24 +222,15 @@ def leftover(met: DataFrame, labels: DataFrame, sketched: DataFrame, percent: in
                 n = np.array(sizes[i:j])[:, None]
                 likely = (alike >= floor) & (here != own_part) & (100 * np.minimum(n, own_n) >= percent * np.maximum(n, own_n))
                 for m, o in zip(*np.nonzero(likely), strict=True):
-                    if int((bands[i + m] == own_bands[o]).argmax()) != keys[i] & 63:
-                        continue
-                    pairs = best.setdefault(int(own_id[o]), [])
-                    pairs.append((int(alike[m, o]), int(there[m, 0])))
-                    if most and len(pairs) > 4 * most:
-                        pairs[:] = sorted(pairs, reverse=True)[:most]
+                    if int((bands[i + m] == own_bands[o]).argmax()) == keys[i] & 63:
+                        found_a.append(int(own_id[o]))
+                        found_b.append(int(there[m, 0]))
                 i = j
-            if not most and sum(map(len, best.values())) > 50_000:
-                yield given()
-            if most:
-                for pairs in best.values():
-                    pairs[:] = sorted(pairs, reverse=True)[:most]
-        if best:
-            yield given()
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
 
-    matched = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "member", "id").mapInArrow(match, "a long, b long, alike int")
-    once = matched.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max(F.struct("alike", "a", "b")).alias("p"))
-    return once.select("p.a", "p.b", "p.alike")
+    matched = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "member", "id").mapInArrow(match, "a long, b long")
+    once = matched.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max(F.struct("a", "b")).alias("p"))
+    return once.select("p.a", "p.b")
 
 
 def near_duplicates(
@@ -270,10 +246,9 @@ def near_duplicates(
     of a bucket being the member that meets the most others over all its buckets
     (the original among its edited copies).  In buckets whose members are then still
     in different components, those outside the largest one are matched with all
-    members by finer signatures: first the likeliest partners, then, of those still
-    outside, every partner whose signature allows the threshold.  There is no cap on
-    candidates, edges within a component are not drawn, and a group of copies is
-    settled by its first star.
+    members by finer signatures, and every partner whose signature allows the
+    threshold is confirmed.  There is no cap on candidates; edges within a component
+    are not drawn, and a group of copies is settled by its star.
 
     Null, empty or wordless texts have an empty set and are linked with nothing.
     A row without id is linked with nothing and kept (its component is null).
@@ -331,17 +306,6 @@ def _labels(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     links = saved(confirm(pairs, texts, width, percent), "links")
     labels = components(links)
 
-    sketched = sketches(texts, width)
-    for most in (FIRST_TRIES, None):
-        pairs = leftover(met, labels, sketched, percent, most)
-        if most:
-            nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("alike"), "b"))
-            pairs = pairs.withColumn("nth", nth).where(F.col("nth") <= most)
-        pairs = saved(pairs.select("a", "b"), "pairs")
-        if pairs.isEmpty():
-            return labels
-        more = saved(confirm(pairs, texts, width, percent), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
-    return labels
+    pairs = saved(leftover(met, labels, sketches(texts, width), percent), "pairs")
+    more = saved(confirm(pairs, texts, width, percent), "links")
+    return labels if more.isEmpty() else components(links.union(more))

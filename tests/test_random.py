@@ -52,12 +52,14 @@ def test_mart_and_replay_on_random_facts(spark, make, seed):
     con = duckdb.connect()
     tables(con, sales, stock)
     metrics = oracle._metrics("dated", oracle.WEEK_KEYS)
-    calendar_sql = oracle.CALENDAR.replace("1995-01-01", "2020-12-01").replace("2001-12-31", "2021-02-28")
+    # the calendar runs from the first to the last of these dates
+    con.execute("create view lineitem as select timestamp '2021-02-28' as l_shipdate")
+    con.execute("create view orders as select timestamp '2020-12-01' as o_orderdate")
 
     def expected(limit):
         days = oracle.DATED.replace("trans_dt = cal_dt)", f"trans_dt = cal_dt where trans_dt <= date '{limit}')")
         cursor = con.execute(
-            f"with {calendar_sql},{oracle.DAILY},{days},{metrics}\n"
+            f"with {oracle.CALENDAR},{oracle.DAILY},{days},{metrics}\n"
             f"select {oracle.KEYS}, {oracle.MART_COLUMNS} from mart"
         )
         return bag(cursor.fetchall(), [d[0] for d in cursor.description])

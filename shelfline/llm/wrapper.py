@@ -55,6 +55,10 @@ ASIDE_WORDS = frozenset(
 HOLDERS = frozenset("body div section main article center table tbody tr td details figure".split())
 #: Not the article's text where no article is marked; an article may have a header of its own.
 OUTSIDE = frozenset(("header",))
+#: Elements that hold the page or the article whatever their names say (``class="has-sidebar"``).
+WHOLE = frozenset("html body main article".split())
+#: Of the words, those that never lie above an article of the page's own.
+OTHERS_WORDS = frozenset("comment comments commentlist discussion disqus recommended related replies respond promo promoted promotion sponsored".split())
 ARTICLE_WORDS = frozenset("article articlebody".split())
 MAIN_WORDS = frozenset("main".split())
 
@@ -89,7 +93,7 @@ def _label(tag: str, attributes: str) -> tuple[str, bool]:
         else:
             hidden |= key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", ""))
     words = {w for n in names for w in _NAME.findall(n[2:])}
-    aside = tag in ASIDE or hidden or bool(words & ASIDE_WORDS)
+    aside = tag in ASIDE or hidden or (tag not in WHOLE and bool(words & ASIDE_WORDS)) or bool(words & OTHERS_WORDS)
     found = ".".join([tag, *sorted(set(names))]).replace("/", "#"), aside
     if attributes and len(attributes) < 200:
         if len(_labels) > 20_000:
@@ -291,10 +295,11 @@ def _names(label: str) -> set[str]:
     return {w for part in label.split(".")[1:] for w in [re.sub(r"[^a-z]", "", part[2:])]}
 
 
-def _is_aside(label: str) -> bool:
+def _is_aside(label: str, lenient: bool = False) -> bool:
+    """Whether a wrapper's element is aside; if ``lenient``, only if it surely is."""
     tag = _tag(label)
     words = {w for part in label.split(".")[1:] for w in _NAME.findall(part[2:])}
-    return tag in ASIDE or bool(words & ASIDE_WORDS)
+    return tag in ASIDE or bool(words & OTHERS_WORDS) or (not lenient and tag not in WHOLE and bool(words & ASIDE_WORDS))
 
 
 def article_paths(wrapper: list, texts: dict[str, list]) -> list[str]:
@@ -306,23 +311,24 @@ def article_paths(wrapper: list, texts: dict[str, list]) -> list[str]:
     article's, in that last case.  ``texts``: characters, those in links, whether
     constant, by path.
     """
-    found: dict[int, list[str]] = {0: [], 1: []}
-    todo = [("", wrapper)]
-    while todo:
-        above, node = todo.pop()
-        for child in node[CHILDREN]:
-            path, label = f"{above}/{child[LABEL]}", child[LABEL]
-            if _is_aside(label):
-                continue
-            names = _names(label)
-            if _tag(label) == "article" or names & ARTICLE_WORDS:
-                found[0].append(path)
-                continue
-            if _tag(label) == "main" or names & MAIN_WORDS:
-                found[1].append(path)
-            todo.append((path, child))
-    if found[0] or found[1]:
-        return sorted(found[0]) or sorted(p for p in found[1] if not any(p.startswith(f"{q}/") for q in found[1]))
+    for lenient in (False, True):  # a layout's names (``with-sidebar``) do not hide the article in it
+        found: dict[int, list[str]] = {0: [], 1: []}
+        todo = [("", wrapper)]
+        while todo:
+            above, node = todo.pop()
+            for child in node[CHILDREN]:
+                path, label = f"{above}/{child[LABEL]}", child[LABEL]
+                if _is_aside(label, lenient):
+                    continue
+                names = _names(label)
+                if _tag(label) == "article" or names & ARTICLE_WORDS:
+                    found[0].append(path)
+                    continue
+                if _tag(label) == "main" or names & MAIN_WORDS:
+                    found[1].append(path)
+                todo.append((path, child))
+        if found[0] or found[1]:
+            return sorted(found[0]) or sorted(p for p in found[1] if not any(p.startswith(f"{q}/") for q in found[1]))
     weight: dict[str, int] = {}
     for path, (n, linked, constant) in texts.items():
         steps = path.split("/")
@@ -345,22 +351,29 @@ def read(page: str, paths: frozenset[str]) -> str:
     """The page's text in ``paths``; if it has none of them, in all of it but what is aside."""
 
     def blocks(within: bool) -> list[str]:
-        out, held, inside, elements = [], [], 0, []
+        out, held, inside, aside, elements = [], [], 0, 0, []
         for kind, x in walk(page):
             if kind == "text":
-                if elements and not elements[-1].skipped and (inside or not within):
-                    if within or not any(e.tag in OUTSIDE for e in elements):
-                        held.append(x)
+                if within:
+                    keep = inside and not aside  # aside of the article, not above it
+                else:
+                    keep = elements and not elements[-1].skipped and not any(e.tag in OUTSIDE for e in elements)
+                if keep:
+                    held.append(x)
                 continue
+            root = x.tag not in INLINE and x.path in paths
             if x.tag not in INLINE and held:
                 out.append(" ".join("".join(held).split()))
                 held = []
+            step = 1 if kind == "open" else -1
             if kind == "open":
                 elements.append(x)
             else:
                 elements.pop()
-            if x.tag not in INLINE and x.path in paths:
-                inside += 1 if kind == "open" else -1
+            if inside - (step < 0 and root) and x.aside:
+                aside += step
+            if root:
+                inside += step
         if held:
             out.append(" ".join("".join(held).split()))
         return [b for b in out if b]

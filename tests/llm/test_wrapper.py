@@ -34,6 +34,18 @@ def test_article_of_a_marked_page():
     assert w.read(page(body), frozenset(paths)) == "Tiétle & more One twothree four five six seven x y"
 
 
+def test_layout_names_do_not_hide_the_article():
+    body = (
+        "<div class='layout with-sidebar'><div class=sidebar>s</div><article class='post widget'><h1>T</h1><p>a</p><div class=ad>x</div>"
+        "<p class=intro>b</p></article></div><section class=comments><article class=comment>c</article></section>"
+    )
+    html = page(body).replace("<body>", "<body class='has-sidebar cookie'>")
+    node, texts = w.fold(html)
+    paths = w.article_paths(node, {})
+    assert len(paths) == 1 and paths[0].endswith("/article.c:post.c:widget")
+    assert w.read(html, frozenset(paths)) == "T a b"
+
+
 def test_unclosed_and_broken_markup():
     assert w.read("<p>a<p>b<b>c<p>d", frozenset()) == "a bc d"
     assert w.read("x < y & z &lt; <", frozenset()) == ""  # text outside any element is no block of a page

@@ -309,3 +309,33 @@ def _labels(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     pairs = saved(leftover(met, labels, sketches(texts, width), percent), "pairs")
     more = saved(confirm(pairs, texts, width, percent), "links")
     return labels if more.isEmpty() else components(links.union(more))
+
+
+def near_duplicates_sql(width: int, percent: int) -> str:
+    """The same over ``documents`` in DuckDB's SQL, by comparing all sets; for small tables."""
+    return f"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') as w
+  from documents
+),
+shingles as (
+  select distinct doc_id, unnest(case when len(w) >= {width}
+      then list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i:i + {width - 1}], ' '))
+      when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
+  from words
+),
+sizes as (select doc_id, count(s) as n from words left join shingles using (doc_id) group by doc_id),
+common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c
+  from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2
+),
+links as (
+  select a, b from common join sizes x on a = x.doc_id join sizes y on b = y.doc_id
+  where 100 * c >= {percent} * (x.n + y.n - c)
+),
+reached(doc_id, other) as (
+  select doc_id, doc_id from sizes union select r.doc_id, b from reached r join links on other = a
+)
+select doc_id, n as n_shingles, component_id, doc_id = component_id as kept
+from sizes join (select doc_id, min(other) as component_id from reached group by doc_id) using (doc_id)"""

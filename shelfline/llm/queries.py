@@ -81,4 +81,7 @@ QUERIES = {
         op10_golden_ratio_mix,
     )
 }
-SQL: dict[str, str] = {"op4_licence_digests": licence.scan_sql()}
+SQL: dict[str, str] = {
+    "op3_minhash_near_dup": near_dup.near_duplicates_sql(width=4, percent=80),
+    "op4_licence_digests": licence.scan_sql(),
+}

@@ -1,3 +1,6 @@
+import pytest
+from compare import compare, connect
+
 import __spark_entry__ as contract
 import corpus_pipeline
 from shelfline.llm import line_crf, near_dup, queries
@@ -11,6 +14,12 @@ def test_registered():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality rules", "minhash near-dedup", "mixing", "packing"]
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_matches_sql(spark, sample_dir, name):
+    rows, different, sample = compare(spark, connect(sample_dir), sample_dir, queries.QUERIES[name], queries.SQL[name])
+    assert rows and not different, sample
+
+
 def test_stages_take_effect(spark, sample_dir):
     docs = table(spark, sample_dir, "documents")
     columns, before = docs.columns, docs

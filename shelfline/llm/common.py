@@ -17,8 +17,8 @@ from shelfline.sources.scratch import fresh_path
 
 CHECKOUT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-#: Texts are worked on in blocks of about so many bytes, however large a batch is.
-BLOCK_BYTES = 1 << 19
+#: Texts are worked on in blocks of about so many bytes and of so many texts, however large a batch is.
+BLOCK_BYTES, BLOCK_TEXTS = 1 << 19, 2048
 
 
 def reachable(spark: SparkSession) -> SparkSession:
@@ -76,14 +76,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The column in blocks of whole texts, of ``size`` bytes or of one longer text."""
+    """The column in blocks of whole texts, of ``size`` bytes (or one longer text) and ``BLOCK_TEXTS`` texts at most."""
     if not len(column):
         return
     data, offsets = utf8(column)
     first, n = 0, len(offsets) - 1
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
-        last = min(max(last, first + 1), n)
+        last = min(max(last, first + 1), first + BLOCK_TEXTS, n)
         yield Block(first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         first = last
 

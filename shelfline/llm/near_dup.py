@@ -283,6 +283,8 @@ def without_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) ->
     gone = found.where("not kept").select("doc_id").distinct()
     rest = docs.join(gone, "doc_id", "left_anti")
     often = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if often.isEmpty():
+        return rest
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
     again = rest.join(often, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
     return rest.join(often, "doc_id", "left_anti").unionByName(again).select(docs.columns)

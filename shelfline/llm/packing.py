@@ -35,7 +35,8 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, window: int = WIND
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 ids = np.frombuffer(row["ids"], dtype).astype("<u4")
                 counts = np.array(row["counts"], np.int64)
                 first = offsets[row["part"]] + row["start"]

@@ -16,9 +16,9 @@ from shelfline.llm.common import Block, binaries, blocks, n_parts, part_bounds,
 from shelfline.llm.words import hash_spans, spans
 
 #: Words whose ids a worker remembers; then it starts anew.  Bounds memory, not results.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Texts are encoded in blocks of so many bytes: the larger, the fewer lookups a word.
-ENCODED_BYTES = 8 << 20
+ENCODED_BYTES = 2 << 20
 #: A block of token ids ends with the document that fills it.
 BLOCK_TOKENS = 1 << 16
 

@@ -175,7 +175,7 @@ def shared_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for block in blocks(batch.column("text"), 4 << 20):
+            for block in blocks(batch.column("text"), 2 << 20):
                 words = runs(block)
                 if not len(words.starts):
                     continue
@@ -292,7 +292,7 @@ def score(docs: DataFrame, scorer: Scorer, *, reject: float = REJECT) -> DataFra
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shipped.value
         for batch in batches:
-            for block in blocks(batch.column("text"), 4 << 20):
+            for block in blocks(batch.column("text"), 2 << 20):
                 values = found.score(block)
                 part = batch.slice(block.first, len(block))
                 yield pa.RecordBatch.from_arrays(

@@ -42,7 +42,7 @@ _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i < n, kept for the worker's next blocks."""
     if len(_powers[0]) < n:
-        size = max(n, 2 << 20)
+        size = max(n, 1 << 20)
         for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
             factors = np.full(size, base, U)
             factors[0] = 1

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from shelfline.llm.common import Block, binaries, blocks, n_parts, part_bounds, part_of, saved
 from shelfline.llm.words import hash_spans, spans
 
-#: Words whose ids a worker remembers; then it starts anew.  Bounds memory, not results.
-REMEMBERED = 600_000
+#: A worker remembers so many words' ids, and as many from before; older ones are looked up anew.  Bounds memory, not results.
+REMEMBERED = 400_000
 #: Texts are encoded in blocks of so many bytes: the larger, the fewer lookups a word.
 ENCODED_BYTES = 2 << 20
 #: A block of token ids ends with the document that fills it.
@@ -50,6 +50,7 @@ class Encoder:
         self.marks = [t["content"].encode() for t in spec.get("added_tokens", [])]
         self.wordwise = self._wordwise(spec)
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         if self.wordwise:  # letters of Latin-1 as the library's byte level spells them
             spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
             self.spelled = {ord(c): spell(c.lower())[0][0] for c in map(chr, range(0xC0, 0x100)) if c.isalpha()}
@@ -89,6 +90,9 @@ class Encoder:
                 rest.add(word)
         tokenize, spelled, code, other = self.tokenizer.model.tokenize, self.spelled, self.dtype.char, []
         for word in rest.difference(known):
+            if word in self.before:
+                known[word] = self.before[word]
+                continue
             if word.isalpha():  # of bytes: ASCII letters only
                 text = word.decode()
             elif LATIN(word):
@@ -110,7 +114,9 @@ class Encoder:
         raw = data.tobytes()
         different = [raw[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.before, self.known = self.known, {}
+        again = {w: self.before[w] for w in different if w not in self.known and w in self.before}
+        self.known.update(again)
         self._learn([w for w in different if w not in self.known])
         found = [self.known[w] for w in different]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize

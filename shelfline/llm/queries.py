@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfline.llm import fingerprint, language, licence, line_crf, mixing, near_dup, packing, rans, toxicity, wrapper
 from shelfline.llm.common import table
+from shelfline.sources.scratch import fresh_path
 
 
 def tokenizer_path() -> str:
@@ -47,8 +48,9 @@ def op6_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, frequencies = rans.write_tokens(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path(), end_id=2)
-    return rans.read_tokens(files, frequencies).drop("ids")
+    path = fresh_path(spark, "token-files")
+    rans.write_tokens(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path(), end_id=2, path=path)
+    return rans.read_tokens(*rans.open_tokens(spark, path)).drop("ids")
 
 
 def op8_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Token files: static range asymmetric numeral coding in independent blocks.
 
-One frequency table, counted over the whole corpus, serves every block.  A block
-interleaves ``LANES`` coder states; every ``STRIDE`` symbols of a lane it records
+One frequency table, counted over the whole corpus, serves every block and lies in
+a file beside them, so a folder is decoded from itself.  A block interleaves ``LANES`` coder states; every ``STRIDE`` symbols of a lane it records
 their values and the position in its words (a checkpoint), from which decoding
 can start.  Both directions work on all blocks, and decoding on all checkpoints,
 of a batch at once as array arithmetic.
@@ -15,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import saved
+from shelfline.llm.common import reachable
 from shelfline.llm.tokens import encoder, token_blocks
+from shelfline.sources.scratch import fresh_path
 
 LANES = 16
 STRIDE = 512
@@ -27,7 +28,9 @@ SCALE_BITS = 20
 U = np.uint64
 LOW = 1 << 31  # states stay in [2**31, 2**63) and move 32 bits at a time
 MAGIC = b"SRNS"
-HEAD = struct.Struct("<4sBBHIIIQII")  # magic, version, scale bits, lanes, stride, documents, tokens, first token, words, crc32 of ids
+VERSION = 2
+HEAD = struct.Struct("<4sBBHIIIQIII")  # magic, version, scale bits, lanes, stride, documents, tokens, first token, words, crc32 of ids, of the table
+TABLE = "version int, scale_bits int, vocabulary int, crc32 long, frequencies binary"
 
 
 def scaled(counts: np.ndarray, bits: int = SCALE_BITS) -> np.ndarray:
@@ -127,10 +130,14 @@ class Coder:
         return texts
 
 
-def block_bytes(first: int, doc_ids: list, counts: list[int], crc: int, coded: tuple) -> bytes:
+def table_crc(table: np.ndarray) -> int:
+    return zlib.crc32(table.astype("<u4").tobytes())
+
+
+def block_bytes(first: int, doc_ids: list, counts: list[int], crc: int, coded: tuple, of_table: int = 0) -> bytes:
     """A block as it lies in a file: header, documents, checkpoints, words, crc32 of all that."""
     marks, before, words = coded
-    head = HEAD.pack(MAGIC, 1, SCALE_BITS, LANES, STRIDE, len(counts), sum(counts), first, len(words), crc)
+    head = HEAD.pack(MAGIC, VERSION, SCALE_BITS, LANES, STRIDE, len(counts), sum(counts), first, len(words), crc, of_table)
     known = np.array([d is not None for d in doc_ids], np.uint8)
     ids = np.array([d or 0 for d in doc_ids], "<i8")
     parts = (known, ids, np.array(counts, "<u4"), before.astype("<u4"), marks.astype("<u8"), words.astype("<u4"))
@@ -142,8 +149,8 @@ def read_block(data: bytes) -> tuple[int, list, np.ndarray, int, tuple]:
     """(first token, doc ids, counts, crc32 of ids, what ``Coder.decode`` takes); checks the block's checksum."""
     if len(data) < HEAD.size + 4 or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
         raise ValueError("damaged block: checksum differs")
-    magic, version, bits, lanes, stride, n_docs, n_tokens, first, n_words, crc = HEAD.unpack_from(data)
-    if (magic, version, bits, lanes, stride) != (MAGIC, 1, SCALE_BITS, LANES, STRIDE):
+    magic, version, bits, lanes, stride, n_docs, n_tokens, first, n_words, crc, _ = HEAD.unpack_from(data)
+    if (magic, version, bits, lanes, stride) != (MAGIC, VERSION, SCALE_BITS, LANES, STRIDE):
         raise ValueError("not a block of this format")
     at = HEAD.size
 
@@ -160,6 +167,11 @@ def read_block(data: bytes) -> tuple[int, list, np.ndarray, int, tuple]:
     return first, [int(d) if ok else None for ok, d in zip(known, ids, strict=True)], counts, crc, (n_tokens, marks, before, words)
 
 
+def table_of_block(data: bytes) -> int:
+    """crc32 of the frequency table the block was coded with."""
+    return HEAD.unpack_from(data)[-1]
+
+
 def frequency_table(blocks: DataFrame, dtype: np.dtype, size: int) -> np.ndarray:
     """How often each id occurs in all blocks; the driver gets one number for an id of the vocabulary."""
 
@@ -177,22 +189,28 @@ def frequency_table(blocks: DataFrame, dtype: np.dtype, size: int) -> np.ndarray
     return out
 
 
-def write_tokens(docs: DataFrame, *, tokenizer: str, end_id: int = 2) -> tuple[DataFrame, np.ndarray]:
-    """Encodes all of ``docs(doc_id, text)`` into files of blocks; returns them and the frequency table.
+def write_tokens(docs: DataFrame, *, tokenizer: str, end_id: int = 2, path: str | None = None) -> tuple[DataFrame, np.ndarray]:
+    """Encodes all of ``docs(doc_id, text)`` into the folder ``path``; returns what ``open_tokens`` finds there.
 
-    Ids of ascending doc_id, ``end_id`` after each document.  Files lie in a folder
-    for each part (a range of doc_id), rows in them are ``block, payload``: the
-    coded block as defined by ``block_bytes``.  Spark commits the files, so a lost
-    executor or a second attempt leaves none in part.
+    Ids of ascending doc_id, ``end_id`` after each document.  ``blocks`` in it has a
+    folder for each part (a range of doc_id), rows there are ``block, payload``: the
+    coded block as defined by ``block_bytes``.  ``table`` has the frequencies that
+    all of them need and is written last: without it the folder is unfinished.
+    Spark commits the files, so a lost executor or a second attempt leaves none in
+    part.  A folder that has files already is an error.  Without a path the
+    folder is a fresh one of the job's own.
 
     A null or empty text is its end id alone.  Rows with one id, or with none
     (which go first), are documents of their own.  Other columns are ignored.
     """
+    spark = docs.sparkSession
+    path = path.rstrip("/") if path else fresh_path(spark, "token-files")
     blocks, offsets = token_blocks(docs, tokenizer, end_id)
     found = encoder(tokenizer)
     dtype = found.dtype
     size = max(found.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
     table = scaled(frequency_table(blocks, dtype, size))
+    crc = table_crc(table)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(table)
@@ -201,7 +219,7 @@ def write_tokens(docs: DataFrame, *, tokenizer: str, end_id: int = 2) -> tuple[D
                 rows = batch.slice(at, 32).to_pylist()
                 ids = [np.frombuffer(r["ids"], dtype) for r in rows]
                 payload = [
-                    block_bytes(offsets[r["part"]] + r["start"], r["doc_ids"], r["counts"], zlib.crc32(x.astype("<u4").tobytes()), c)
+                    block_bytes(offsets[r["part"]] + r["start"], r["doc_ids"], r["counts"], zlib.crc32(x.astype("<u4").tobytes()), c, crc)
                     for r, x, c in zip(rows, ids, coder.encode(ids), strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
@@ -209,20 +227,44 @@ def write_tokens(docs: DataFrame, *, tokenizer: str, end_id: int = 2) -> tuple[D
                     ["part", "block", "payload"],
                 )
 
-    return saved(blocks.mapInArrow(encode, "part int, block int, payload binary"), "token-files", "part"), table
+    coded = blocks.mapInArrow(encode, "part int, block int, payload binary")
+    coded.write.partitionBy("part").option("compression", "zstd").parquet(f"{path}/blocks")
+    row = (VERSION, SCALE_BITS, size, crc, bytearray(table.astype("<u4").tobytes()))
+    spark.createDataFrame([row], TABLE).coalesce(1).write.option("compression", "zstd").parquet(f"{path}/table")
+    return open_tokens(spark, path)
+
+
+def open_tokens(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
+    """The blocks and the checked frequency table of a folder ``write_tokens`` has finished, as ``read_tokens`` takes them."""
+    path = path.rstrip("/")
+    rows = reachable(spark).read.schema(TABLE).parquet(f"{path}/table").take(2)
+    if len(rows) != 1:
+        raise ValueError(f"{path}: one frequency table expected")
+    row = rows[0]
+    if (row["version"], row["scale_bits"]) != (VERSION, SCALE_BITS):
+        raise ValueError(f"{path}: not token files of this format")
+    table = np.frombuffer(row["frequencies"], "<u4").astype(np.int64)
+    if len(table) != row["vocabulary"] or table_crc(table) != row["crc32"] or int(table.sum()) not in (0, 1 << SCALE_BITS):
+        raise ValueError(f"{path}: damaged frequency table")
+    return spark.read.schema("block int, payload binary, part int").parquet(f"{path}/blocks"), table
 
 
 def read_tokens(files: DataFrame, table: np.ndarray) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32, ids)`` of every document in the files.
 
-    Checks every block: its own checksum before decoding, that of its ids after.
+    Checks every block: its own checksum and that of its table before decoding, that
+    of its ids after.  By path: ``read_tokens(*open_tokens(spark, path))``.
     """
+    of_table = table_crc(table)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(table)
         for batch in batches:
             for at in range(0, batch.num_rows, 32):
-                rows = [read_block(p) for p in batch.column("payload").slice(at, 32).to_pylist()]
+                payloads = batch.column("payload").slice(at, 32).to_pylist()
+                rows = [read_block(p) for p in payloads]
+                if any(table_of_block(p) != of_table for p in payloads):
+                    raise ValueError("a block was coded with another frequency table")
                 for (first, doc_ids, counts, crc, _), ids in zip(rows, coder.decode([r[4] for r in rows]), strict=True):
                     ids = ids.astype("<u4")
                     if zlib.crc32(ids.tobytes()) != crc:

@@ -143,3 +143,23 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs, tokenizer):
     assert sum(p["length"] for p in pieces) == sum(r["n_tokens"] for r in got)
     files, table = rans.write_tokens(no_docs, tokenizer=tokenizer)
     assert rans.read_tokens(files, table).collect() == [] and packing.pack(no_docs, tokenizer=tokenizer).collect() == []
+
+
+def test_a_folder_is_decoded_from_itself(spark, tokenizer, tmp_path):
+    rows = [(i, "lorem ipsum " * i) for i in range(20)]
+    first, other = str(tmp_path / "first"), str(tmp_path / "other")
+    rans.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer=tokenizer, path=first)
+    rans.write_tokens(spark.createDataFrame([(1, "dolor")], "doc_id long, text string"), tokenizer=tokenizer, path=other)
+    fresh = spark.newSession()  # of what was written it has the path alone
+    got = {r["doc_id"]: r["ids"] for r in rans.read_tokens(*rans.open_tokens(fresh, first)).collect()}
+    ids_of, ids = expected(rows, tokenizer, 2)
+    assert got == {d: x.tolist() for d, x in zip(ids_of, ids)}
+    with pytest.raises(Exception, match="another frequency table"):
+        rans.read_tokens(rans.open_tokens(fresh, first)[0], rans.open_tokens(fresh, other)[1]).collect()
+    table = fresh.read.parquet(f"{other}/table").collect()
+    damaged = [(*table[0][:4], bytearray(bytes(table[0][4])[:-1] + b"\x07"))]
+    fresh.createDataFrame(damaged, rans.TABLE).write.mode("overwrite").parquet(f"{other}/table")
+    with pytest.raises(ValueError, match="damaged frequency table"):
+        rans.open_tokens(fresh, other)
+    with pytest.raises(Exception, match="(?i)already.exists"):
+        rans.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer=tokenizer, path=first)

@@ -37,15 +37,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document, a row for each time."""
+    """What the mix takes of each document, a row for each time, in the mix's order."""
     reachable(spark)
     return mixing.mix(docs).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 token ids."""
+    """Pieces of documents in sequences of 2048 token ids, documents in the order the mix was written in."""
     reachable(spark)
-    return packing.pack(docs, tokenizer=tokenizer_path(), end_id=1)
+    return packing.pack(packing.as_written(docs, "_place"), tokenizer=tokenizer_path(), end_id=1, order="_place")
 
 
 STAGES = [

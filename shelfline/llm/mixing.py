@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import blocks, n_parts, saved, widened
+from shelfline.llm.common import blocks, n_parts, part_bounds, part_of, saved, widened
 from shelfline.llm.words import spans
 
 WEIGHTS = (5, 2, 1)
@@ -219,6 +219,10 @@ def mix_words(docs: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame:
 def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The mix itself: columns of ``docs(doc_id, text, source, ...)`` and ``slot``, the place in the mix.
 
+    Rows lie in order of slot, within partitions and from one to the next, so that
+    files written of them do too; rows of a slot (a block) are in order of doc_id.
+    A document is not cut at blocks: it lies whole in the first slot that takes of it.
+
     A row for each document and lap in which slots take words of it; its text is
     what they take, the whole text or the words from one to another with the white
     space between them, and a column ``n_chars`` follows it.  Documents without
@@ -229,7 +233,9 @@ def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame:
     numbered = saved(docs.select(columns).withColumn("_mix_row", F.monotonically_increasing_id()), "numbered")
     rows = numbered.select(F.col("_mix_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
     sizes = saved(sized(rows).drop("text"), "sizes")
-    _, used = takes(sizes, targets(sizes), block_words)
+    used = saved(takes(sizes, targets(sizes), block_words)[1], "used")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = part_bounds(used, "slot", parts)  # one number a part
     used = used.select(F.col("row").alias("_mix_row"), "slot", F.col("first").alias("_mix_first"), F.col("last").alias("_mix_last"))
     drawn = numbered.join(used, "_mix_row").drop("_mix_row")
 
@@ -248,7 +254,9 @@ def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame:
             out = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.array(texts, pa.string())}
             if "n_chars" in out:
                 out["n_chars"] = pa.array([len(t) for t in texts], out["n_chars"].type)
-            kept = [*columns, "slot"]
+            out["_mix_part"] = pa.array(part_of(out["slot"], bounds))
+            kept = [*columns, "slot", "_mix_part"]
             yield pa.RecordBatch.from_arrays([out[c] for c in kept], kept)
 
-    return drawn.mapInArrow(slice_texts, drawn.select(*columns, "slot").schema)
+    sliced = drawn.mapInArrow(slice_texts, widened(drawn.select(*columns, "slot"), _mix_part="int"))
+    return sliced.repartitionById(parts, "_mix_part").sortWithinPartitions("slot", "doc_id", "text").drop("_mix_part")

@@ -7,7 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shelfline.llm.tokens import encoder, token_blocks
 
@@ -17,12 +19,27 @@ PIECES = (
 )
 
 
-def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, window: int = WINDOW) -> DataFrame:
+def as_written(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` and a column ``name``: each row's place in the Parquet table Spark wrote, files by number.
+
+    A frame that is not read from files has no such order: its places are null.
+    """
+    file = F.col("_metadata.file_name")
+    number = lambda mark: F.coalesce(F.regexp_extract(file, mark, 1).try_cast("long"), F.lit(0))
+    # task, the task's how many-th file, row: 21, 10 and 32 bits
+    place = number(r"^part-(\d+)") * (1 << 42) + number(r"-c(\d+)\.") * (1 << 32) + F.col("_metadata.row_index")
+    try:
+        return docs.withColumn(name, place)
+    except AnalysisException:
+        return docs.withColumn(name, F.lit(None).cast("long"))
+
+
+def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, window: int = WINDOW, order: str | None = None) -> DataFrame:
     """Pieces of ``docs(doc_id, text)``: one row for each document and window it touches.
 
     All documents' ids, each with ``end_id`` after it, form one stream in
-    ascending doc_id order, cut every ``window`` ids; only the last window can be
-    short.  Prefix sums take two passes: tokens within a part are summed while the
+    ascending doc_id order, or that of the integer column ``order`` (then of doc_id),
+    cut every ``window`` ids; only the last window can be short.  Prefix sums take two passes: tokens within a part are summed while the
     part is written, and the parts' totals (one number each) give global offsets.
     A piece is the boundary record: where it starts in its document and in its
     window.  ``ids`` holds its token ids.
@@ -30,7 +47,7 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, window: int = WIND
     A null or empty text is its end id alone.  Rows with one id, or with none
     (which go first), are documents of their own.  Other columns are ignored.
     """
-    found, offsets = token_blocks(docs, tokenizer, end_id)
+    found, offsets = token_blocks(docs, tokenizer, end_id, order)
     dtype = encoder(tokenizer).dtype
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -146,29 +146,32 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def token_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame, dict[int, int]]:
+def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, order: str | None = None) -> tuple[DataFrame, dict[int, int]]:
     """Written blocks of token ids in ascending doc_id order, and the tokens before each part.
 
+    With ``order``, a column of integers, they are in order of that, then of doc_id.
     Rows: ``part, block, start`` (tokens of the part before the block), ``doc_ids``,
     ``counts`` (tokens by document, end id included), ``ids`` (packed).  A part is a
-    range of doc_id and a task; parts are as many as the session's shuffle
+    range of the order and a task; parts are as many as the session's shuffle
     partitions ask for, and only their totals reach the driver.  Null ids go first;
     rows of one id are ordered by their ids' bytes.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    place = [F.col(order).cast("long").alias("place")] if order else []
+    keys = [*["place"] * len(place), "doc_id"]
+    docs = docs.select(*place, F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = n_parts(spark)
-    bounds = part_bounds(docs, "doc_id", parts)
+    bounds = part_bounds(docs, keys[0], parts)
     dtype = encoder(tokenizer).dtype
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text"), ENCODED_BYTES):
                 ids, at = encoder(tokenizer).encode(block)
-                doc_ids = batch.column("doc_id").slice(block.first, len(block))
+                found = [batch.column(k).slice(block.first, len(block)) for k in keys]
                 with_end = np.insert(ids, at[1:], np.array(end_id, dtype))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part_of(doc_ids, bounds)), doc_ids, binaries(with_end, np.diff(at) + 1)], ["part", "doc_id", "ids"]
+                    [pa.array(part_of(found[0], bounds)), *found, binaries(with_end, np.diff(at) + 1)], ["part", *keys, "ids"]
                 )
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,9 +200,9 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFram
         if held:
             yield row()
 
-    encoded = docs.mapInArrow(encode, "part int, doc_id long, ids binary")
+    encoded = docs.mapInArrow(encode, ", ".join(["part int", *(f"{k} long" for k in keys), "ids binary"]))
     found = saved(
-        encoded.repartitionById(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
+        encoded.repartitionById(parts, "part").sortWithinPartitions("part", *keys, "ids")
         .mapInArrow(gather, "part int, block int, start long, doc_ids array<long>, counts array<long>, ids binary"),
         "tokens",
     )

@@ -3,7 +3,7 @@ from compare import compare, connect
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from shelfline.llm import line_crf, near_dup, queries
+from shelfline.llm import line_crf, mixing, near_dup, queries
 from shelfline.llm.common import table
 
 
@@ -48,3 +48,23 @@ def test_stages_stand_empty_and_odd_tables(spark, sample_dir, odd_docs, no_docs)
         out.collect()
         if stage is not corpus_pipeline.pack_sequences:
             assert out.columns == odd_docs.columns
+
+
+def test_sequences_follow_the_mix(spark, sample_dir):
+    # ids follow sources; b and c are taken more than once
+    rows = [(i, f"{s}{i} " + "word " * 199, "en", s, 0) for s, lo, hi in (("a", 0, 400), ("b", 400, 480), ("c", 480, 500)) for i in range(lo, hi)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    slots = {(r["doc_id"], r["slot"]) for r in mixing.mix(docs).select("doc_id", "slot").collect()}
+    mixed = corpus_pipeline.saved(corpus_pipeline.mix_sources(spark, docs, sample_dir), "mixed")
+    pieces = corpus_pipeline.pack_sequences(spark, mixed, sample_dir).where("start = 0").orderBy("sequence_id", "offset").collect()
+    order = [p["doc_id"] for p in pieces]
+    assert order == [d for d, _ in sorted(slots, key=lambda x: (x[1], x[0]))]
+    source = ["a" if d < 400 else "b" if d < 480 else "c" for d in order]
+    turns = sum(x != y for x, y in zip(source, source[1:]))
+    assert turns > 20  # by doc_id there would be two
+    last, twice = {}, 0
+    for k, d in enumerate(order):
+        assert d not in last or k - last[d] > 20
+        twice += d in last
+        last[d] = k
+    assert twice > 50

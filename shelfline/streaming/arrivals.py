@@ -1,12 +1,14 @@
 """Scheduled pick-up of newly landed drops.
 
-Each call takes the files that arrived since the last one (the checkpoint
-remembers which) and files every snapshot under its own ``run_date``, read off
-the file name.  A day's partition holds one drop: a day delivered again, under
-the same name or the other convention, replaces it, and of two drops for a day
-in one call the last in text order counts, as in the landing audit.  Nothing
-waits in between, so a timer may call it as often as it likes.  Drops are whole
-snapshots, so there is no window, state or late data here.
+Each call sees which files arrived since the last one (the checkpoint remembers)
+and files the snapshots of their days under their own ``run_date``, read off the
+file name.  The stream only names the days: a day's drop is read whole from the
+landing folder, so a drop whose parts become visible over several calls ends up
+whole.  A day's partition holds one drop, the last in text order of those that
+have landed, as in the landing audit, whichever call saw which; delivered again
+under the same name, it is replaced.  Nothing waits in between, so a timer may
+call it as often as it likes.  Drops are whole snapshots, so there is no window,
+state or late data here.
 """
 
 from __future__ import annotations
@@ -17,27 +19,41 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfline.functions import names as N
 from shelfline.sources import schemas
-from shelfline.sources.files import Location
+from shelfline.sources.files import Location, list_files
 
 
-def arrivals(spark: SparkSession, location: Location, table: str) -> DataFrame:
-    """An unbounded frame of one table's drops, typed, with their day and file name."""
-    raw = (
-        spark.readStream.schema(schemas.reader_ddl(table))
-        .options(**location.options)
-        .csv(f"{location.base.rstrip('/')}/{table}_[0-9]*")
-    )
-    name = N.landed_name(F.col("_metadata.file_path"))
-    named = raw.withColumn("drop_name", name).withColumn("run_date", N.date_of(name))
+def _dated(raw: DataFrame, table: str) -> DataFrame:
+    """Typed rows of one table's drops with their day."""
+    named = raw.withColumn("run_date", N.date_of(N.landed_name(F.col("_metadata.file_path"))))
     return schemas.conform(named.filter(F.col("run_date").isNotNull()), table)
 
 
-def replace_days(batch: DataFrame, target: str) -> None:
-    """Writes one drop a day; a day's partition is replaced as a whole, so a batch can run again."""
-    chosen = batch.groupBy("run_date").agg(F.max("drop_name").alias("drop_name"))
+def _landed(location: Location, table: str) -> str:
+    return f"{location.base.rstrip('/')}/{table}_[0-9]*"
+
+
+def arrivals(spark: SparkSession, location: Location, table: str) -> DataFrame:
+    """An unbounded frame of one table's drops, typed, with their day."""
+    reader = spark.readStream.schema(schemas.reader_ddl(table)).options(**location.options)
+    return _dated(reader.csv(_landed(location, table)), table)
+
+
+def replace_days(batch: DataFrame, location: Location, table: str, target: str) -> None:
+    """Writes the drop of each day in the batch, as it lies in the landing folder now.
+
+    A day's partition is replaced as a whole, so a batch can run again.
+    """
+    spark = batch.sparkSession
+    days = batch.select("run_date").distinct()
+    names = list_files(spark, _landed(location, table)).select("name", N.date_of(F.col("name")).alias("run_date"))
+    names = names.filter(N.table_of(F.col("name")) == table).join(days, "run_date")
+    chosen = names.groupBy("run_date").agg(F.max("name").alias("name")).collect()  # one row a day
+    if not chosen:
+        return
+    paths = [f"{location.base.rstrip('/')}/{row.name}" for row in chosen]
+    raw = spark.read.schema(schemas.reader_ddl(table)).options(**location.options).csv(paths)
     (
-        batch.join(chosen, ["run_date", "drop_name"])
-        .drop("drop_name")
+        _dated(raw, table)
         .write.mode("overwrite")
         .partitionBy("run_date")
         .option("partitionOverwriteMode", "dynamic")
@@ -51,7 +67,7 @@ def ingest(
     """Starts one pass over what has arrived; wait for it with ``awaitTermination``."""
     return (
         arrivals(spark, location, table)
-        .writeStream.foreachBatch(lambda batch, _: replace_days(batch, target))
+        .writeStream.foreachBatch(lambda batch, _: replace_days(batch, location, table, target))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

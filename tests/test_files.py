@@ -216,6 +216,30 @@ def test_arrivals_are_ingested_once(spark, tmp_path, make):
     assert ingested() == {day("2021-01-04"): 1, day("2021-01-05"): 2}
 
 
+def test_a_drop_whose_parts_arrive_over_two_passes_is_whole(spark, tmp_path, make):
+    place, out, state = Location(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")
+    d = day("2021-01-05")
+
+    def part(k, name):  # one more part of the drop becomes visible
+        elsewhere = Location(str(tmp_path / f"{name}{k}"))
+        sinks.export_snapshot({"inventory": make.stock(("2021-01-04", 1, k, 3, False))}, elsewhere, d)
+        folder = tmp_path / "in" / name
+        folder.mkdir(parents=True, exist_ok=True)
+        for i, source in enumerate((tmp_path / f"{name}{k}").glob("*/part-*")):
+            (folder / f"part-{k}-{i}.csv.gz").write_bytes(source.read_bytes())
+
+    def ingested():
+        arrivals.ingest(spark, place, "inventory", out, state).awaitTermination()
+        return sorted(r.prod_key for r in files.read_saved(spark, out).collect())
+
+    part(1, "inventory_20210105.csv.gz")
+    assert ingested() == [1]
+    part(2, "inventory_20210105.csv.gz")
+    assert ingested() == [1, 2]
+    part(7, "inventory_2021-01-05.csv.gz")  # before the other in text order
+    assert ingested() == [1, 2]
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert scratch.shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert scratch.fresh_path(spark, "a") != scratch.fresh_path(spark, "a")

@@ -1,12 +1,11 @@
-import datetime as dt
 import os
 import sys
-from decimal import Decimal
 
 import pytest
 
 sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(__file__)]
 
+from sample_rows import SALES_DDL, STOCK_DDL, day, money
 from shelfline.session import build_session
 
 
@@ -37,25 +36,6 @@ def sample_dir():
     return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
-def day(text: str) -> dt.date:
-    return dt.date.fromisoformat(text)
-
-
-def money(value) -> Decimal | None:
-    return None if value is None else Decimal(str(value)).quantize(Decimal("0.01"))
-
-
-SALES_DDL = (
-    "trans_id bigint, trans_dt date, store_key int, prod_key int, sales_qty decimal(18,2), "
-    "sales_price decimal(18,2), sales_amt decimal(18,2), discount decimal(18,2), "
-    "sales_cost decimal(18,2), sales_mgrn decimal(18,2)"
-)
-STOCK_DDL = (
-    "cal_dt date, store_key int, prod_key int, inventory_on_hand_qty decimal(18,2), "
-    "inventory_on_order_qty decimal(18,2), out_of_stock_flg boolean"
-)
-
-
 @pytest.fixture(scope="session")
 def make(spark):
     """Small frames: sales (date, store, product, qty, amt) and stock (..., on hand, out)."""

@@ -5,7 +5,7 @@ import gzip
 import os
 
 import pytest
-from conftest import day
+from sample_rows import day
 from pyspark.sql import functions as F
 from shelfline.operators import quality
 from shelfline.plans import job

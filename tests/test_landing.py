@@ -2,7 +2,7 @@
 
 import json
 
-from conftest import day
+from sample_rows import day
 from pyspark.sql import functions as F
 from shelfline.functions import names as N
 from shelfline.operators import landing

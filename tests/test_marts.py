@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import day
+from sample_rows import day
 from shelfline.operators import quality, weekday, weekly
 from shelfline.operators.daily import CELL, daily, with_coded_flags
 from shelfline.operators.replay import as_of, replay

@@ -6,7 +6,7 @@ import random
 import duckdb
 import pytest
 from compare import bag
-from conftest import SALES_DDL, STOCK_DDL, day, money
+from sample_rows import SALES_DDL, STOCK_DDL, day, money
 
 from shelfline.operators import weekly
 from shelfline.operators.daily import daily

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import fingerprint, language, licence, line_crf, mixing, near_dup, packing, rans, toxicity, wrapper
+from shelfline.llm import embedding_dup, fingerprint, language, licence, line_crf, mixing, near_dup, packing, rans, toxicity, wrapper
 from shelfline.llm.common import table
 from shelfline.sources.scratch import fresh_path
 
@@ -68,6 +68,10 @@ def op10_golden_ratio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op11_p_stable_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,6 +85,7 @@ QUERIES = {
         op8_concatenate_and_cut,
         op9_line_crf_quality,
         op10_golden_ratio_mix,
+        op11_p_stable_embedding_dup,
     )
 }
 SQL: dict[str, str] = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import embedding_dup, fingerprint, language, licence, line_crf, mixing, near_dup, packing, rans, toxicity, wrapper
+from shelfline.llm import conversation_repair, embedding_dup, fingerprint, language, licence, line_crf, mixing, near_dup, packing, rans, toxicity, wrapper
 from shelfline.llm.common import table
 from shelfline.sources.scratch import fresh_path
 
@@ -72,6 +72,21 @@ def op11_p_stable_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op12_wagner_fischer_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    found, made = conversation_repair.repair(conversation_repair.damaged(conversation_repair.as_turns(conversations)))
+    out = conversations.select(F.col("conv_id").alias("_id")).distinct()
+    for part in (found, conversation_repair.digests(made)):
+        out = out.join(part, F.col("_id").eqNullSafe(part["conv_id"]), "left").drop(part["conv_id"])
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select(
+        F.col("_id").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -86,6 +101,7 @@ QUERIES = {
         op9_line_crf_quality,
         op10_golden_ratio_mix,
         op11_p_stable_embedding_dup,
+        op12_wagner_fischer_repair,
     )
 }
 SQL: dict[str, str] = {

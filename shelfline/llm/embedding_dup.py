@@ -396,3 +396,25 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         own.alias("component_id"),
         F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"),
     )
+
+
+def near_duplicates_sql(cosine: float) -> str:
+    """The same over ``embeddings`` in DuckDB's SQL, by comparing all vectors; for small tables."""
+    return f"""
+with recursive vectors as (
+  select vec_id, embedding::double[] as x from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and list_bool_and(list_transform(embedding, lambda e: coalesce(isfinite(e), false)))
+    and list_bool_or(list_transform(embedding, lambda e: e <> 0))
+),
+links as (
+  select a.vec_id as a, b.vec_id as b from vectors a join vectors b on a.vec_id <> b.vec_id and len(a.x) = len(b.x)
+  where list_cosine_similarity(a.x, b.x) >= {cosine}
+),
+reached(vec_id, other) as (
+  select vec_id, vec_id from embeddings union select r.vec_id, b from reached r join links on other = a
+),
+least as (select vec_id, min(other) as component_id from reached group by vec_id),
+degrees as (select a as vec_id, count(*) as n_links from links group by a)
+select e.vec_id, coalesce(n_links, 0) as n_links, component_id, e.vec_id = component_id as kept
+from embeddings e left join least using (vec_id) left join degrees using (vec_id)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import conversation_repair, embedding_dup, fingerprint, language, licence, line_crf, mixing, near_dup, packing, rans, toxicity, wrapper
+from shelfline.llm import conversation_repair, embedding_dup, fingerprint, language, licence, line_crf, merkle, mixing, near_dup, packing, rans, toxicity, wrapper
 from shelfline.llm.common import table
 from shelfline.sources.scratch import fresh_path
 
@@ -87,6 +87,10 @@ def op12_wagner_fischer_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_path_copying_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=merkle.without_line_ends())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -102,9 +106,12 @@ QUERIES = {
         op10_golden_ratio_mix,
         op11_p_stable_embedding_dup,
         op12_wagner_fischer_repair,
+        op13_path_copying_manifest,
     )
 }
 SQL: dict[str, str] = {
     "op3_minhash_near_dup": near_dup.near_duplicates_sql(width=4, percent=80),
     "op4_licence_digests": licence.scan_sql(),
+    "op11_p_stable_embedding_dup": embedding_dup.near_duplicates_sql(0.9),
+    "op13_path_copying_manifest": merkle.manifest_sql(),
 }

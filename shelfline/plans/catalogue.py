@@ -11,7 +11,7 @@ import datetime as dt
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,7 @@ from shelfline.operators import landing, quality, replay, star, weekday, weekly
 from shelfline.operators.daily import CELL, daily, stock_cells, with_coded_flags
 from shelfline.plans import job
 from shelfline.plans import sample_model as sample
-from shelfline.sources import catalog, files, schemas, scratch, sinks
+from shelfline.sources import catalog, files, records, schemas, scratch, sinks
 from shelfline.sources.files import Location
 from shelfline.streaming import arrivals
 
@@ -388,7 +388,7 @@ def p10_as_of_next_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(replay.as_of(sample.inventory(spark, sf_dir), "cal_dt", AS_OF, plus_days=1))
 
 
-def _untrusted_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _untrusted_stock(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     """Lines as untrusted text: a status where a flag belongs, a word as quantity."""
     lines = sample.read(spark, sf_dir, "lineitem")
     flag = F.when(F.col("l_linestatus") == "F", "0").when(F.col("l_returnflag") == "A", "2")
@@ -404,6 +404,7 @@ def _untrusted_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("waste_qty"),
         F.lit("true").alias("promotion_flg"),
         F.lit(None).cast("string").alias("next_delivery_dt"),
+        *more,
     )
 
 
@@ -419,6 +420,70 @@ def p11_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Untrusted stock as lines of text: some cut short, too long, with an open quote or a byte that is no UTF-8."""
+    columns = schemas.columns("inventory")
+    stock = _untrusted_stock(spark, sf_dir, F.col("l_linenumber").alias("nth"))
+    fields = [F.coalesce(c, F.lit("")) for c in columns]
+    whole, nth = F.concat_ws(",", *fields), F.col("nth")
+    return stock.select(
+        F.when(nth == 7, F.concat_ws(",", *fields[:3]))
+        .when(nth == 6, F.concat(whole, F.lit(",,")))
+        .when(nth == 5, F.concat_ws(",", *fields[:7], F.lit('"true'), F.lit("")))
+        .when(nth == 4, F.concat(whole, F.unhex(F.lit("E9")).cast("string")))
+        .otherwise(whole)
+        .alias("value")
+    )
+
+
+def _with_header(lines: DataFrame, header: str) -> DataFrame:
+    """Lines whose every partition begins with a header, to be written as text."""
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    return lines.select(F.when(first, F.concat(F.lit(header + "\n"), "value")).otherwise(F.col("value")).alias("value"))
+
+
+def p11_malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job over a stock drop with broken lines: each is rejected as it stands, the mart holds the rest."""
+    landed = scratch.fresh_path(spark, "landed")
+    tables = sample.tables(spark, sf_dir)
+    sinks.export_snapshot({t: df for t, df in tables.items() if t != "inventory"}, Location(landed), AS_OF)
+    lines = _with_header(_broken_lines(spark, sf_dir), ",".join(schemas.columns("inventory")))
+    lines.write.option("compression", "gzip").text(Location(landed).path("inventory", AS_OF))
+    saved = job.run(spark, job.JobConfig(AS_OF, landed, scratch.fresh_path(spark, "out"), rejects=True, save_daily=True))
+    rejects = files.read_saved(spark, saved[job.REJECTS]).groupBy("table_name", quality.REASON)
+    stock = files.read_saved(spark, saved[job.DAY_TABLE]).where("inventory_on_order_qty is not null")
+    return rejects.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length(records.LINE)).alias("n_chars")).union(
+        stock.agg(F.lit(job.DAY_TABLE), F.lit(None).cast("string"), F.count(F.lit(1)), F.sum("inventory_on_order_qty").cast("bigint"))
+    )
+
+
+def j02_repeated_dimension_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job over dimensions that hold every key twice: the mart is the one of single keys."""
+    landed = scratch.fresh_path(spark, "landed")
+    tables = sample.tables(spark, sf_dir)
+    for table in job.DIMENSIONS:
+        tables[table] = tables[table].union(tables[table])
+    sinks.export_snapshot(tables, Location(landed), AS_OF)
+    saved = job.run(spark, job.JobConfig(AS_OF, landed, scratch.fresh_path(spark, "out"), rejects=True))
+    return _plain(files.read_saved(spark, saved[job.MART]))
+
+
+def p11_repeated_dimension_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rows of twice delivered dimensions are rejected: one for each key."""
+    landed = scratch.fresh_path(spark, "landed")
+    tables = sample.tables(spark, sf_dir)
+    for table in job.DIMENSIONS:
+        tables[table] = tables[table].union(tables[table])
+    sinks.export_snapshot(tables, Location(landed), AS_OF)
+    config = job.JobConfig(AS_OF, landed, scratch.fresh_path(spark, "out"), rejects=True)
+    checked = job.read_untrusted(spark, config)
+    rejects = [
+        quality.rejected(checked[t]).groupBy(quality.REASON).agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("n_rows"))
+        for t in job.DIMENSIONS
+    ]
+    return functools.reduce(DataFrame.union, rejects)
+
+
 # -------------------------------------------------------------------- joins
 
 
@@ -666,6 +731,9 @@ QUERIES: dict[str, Query] = {
     "j02_undated_facts": j02_undated_facts,
     "j01_conflicting_stock": j01_conflicting_stock,
     "p11_job_rejects": p11_job_rejects,
+    "p11_malformed_lines": p11_malformed_lines,
+    "p11_repeated_dimension_rejects": p11_repeated_dimension_rejects,
+    "j02_repeated_dimension_keys": j02_repeated_dimension_keys,
     "s12_append_daily": s12_append_daily,
     "k02_raw_sales": k02_raw_sales,
     "k01_rerun_smaller": k01_rerun_smaller,

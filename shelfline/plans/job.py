@@ -21,7 +21,7 @@ from shelfline.operators import quality
 from shelfline.operators.daily import CELL, daily
 from shelfline.operators.weekly import WEEK, WEEK_END_DAY, weekly_mart
 from shelfline.session import build_session
-from shelfline.sources import catalog, files, schemas, scratch, sinks
+from shelfline.sources import catalog, files, records, schemas, scratch, sinks
 from shelfline.sources.files import Location
 
 DIMENSIONS = ("calendar", "product", "store")
@@ -66,33 +66,37 @@ def read_inputs(spark: SparkSession, config: JobConfig) -> dict[str, DataFrame]:
 
 
 def read_untrusted(spark: SparkSession, config: JobConfig) -> dict[str, DataFrame]:
-    """All columns as text, coerced: each table with the reason a row is rejected for."""
-    place = config.location()
-    return {
-        table: quality.coerce(
-            files.read_text_csv(spark, place.path(table, config.run_date, config.dashed_names), table, place.options),
-            table,
-        )
-        for table in FACTS + DIMENSIONS
-    }
+    """Every line of every drop, coerced: each table with the reason a row is rejected for.
+
+    A drop's text is scanned once; what uses its rows reads the records written then.
+    """
+    place, found = config.location(), {}
+    for table in FACTS + DIMENSIONS:
+        path = place.path(table, config.run_date, config.dashed_names)
+        found[table] = quality.coerce(records.read_records(spark, path, table, place.options), table)
+        if table in DIMENSIONS:
+            found[table] = quality.mark_repeated(found[table], schemas.KEYS[table])
+    return found
 
 
 def run(spark: SparkSession, config: JobConfig) -> dict[str, str]:
     """Runs the job; returns the path of every table it saved.
 
-    A run's folder is replaced as a whole (mode "overwrite") or added to.  The mart
-    is built from this run's day rows only; if the day table is kept, they are
-    joined once, into a table of the job's own, and both are written from there.
+    A run's folder is replaced as a whole (mode "overwrite") or added to; dimensions
+    are always replaced, as each run delivers them whole.  The mart is built from this
+    run's day rows only; if the day table is kept, they are joined once, into a table
+    of the job's own, and both are written from there.
 
-    With ``rejects`` nothing in a drop stops the job: rows that do not parse are
-    saved beside the mart with the reason, and so are keys of stock rows that came
-    more than once.
+    A dimension key that comes more than once would multiply the facts: it stops the
+    job.  With ``rejects`` nothing in a drop does: broken lines, rows that do not parse
+    and repeats of a dimension key are saved beside the mart with reason, file and line,
+    and so are keys of stock rows that came more than once.
     """
     saved: dict[str, str] = {}
 
-    def save(table: str, df: DataFrame, **layout) -> None:
+    def save(table: str, df: DataFrame, mode: str = config.mode, **layout) -> None:
         path = config.target(table)
-        sinks.save_table(df, path, mode=config.mode, compression=config.compression, **layout)
+        sinks.save_table(df, path, mode=mode, compression=config.compression, **layout)
         saved[table] = path
 
     if config.rejects:
@@ -100,7 +104,7 @@ def run(spark: SparkSession, config: JobConfig) -> dict[str, str]:
         inputs = {t: schemas.conform(quality.accepted(df), t) for t, df in checked.items()}
         bad = [
             quality.rejected(df).select(
-                F.lit(t).alias("table_name"), quality.REASON, F.to_json(F.struct(*schemas.columns(t))).alias("parsed")
+                F.lit(t).alias("table_name"), quality.REASON, records.FILE, records.LINE
             )
             for t, df in checked.items()
         ]
@@ -110,7 +114,9 @@ def run(spark: SparkSession, config: JobConfig) -> dict[str, str]:
         inputs = read_inputs(spark, config)
 
     for table in DIMENSIONS:
-        save(table, inputs[table])
+        save(table, inputs[table], mode="overwrite")
+        inputs[table] = files.read_saved(spark, saved[table])
+        quality.require_unique(inputs[table], table)
     if config.save_sales:
         save("sales", inputs["sales"])
     cells = daily(inputs["sales"], inputs["inventory"])

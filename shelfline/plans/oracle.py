@@ -439,6 +439,37 @@ union all
 select 'inventory', 'repeated key', count(*)
 from (select 1 from judged where reject_reason is null
       group by cast(l_shipdate as date), l_suppkey, l_partkey having count(*) > 1)""",
+    "p11_malformed_lines": f"""with raw as (
+  select l_linenumber as nth, l_quantity, cast(l_shipdate as date) as d, l_suppkey, l_partkey,
+         case when l_returnflag = 'N' then 'many' else cast(l_quantity as varchar) end as on_hand,
+         case when l_linestatus = 'F' then 0 when l_returnflag = 'A' then 2 when l_returnflag = 'R' then 1 end as flag
+  from lineitem
+),
+lines as (
+  select *, concat_ws(',', d, l_suppkey, l_partkey) as key,
+         concat_ws(',', on_hand, l_quantity, coalesce(cast(flag as varchar), ''), '') as rest
+  from raw
+),
+judged as (
+  select *, case when nth = 7 then 'too few fields' when nth = 6 then 'too many fields' when nth = 5 then 'unclosed quote'
+                 when nth = 4 then 'undecodable bytes' when on_hand = 'many' then 'inventory_on_hand_qty'
+                 when flag = 2 then 'out_of_stock_flg' end as reject_reason,
+         case when nth = 7 then key when nth = 6 then key || ',' || rest || ',true,,,'
+              when nth = 5 then key || ',' || rest || ',"true,' when nth = 4 then key || ',' || rest || ',true,?'
+              else key || ',' || rest || ',true,' end as line
+  from lines
+)
+select 'inventory' as table_name, reject_reason, count(*) as n_rows, cast(sum(length(line)) as bigint) as n_chars
+from judged where reject_reason is not null group by reject_reason
+union all
+select 'sales_inv_store_dy', null, count(*), cast(sum(q) as bigint)
+from (select max(struct_pack(a := cast(on_hand as double), b := l_quantity)).b as q
+      from judged where reject_reason is null group by d, l_suppkey, l_partkey)""",
+    "p11_repeated_dimension_rejects": f"""with {CALENDAR}
+select 'repeated key' as reject_reason, 'calendar' as table_name, count(*) as n_rows from calendar
+union all select 'repeated key', 'product', count(distinct p_brand) from part
+union all select 'repeated key', 'store', count(*) from region""",
+    "j02_repeated_dimension_keys": f"{_AS_OF_MART}\nselect {KEYS}, {MART_COLUMNS} from mart",
     "j01_conflicting_stock": f"""with {SALES},
 lines as (
   select cast(o_orderdate as date) as trans_dt, store_key, prod_key,

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfline.functions import names as N
-from shelfline.operators import landing, quality, replay, star, weekday, weekly
+from shelfline.operators import changes, landing, quality, replay, star, weekday, weekly
 from shelfline.operators.daily import CELL, daily, stock_cells, with_coded_flags
-from shelfline.plans import job
+from shelfline.plans import job, refresh
 from shelfline.plans import sample_model as sample
 from shelfline.sources import catalog, files, records, schemas, scratch, sinks
 from shelfline.sources.files import Location
@@ -649,6 +649,51 @@ def r02_compact_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(replay.compact(_replay_cells(spark, sf_dir), days, REPLAY_DAYS))
 
 
+def _altered(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame], dict[str, DataFrame]]:
+    """Facts before and after a change, and those withdrawn by it.
+
+    By the day of the year, modulo 50: day 0 has no facts before, on day 1 a quantity is
+    one more, and days 2 and 30 to 44, whole weeks among them, have none after.
+    """
+    before, after, gone = {}, {}, {}
+    for t, df, measure in (
+        ("sales", sample.sales(spark, sf_dir), "sales_qty"),
+        ("inventory", sample.inventory(spark, sf_dir), "inventory_on_order_qty"),
+    ):
+        phase = F.dayofyear(schemas.FACT_DATES[t]) % 50
+        withdrawn = (phase == 2) | phase.between(30, 44)
+        one_more = F.when(phase == 1, F.col(measure) + 1).otherwise(F.col(measure)).cast(schemas.MEASURE)
+        before[t], after[t], gone[t] = df.where(phase != 0).withColumn(measure, one_more), df.where(~withdrawn), df.where(withdrawn)
+    return before, after, gone
+
+
+def r02_incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After inserts, corrections and withdrawals the refreshed mart is the one built from the facts as they are.
+
+    Facts lie in tables partitioned by week, of which the days that change are delivered anew.
+    """
+    days, mart, state = (sample.model_calendar(spark, sf_dir), *(scratch.fresh_path(spark, x) for x in ("mart", "state")))
+    before, after, gone = _altered(spark, sf_dir)
+    paths = {t: scratch.fresh_path(spark, t) for t in before}
+    for t, df in before.items():
+        refresh.store_days(df, t, paths[t])
+    refresh.refresh(spark, *(files.read_saved(spark, paths[t]) for t in before), days, mart, state)
+    for t, df in after.items():
+        date = schemas.FACT_DATES[t]
+        withdrawn = [r[0] for r in gone[t].select(date).distinct().collect()]  # dates
+        refresh.store_days(df.where(F.dayofyear(date) % 50 < 2), t, paths[t], withdrawn)
+    refresh.refresh(spark, *(files.read_saved(spark, paths[t]) for t in before), days, mart, state)
+    return _plain(refresh.current(spark, mart))
+
+
+def r02_changed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days that differ between two states of the facts, and why."""
+    days = sample.model_calendar(spark, sf_dir)
+    before, after, _ = _altered(spark, sf_dir)
+    old, new = (refresh.digests(x["sales"], x["inventory"], days) for x in (before, after))
+    return _plain(changes.changed_days(old, new).select("fact", "day", "status", "yr_num", "wk_num"))
+
+
 def r01_audit_of_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An exported snapshot, listed from the file system and audited; one table is held back."""
     place = Location(scratch.fresh_path(spark, "snapshot"))
@@ -725,6 +770,8 @@ QUERIES: dict[str, Query] = {
     "k05_bounded_parts": k05_bounded_parts,
     "k07_append_and_rerun": k07_append_and_rerun,
     "r02_compact_replay": r02_compact_replay,
+    "r02_incremental_refresh": r02_incremental_refresh,
+    "r02_changed_days": r02_changed_days,
     "r01_audit_of_snapshot": r01_audit_of_snapshot,
     "s01_store_contract": s01_store_contract,
     "s10_dimension_tables": s10_dimension_tables,

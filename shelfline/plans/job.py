@@ -20,6 +20,7 @@ from shelfline.functions import names as N
 from shelfline.operators import quality
 from shelfline.operators.daily import CELL, daily
 from shelfline.operators.weekly import WEEK, WEEK_END_DAY, weekly_mart
+from shelfline.plans import refresh
 from shelfline.session import build_session
 from shelfline.sources import catalog, files, records, schemas, scratch, sinks
 from shelfline.sources.files import Location
@@ -27,7 +28,9 @@ from shelfline.sources.files import Location
 DIMENSIONS = ("calendar", "product", "store")
 FACTS = ("sales", "inventory")
 MART = "sales_inv_store_wk"
+CURRENT = "sales_inv_store_wk_current"
 DAY_TABLE = "sales_inv_store_dy"
+CHANGED = "changed_days"
 REJECTS = "rejects"
 REPEATED = "repeated_keys"
 STOCK_KEY = ("cal_dt", "store_key", "prod_key")
@@ -44,6 +47,7 @@ class JobConfig:
     save_daily: bool = False
     save_sales: bool = False
     rejects: bool = False
+    incremental: bool = False
     null_value: str | None = None
     dashed_names: bool = False
     catalog_schema: str | None = None
@@ -91,6 +95,10 @@ def run(spark: SparkSession, config: JobConfig) -> dict[str, str]:
     job.  With ``rejects`` nothing in a drop does: broken lines, rows that do not parse
     and repeats of a dimension key are saved beside the mart with reason, file and line,
     and so are keys of stock rows that came more than once.
+
+    With ``incremental`` there is one mart for all runs, of which only the weeks are
+    rebuilt that have changed since the last run (see ``refresh``); the days that had
+    are saved with the run.
     """
     saved: dict[str, str] = {}
 
@@ -119,21 +127,29 @@ def run(spark: SparkSession, config: JobConfig) -> dict[str, str]:
         quality.require_unique(inputs[table], table)
     if config.save_sales:
         save("sales", inputs["sales"])
-    cells = daily(inputs["sales"], inputs["inventory"])
+    if config.incremental:
+        base = f"{config.output_base.rstrip('/')}/{CURRENT}"
+        changed = refresh.refresh(spark, *(inputs[t] for t in (*FACTS, "calendar")), base, f"{base}_state", config.week_end_day)
+        save(CHANGED, changed)
+    if config.save_daily or not config.incremental:
+        cells = daily(inputs["sales"], inputs["inventory"])
     if config.save_daily:
         own = scratch.fresh_path(spark, "cells")
         sinks.save_table(cells, own, cluster_by=CELL[:1], sort_by=CELL)
         cells = files.read_saved(spark, own)
         save(DAY_TABLE, cells, cluster_by=CELL[:1], sort_by=CELL)
-    mart = weekly_mart(cells, inputs["calendar"], config.week_end_day)
-    save(MART, mart, partition_by=WEEK[:2], sort_by=WEEK)
+    if not config.incremental:
+        mart = weekly_mart(cells, inputs["calendar"], config.week_end_day)
+        save(MART, mart, partition_by=WEEK[:2], sort_by=WEEK)
 
     if config.catalog_schema:
         catalog.create_schema(spark, config.catalog_schema)
         for table, path in saved.items():
             name = f"{config.catalog_schema}.{table}"
             catalog.expose_run(spark, name, path.rsplit("/", 1)[0], N.date_label(config.run_date))
-    return saved
+        if config.incremental:
+            catalog.expose(spark, f"{config.catalog_schema}.{CURRENT}", base)
+    return saved if not config.incremental else {**saved, CURRENT: base}
 
 
 def parse_args(argv: list[str] | None = None) -> JobConfig:
@@ -147,6 +163,7 @@ def parse_args(argv: list[str] | None = None) -> JobConfig:
     parser.add_argument("--save-daily", action="store_true")
     parser.add_argument("--save-sales", action="store_true")
     parser.add_argument("--rejects", action="store_true")
+    parser.add_argument("--incremental", action="store_true")
     parser.add_argument("--null-value")
     parser.add_argument("--dashed-names", action="store_true")
     parser.add_argument("--catalog-schema")

@@ -522,4 +522,19 @@ dated as (
 ),{_metrics('dated', 'as_of, valid_from, ' + WEEK_KEYS)}
 select as_of, valid_from, {KEYS}, {MART_COLUMNS} from mart""",
     "k07_append_and_rerun": _mart(),
+    "r02_incremental_refresh": f"""{_MART.replace(
+        "from daily join calendar on trans_dt = cal_dt)",
+        "from daily join calendar on trans_dt = cal_dt "
+        "where dayofyear(trans_dt) % 50 <> 2 and dayofyear(trans_dt) % 50 not between 30 and 44)",
+    )}
+select {KEYS}, {MART_COLUMNS} from mart""",
+    "r02_changed_days": f"""with {SALES},{STOCK},{CALENDAR},
+days as (
+  select distinct 'sales' as fact, trans_dt as day from sales
+  union all select distinct 'inventory', cal_dt from inventory
+),
+phased as (select *, dayofyear(day) % 50 as phase from days)
+select fact, day, case phase when 0 then 'new' when 1 then 'changed' else 'withdrawn' end as status,
+       case when phase < 2 then cast(yr_num as bigint) end as yr_num, case when phase < 2 then cast(wk_num as bigint) end as wk_num
+from phased join calendar on day = cal_dt where phase < 3 or phase between 30 and 44""",
 }

@@ -93,3 +93,71 @@ def _builds(
         week_end_day,
     )
     return built, weeks, closed_for
+
+
+#: Days that share a bin of the interval join between weeks and as-of dates.
+BIN_DAYS = 32
+
+
+def replay_dates(
+    cells: DataFrame, calendar: DataFrame, dates: DataFrame, week_end_day: int = WEEK_END_DAY
+) -> DataFrame:
+    """``replay`` for as-of dates from a table ``dates(as_of)``, however many there are.
+
+    Every join has an equality: dates meet the days of the week they fall into, and
+    the weeks closed by then in bins of ``BIN_DAYS`` days.  Repeated and null dates
+    count for nothing.  Its rows are as many as the marts it stands for; ``compact_dates`` has one
+    row for a closed week instead.
+    """
+    built, weeks, opened, dates, last = _dated_builds(cells, calendar, dates, week_end_day)
+    bins = F.sequence(_bin("_close"), _bin(F.lit(last)))
+    waiting = weeks.where(F.col("_close") <= F.lit(last)).withColumn("_bin", F.explode(bins))
+    closed = waiting.join(dates.withColumn("_bin", _bin("as_of")), "_bin").where("as_of >= _close")
+    serves = closed.select("yr_num", "wk_num", F.lit(None).cast("date").alias("_for"), "as_of").union(
+        opened.select("yr_num", "wk_num", F.col("as_of").alias("_for"), "as_of")
+    )
+    same = [built[c] == serves[c] for c in ("yr_num", "wk_num")] + [F.col("_slot").eqNullSafe(F.col("_for"))]
+    return built.join(serves, same).select("as_of", *[built[c] for c in built.columns if c != "_slot"])
+
+
+def compact_dates(
+    cells: DataFrame, calendar: DataFrame, dates: DataFrame, week_end_day: int = WEEK_END_DAY
+) -> DataFrame:
+    """``compact`` for as-of dates from a table ``dates(as_of)``."""
+    built, weeks, *_ = _dated_builds(cells, calendar, dates, week_end_day)
+    return built.join(weeks, ["yr_num", "wk_num"]).select(
+        F.col("_slot").alias("as_of"),
+        F.coalesce("_slot", "_close").alias("valid_from"),
+        *[c for c in built.columns if c != "_slot"],
+    )
+
+
+def _bin(day: Column | str) -> Column:
+    return F.floor(F.unix_date(day) / BIN_DAYS)
+
+
+def _dated_builds(
+    cells: DataFrame, calendar: DataFrame, dates: DataFrame, week_end_day: int
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, dt.date | None]:
+    """Weeks built per slot, the span of each week, the week each date falls into while it is open, the dates, the last date.
+
+    The last date alone reaches the driver.
+    """
+    dates = dates.select("as_of").dropna().distinct()
+    last = dates.agg(F.max("as_of")).first()[0]
+    weeks = calendar.groupBy("yr_num", "wk_num").agg(F.min("cal_dt").alias("_open"), F.max("cal_dt").alias("_close"))
+    before_close = F.sequence("_open", F.date_sub("_close", 1))
+    spans = weeks.where("_open < _close").select("yr_num", "wk_num", F.explode(before_close).alias("as_of"))
+    opened = spans.join(dates, "as_of")
+    days = calendar.select(F.col("cal_dt").alias("_day"), "yr_num", "wk_num")
+    slots = (
+        days.join(opened, ["yr_num", "wk_num"]).where("_day <= as_of").select("_day", F.col("as_of").alias("_slot"))
+    ).union(
+        days.join(weeks, ["yr_num", "wk_num"]).where(F.col("_close") <= F.lit(last)).select("_day", F.lit(None).cast("date"))
+    )
+    built = summarise(
+        by_week(as_of(cells, "trans_dt", F.lit(last).cast("date")), calendar).join(slots, F.col("trans_dt") == F.col("_day"), "inner"),
+        ("_slot", *WEEK),
+        week_end_day,
+    )
+    return built, weeks, opened, dates, last

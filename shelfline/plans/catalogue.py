@@ -29,6 +29,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = dt.date(1998, 9, 2)  # a Wednesday: its week is open
 REPLAY_DAYS = (dt.date(1996, 6, 30), AS_OF, dt.date(2000, 12, 31))
 PART_ROWS = 1_000
+PART_BYTES, N_ORDERED_PARTS = 1 << 16, 200
+BUCKETS = 16
 LANDING_BASE = "s3a://landing"
 SCHEMA = "shelfline"
 
@@ -314,6 +316,22 @@ def k05_bounded_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def k05_byte_capped_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales in plain CSV parts of at most ``PART_BYTES``: all rows once, no part over the cap, parts well filled."""
+    path = scratch.fresh_path(spark, "capped")
+    lines = schemas.to_contract(sample.sales(spark, sf_dir), "sales")
+    sinks.unload_capped(lines, path, max_bytes=PART_BYTES, order_by=("trans_dt", "trans_id", "trans_time"))
+    listed = files.list_files(spark, path, "*.txt").agg(
+        (F.max("length") <= PART_BYTES).alias("bounded"),
+        # each ordered part can leave one file unfilled, beside the rows that no longer fit
+        (F.count("path") <= F.ceil(F.sum("length") / (PART_BYTES - 512)) + N_ORDERED_PARTS).alias("filled"),
+    )
+    rows = files.read_csv(spark, path, "sales").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("sales_amt").alias("amt"), F.sum("trans_id").alias("ids"), F.max("trans_dt").alias("last_dt")
+    )
+    return _plain(rows.withColumn("_one", F.lit(1)).join(listed.withColumn("_one", F.lit(1)), "_one").drop("_one"))
+
+
 def k07_append_and_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two appended halves, then a rerun that replaces only its own partitions."""
     path = scratch.fresh_path(spark, "mart")
@@ -491,6 +509,17 @@ def j01_daily_sales_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(_day_columns(_cells(spark, sf_dir)))
 
 
+def j01_from_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day rows from stored facts that are dealt by the join's keys: no row moves for the join."""
+    schema = f"{SCHEMA}_{scratch.fresh_path(spark, 'schema').rsplit('-', 1)[1]}"
+    catalog.create_schema(spark, schema, scratch.fresh_path(spark, "schema"))
+    stored = [
+        catalog.store_bucketed(df, f"{schema}.{t}", (schemas.FACT_DATES[t], *CELL[1:]), BUCKETS, scratch.fresh_path(spark, t))
+        for t, df in (("sales", sample.sales(spark, sf_dir)), ("inventory", sample.inventory(spark, sf_dir)))
+    ]
+    return _plain(_day_columns(daily(*stored)))
+
+
 def j01_conflicting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stock row per line, so cells conflict: the cell keeps one of its rows whole."""
     return _plain(stock_cells(_line_stock(spark, sf_dir)))
@@ -667,6 +696,27 @@ def _altered(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], di
     return before, after, gone
 
 
+def _order_dates(spark: SparkSession, sf_dir: str, condition: str = "true") -> DataFrame:
+    return sample.read(spark, sf_dir, "orders").where(condition).select(F.to_date("o_orderdate").alias("as_of"))
+
+
+def r02_dates_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mart as of the date of every partly filled order, summed up."""
+    cells, days = _cells(spark, sf_dir), sample.model_calendar(spark, sf_dir)
+    found = replay.replay_dates(cells, days, _order_dates(spark, sf_dir, "o_orderstatus = 'P'"))
+    sums = found.groupBy("as_of").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("wk_sales_qty").alias("qty"), F.sum("wk_sales_amt").alias("amt"),
+        F.sum("eop_stock_on_hand_qty").alias("on_hand"), F.sum("out_of_stock_times").alias("out_of_stock_times"),
+        F.sum("low_stock_impact").alias("low_stock_impact"),
+    )
+    return _plain(sums)
+
+
+def r02_compact_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed weeks once, open weeks for every order date."""
+    return _plain(replay.compact_dates(_cells(spark, sf_dir), sample.model_calendar(spark, sf_dir), _order_dates(spark, sf_dir)))
+
+
 def r02_incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """After inserts, corrections and withdrawals the refreshed mart is the one built from the facts as they are.
 
@@ -768,7 +818,11 @@ QUERIES: dict[str, Query] = {
     "k03_gzip_unload": k03_gzip_unload,
     "k04_plain_unload": k04_plain_unload,
     "k05_bounded_parts": k05_bounded_parts,
+    "k05_byte_capped_parts": k05_byte_capped_parts,
     "k07_append_and_rerun": k07_append_and_rerun,
+    "j01_from_buckets": j01_from_buckets,
+    "r02_dates_from_table": r02_dates_from_table,
+    "r02_compact_dates": r02_compact_dates,
     "r02_compact_replay": r02_compact_replay,
     "r02_incremental_refresh": r02_incremental_refresh,
     "r02_changed_days": r02_changed_days,

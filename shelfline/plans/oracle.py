@@ -522,6 +522,30 @@ dated as (
 ),{_metrics('dated', 'as_of, valid_from, ' + WEEK_KEYS)}
 select as_of, valid_from, {KEYS}, {MART_COLUMNS} from mart""",
     "k07_append_and_rerun": _mart(),
+    "k05_byte_capped_parts": f"""{_LINES}
+select count(*) as n_rows, cast(sum(sales_amt) as double) as amt, cast(sum(trans_id) as bigint) as ids, max(trans_dt) as last_dt,
+       true as bounded, true as filled from sales""",
+    "j01_from_buckets": f"{_DAILY}\nselect {DAY_ROW} from daily",
+    "r02_dates_from_table": f"""{_REPLAY.replace(
+        REPLAY, "(select distinct cast(o_orderdate as date) as as_of from orders where o_orderstatus = 'P') d"
+    )}
+select as_of, count(*) as n_rows, sum(wk_sales_qty) as qty, cast(sum(cast(wk_sales_amt as decimal(18,2))) as double) as amt,
+       sum(eop_stock_on_hand_qty) as on_hand, cast(sum(out_of_stock_times) as bigint) as out_of_stock_times,
+       cast(sum(low_stock_impact) as bigint) as low_stock_impact
+from mart group by as_of""",
+    "r02_compact_dates": f"""with {SALES},{STOCK},{CALENDAR},{DAILY},
+closes as (select yr_num as y, wk_num as w, max(cal_dt) as close from calendar group by 1, 2),
+dates as (select distinct cast(o_orderdate as date) as as_of from orders),
+dated as (
+  select d.*, c.*, close, cast(null as date) as as_of, close as valid_from
+  from daily d join calendar c on trans_dt = cal_dt join closes on yr_num = y and wk_num = w
+  where close <= (select max(as_of) from dates)
+  union all
+  select d.*, c.*, close, as_of, as_of as valid_from
+  from daily d join calendar c on trans_dt = cal_dt join closes on yr_num = y and wk_num = w
+       join dates on trans_dt <= as_of and as_of < close
+),{_metrics('dated', 'as_of, valid_from, ' + WEEK_KEYS)}
+select as_of, valid_from, {KEYS}, {MART_COLUMNS} from mart""",
     "r02_incremental_refresh": f"""{_MART.replace(
         "from daily join calendar on trans_dt = cal_dt)",
         "from daily join calendar on trans_dt = cal_dt "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfline.sources import schemas
@@ -41,3 +43,14 @@ def expose_run(spark: SparkSession, name: str, folder: str, run_date: str) -> No
     """The folder of all runs as a table partitioned by ``run_date``, and ``{name}_latest`` on one run."""
     expose(spark, name, folder)
     spark.sql(f"CREATE OR REPLACE VIEW {name}_latest AS SELECT * FROM {name} WHERE run_date = {run_date}")
+
+
+def store_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str) -> DataFrame:
+    """A table whose files are dealt by the hash of ``keys``, sorted by them.
+
+    Tables with as many buckets on the keys of a join or grouping meet without another
+    shuffle.  Rows are dealt to one task a bucket first, so a bucket is one file.
+    """
+    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    writer.mode("overwrite").option("path", path).option("compression", "zstd").saveAsTable(name)
+    return df.sparkSession.table(name)

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ from shelfline.functions import names as N
 from shelfline.operators.replay import as_of as cut
 from shelfline.sources import schemas
 from shelfline.sources.files import Location
+from shelfline.sources.scratch import fresh_path
+
 
 def table_path(base: str, table: str, run_date: dt.date) -> str:
     """``run_date=`` in the path makes every run a prunable partition."""
@@ -83,11 +89,12 @@ def export_snapshot(
     compression: str = "gzip",
     dashed: bool = False,
     label: dt.date | None = None,
+    max_bytes: int = 0,
 ) -> DataFrame:
     """Unload every table as of a date; returns ``(table_name, rows_written)``.
 
     Facts are cut at ``as_of``, dimensions go whole, and one date drives both the
-    cut and the file label.  Rows are counted by the tasks that send them to the
+    cut and the file label.  ``max_bytes`` caps each part's size before compression.  Rows are counted by the tasks that send them to the
     writers, not by a second scan; a stage is counted once, so a task that is run
     again after a loss is not counted twice.
     """
@@ -97,7 +104,8 @@ def export_snapshot(
         rows = cut(df, date_column, as_of) if date_column else df
         rows = schemas.to_contract(rows, table)
         seen = Observation()
-        unload_csv(
+        unload = partial(unload_capped, max_bytes=max_bytes) if max_bytes else unload_csv
+        unload(
             rows.observe(seen, F.count(F.lit(1)).alias("rows_written")),
             location.path(table, label or as_of, dashed),
             compression=compression,
@@ -105,3 +113,78 @@ def export_snapshot(
         written.append((table, int(seen.get["rows_written"])))
     session = next(iter(tables.values())).sparkSession
     return session.createDataFrame(written, "table_name string, rows_written bigint")
+
+
+#: Fixed value: bytes an unloaded file may have.
+FILE_CAP = 107_772_160
+
+
+def unload_capped(
+    df: DataFrame,
+    path: str,
+    *,
+    max_bytes: int = FILE_CAP,
+    order_by: Sequence[str] = (),
+    compression: str = "none",
+    mode: str = "overwrite",
+) -> int:
+    """Write headered CSV part files of at most ``max_bytes`` each before compression, header included.
+
+    Rows are encoded once and cut into files where they lie: in ranges of ``order_by``
+    or, without it, in the frame's own partitions.  A task sums its rows' encoded
+    lengths and begins a file where the next row would overrun; the driver adds up how
+    many files each part has, a number a part.  Rows then move to the task that
+    writes their file.  A row longer than the cap is alone in its file.  Returns the
+    number of files; their names are in order of part and row.
+    """
+    header = ",".join(df.columns)
+    room = max_bytes - len(header.encode()) - 1
+    if order_by:
+        df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    line = F.to_csv(F.struct(*df.columns), {"dateFormat": "yyyy-MM-dd"})
+    lines = df.select(line.alias("line")).withColumn("part", F.spark_partition_id())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, used, row = -1, 0, 0
+        for batch in batches:
+            sizes = pc.add(pc.binary_length(batch.column("line")), 1).to_numpy().astype(np.int64)
+            total, files_, at = np.cumsum(sizes), np.empty(len(sizes), np.int64), 0
+            while at < len(sizes):
+                before = total[at - 1] if at else 0
+                # rows that still fit; the first row of a file always does
+                end = int(np.searchsorted(total, before + room - used, "right")) if file >= 0 else at
+                if end <= at:
+                    file, used = file + 1, 0
+                    end = max(int(np.searchsorted(total, before + room, "right")), at + 1)
+                files_[at:end] = file
+                used += int(total[end - 1] - before)
+                at = end
+            rows = np.arange(row, row + len(sizes))
+            row += len(sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(files_), pa.array(rows), batch.column("line")], ["part", "file", "row", "line"])
+
+    own = fresh_path(df.sparkSession, "capped")
+    lines.mapInArrow(cut, "part int, file long, row long, line string").write.option("compression", "zstd").parquet(own)
+    encoded = df.sparkSession.read.parquet(own)
+    counts = encoded.groupBy("part").agg((F.max("file") + 1).alias("n")).orderBy("part").collect()
+    first, n_files = {}, 0
+    for r in counts:
+        first[r["part"]], n_files = n_files, n_files + r["n"]
+    starts = df.sparkSession.createDataFrame(list(first.items()), "part int, first long")
+    placed = encoded.join(starts, "part").select((F.col("first") + F.col("file")).cast("int").alias("id"), "row", "line")
+    placed = placed.repartitionById(max(n_files, 1), "id").sortWithinPartitions("id", "row")
+    text = placed.mapInArrow(partial(_headed, header=header), "value string")
+    if not n_files:
+        text = df.sparkSession.createDataFrame([(header,)], "value string").coalesce(1)
+    text.write.mode(mode).option("compression", compression).text(path)
+    return n_files
+
+
+def _headed(batches: Iterator[pa.RecordBatch], header: str) -> Iterator[pa.RecordBatch]:
+    """A file's lines behind its header."""
+    written = False
+    for batch in batches:
+        if len(batch):
+            head = [] if written else [header]
+            written = True
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(head, pa.string()), batch.column("line")])], ["value"])

@@ -20,7 +20,7 @@ from shelfline.operators import changes, landing, quality, replay, star, weekday
 from shelfline.operators.daily import CELL, daily, stock_cells, with_coded_flags
 from shelfline.plans import job, refresh
 from shelfline.plans import sample_model as sample
-from shelfline.sources import catalog, files, records, schemas, scratch, sinks
+from shelfline.sources import catalog, files, records, schemas, scratch, sinks, storage, verified
 from shelfline.sources.files import Location
 from shelfline.streaming import arrivals
 
@@ -766,6 +766,24 @@ def r04_snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.export_snapshot(sample.tables(spark, sf_dir), place, AS_OF)
 
 
+def r04_verified_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every table exported with a proof and read back by it; once a part is gone the folder is refused."""
+    place = Location(scratch.fresh_path(spark, "proved"))
+    proved = verified.export_snapshot(sample.tables(spark, sf_dir), place, AS_OF, max_bytes=PART_BYTES, compression="none")
+    found = []
+    for table in (r["table_name"] for r in proved.collect()):  # a row a table
+        path = place.path(table, AS_OF)
+        n_rows = verified.read(spark, table, path, prove=True).count()
+        part = files.list_files(spark, path, "part-*").agg(F.min("path")).first()[0]
+        storage.delete(spark, part)
+        try:
+            verified.read(spark, table, path, prove=True)
+            found.append((table, n_rows, False))
+        except verified.NotVerified:
+            found.append((table, n_rows, True))
+    return spark.createDataFrame(found, "table_name string, n_rows bigint, loss_refused boolean")
+
+
 QUERIES: dict[str, Query] = {
     "m01_m02_weekly_sales": m01_m02_weekly_sales,
     "m_weekly_mart": m_weekly_mart,
@@ -802,6 +820,7 @@ QUERIES: dict[str, Query] = {
     "r02_as_of_replay": r02_as_of_replay,
     "r03_manifest": r03_manifest,
     "r04_snapshot_counts": r04_snapshot_counts,
+    "r04_verified_export": r04_verified_export,
     "s01_typed_csv_roundtrip": s01_typed_csv_roundtrip,
     "s02_drop_for_a_date": s02_drop_for_a_date,
     "s03_declared_table_load": s03_declared_table_load,

@@ -372,6 +372,12 @@ union all select 'inventory', count(*) from inventory where cal_dt <= {AS_OF}
 union all select 'store', count(*) from region
 union all select 'product', count(distinct p_brand) from part
 union all select 'calendar', count(*) from calendar""",
+    "r04_verified_export": f"""{_STOCK},{CALENDAR}
+select 'sales' as table_name, count(*) as n_rows, true as loss_refused from sales where trans_dt <= {AS_OF}
+union all select 'inventory', count(*), true from inventory where cal_dt <= {AS_OF}
+union all select 'store', count(*), true from region
+union all select 'product', count(distinct p_brand), true from part
+union all select 'calendar', count(*), true from calendar""",
     "s01_typed_csv_roundtrip": f"{_LINES}\nselect {SALES_ROW} from sales",
     "s02_drop_for_a_date": f"""{_STOCK}
 select {STOCK_ROW}, dashed_name

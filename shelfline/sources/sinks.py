@@ -77,10 +77,17 @@ def unload_csv(
         .option("dateFormat", "yyyy-MM-dd")
         .option("compression", compression)
         .option("maxRecordsPerFile", max_records)
+        .options(**WHOLE_VALUES)
         .csv(path)
     )
 
 
+def as_delivered(df: DataFrame, table: str, as_of: dt.date) -> DataFrame:
+    """A fact up to a date, a dimension whole."""
+    date_column = schemas.FACT_DATES.get(table)
+    return cut(df, date_column, as_of) if date_column else df
+
+
 def export_snapshot(
     tables: dict[str, DataFrame],
     location: Location,
@@ -100,9 +107,7 @@ def export_snapshot(
     """
     written: list[tuple[str, int]] = []
     for table, df in tables.items():
-        date_column = schemas.FACT_DATES.get(table)
-        rows = cut(df, date_column, as_of) if date_column else df
-        rows = schemas.to_contract(rows, table)
+        rows = schemas.to_contract(as_delivered(df, table, as_of), table)
         seen = Observation()
         unload = partial(unload_capped, max_bytes=max_bytes) if max_bytes else unload_csv
         unload(
@@ -115,6 +120,9 @@ def export_snapshot(
     return session.createDataFrame(written, "table_name string, rows_written bigint")
 
 
+# Fixed value: by default Spark cuts white space off values that it writes.
+WHOLE_VALUES = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
 #: Fixed value: bytes an unloaded file may have.
 FILE_CAP = 107_772_160
 
@@ -141,7 +149,7 @@ def unload_capped(
     room = max_bytes - len(header.encode()) - 1
     if order_by:
         df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    line = F.to_csv(F.struct(*df.columns), {"dateFormat": "yyyy-MM-dd"})
+    line = F.to_csv(F.struct(*df.columns), {"dateFormat": "yyyy-MM-dd", **WHOLE_VALUES})
     lines = df.select(line.alias("line")).withColumn("part", F.spark_partition_id())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from shelfline.plans import job, refresh
 from shelfline.plans import sample_model as sample
 from shelfline.sources import catalog, files, records, schemas, scratch, sinks, storage, verified
 from shelfline.sources.files import Location
-from shelfline.streaming import arrivals
+from shelfline.streaming import arrivals, readiness
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -761,6 +761,33 @@ def r03_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.manifest(sample.landing_names(spark, sf_dir), LANDING_BASE)
 
 
+def r03_continuous_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landing names of all days streamed in over several passes, some twice: what is sent, once each.
+
+    Tables nobody asked for land first, the last required ones late, after a restart;
+    then time goes on until every deadline has passed.
+    """
+    landed, target, checkpoint = (scratch.fresh_path(spark, x) for x in ("names", "reports", "readiness"))
+    names = landing.parse(sample.landing_names(spark, sf_dir)).where("run_date is not null").select("name", "table_name").distinct()
+    waves = {1: ("returns", "sales"), 2: ("sales", "inventory", "product"), 3: ("store", "product"), 4: ("calendar", "sales")}
+    for hour, tables in waves.items():
+        at = F.lit(dt.datetime(1990, 1, 1, hour)).cast("timestamp")
+        names.where(F.col("table_name").isin(*tables)).select("name", at.alias("landed_at")).write.mode("append").parquet(landed)
+        if hour in (2, 4):
+            _readiness_pass(spark, landed, target, checkpoint)
+    # names of no day move the clock on
+    for year in (2090, 2091):
+        clock = spark.range(1).select(F.lit("clock").alias("name"), F.lit(dt.datetime(year, 1, 1)).cast("timestamp").alias("landed_at"))
+        clock.write.mode("append").parquet(landed)
+        _readiness_pass(spark, landed, target, checkpoint)
+    return spark.read.schema(readiness.OUT).parquet(target)
+
+
+def _readiness_pass(spark: SparkSession, landed: str, target: str, checkpoint: str) -> None:
+    arrived = spark.readStream.schema("name string, landed_at timestamp").parquet(landed)
+    readiness.run_once(readiness.readiness(arrived, LANDING_BASE), target, checkpoint).awaitTermination()
+
+
 def r04_snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = Location(scratch.fresh_path(spark, "snapshot"))
     return sinks.export_snapshot(sample.tables(spark, sf_dir), place, AS_OF)
@@ -819,6 +846,7 @@ QUERIES: dict[str, Query] = {
     "r01_landing_audit": r01_landing_audit,
     "r02_as_of_replay": r02_as_of_replay,
     "r03_manifest": r03_manifest,
+    "r03_continuous_readiness": r03_continuous_readiness,
     "r04_snapshot_counts": r04_snapshot_counts,
     "r04_verified_export": r04_verified_export,
     "s01_typed_csv_roundtrip": s01_typed_csv_roundtrip,

@@ -366,6 +366,21 @@ select run_date,
        '{{"conf":{{' || string_agg('"' || table_name || '":"s3a://landing/' || name || '"', ','
                                    order by table_name) || '}}}}' as payload
 from found join ready using (run_date) group by run_date""",
+    "r03_continuous_readiness": f"""with {NAMES},
+joined as (
+  select run_date, coalesce(e.table_name, f.table_name) as table_name,
+         e.table_name is not null as wanted, f.table_name is not null as here
+  from expected e full outer join found f using (run_date, table_name)
+)
+select run_date, 'ready' as status,
+       '{{"conf":{{' || string_agg('"' || table_name || '":"s3a://landing/' || name || '"', ','
+                                   order by table_name) || '}}}}' as payload,
+       null as missing, cast(0 as bigint) as n_unexpected
+from found join ready using (run_date) group by run_date
+union all
+select run_date, 'late', null, coalesce(string_agg(case when not here then table_name end, ',' order by table_name), ''),
+       cast(sum(case when not wanted then 1 else 0 end) as bigint)
+from joined where run_date not in (select run_date from ready) group by run_date""",
     "r04_snapshot_counts": f"""{_STOCK},{CALENDAR}
 select 'sales' as table_name, count(*) as rows_written from sales where trans_dt <= {AS_OF}
 union all select 'inventory', count(*) from inventory where cal_dt <= {AS_OF}

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from shelfline.functions.flags import ratio
 from shelfline.operators.daily import CELL, sales_cells
+from shelfline.operators.fill import fill_forward
 
 WEEK = ("yr_num", "wk_num", "store_key", "prod_key")
 WEEK_END_DAY = 6  # Monday is 0
@@ -192,6 +193,23 @@ def weekly_mart_as_coded(
     ).drop("_price_total", "_price_lines")
 
 
+def with_last_levels(mart: DataFrame, cells: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Adds ``last_on_hand_qty`` and ``last_on_order_qty``: the levels last recorded up to the end of the week.
+
+    Beside the end-of-week levels, which are NULL without a stock row on the last day,
+    these are the latest known of the week or, without one, of the weeks before.
+    """
+    day = F.col("trans_dt")
+    latest = {
+        "on_hand_qty": F.max(F.when(F.col("inventory_on_hand_qty").isNotNull(), F.struct(day, "inventory_on_hand_qty"))),
+        "on_order_qty": F.max(F.when(F.col("inventory_on_order_qty").isNotNull(), F.struct(day, "inventory_on_order_qty"))),
+    }
+    weeks = by_week(cells, calendar).groupBy(*WEEK).agg(*[v.alias(n) for n, v in latest.items()])
+    levels = weeks.select(*WEEK, *[F.col(f"{n}.inventory_{n}").alias(n) for n in latest])
+    filled = fill_forward(levels, WEEK[2:], WEEK[:2], tuple(latest)).select(*WEEK, *[f"last_{n}" for n in latest])
+    return mart.join(filled, list(WEEK), "left")
+
+
 def in_key_order(mart: DataFrame) -> DataFrame:
     """Total ascending order by the mart keys: a range shuffle, no single task."""
     return mart.orderBy(*WEEK)

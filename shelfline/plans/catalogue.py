@@ -20,7 +20,7 @@ from shelfline.operators import changes, landing, quality, replay, star, weekday
 from shelfline.operators.daily import CELL, daily, stock_cells, with_coded_flags
 from shelfline.plans import job, refresh
 from shelfline.plans import sample_model as sample
-from shelfline.sources import catalog, files, records, schemas, scratch, sinks, storage, verified
+from shelfline.sources import catalog, files, history, records, schemas, scratch, sinks, storage, verified
 from shelfline.sources.files import Location
 from shelfline.streaming import arrivals, readiness
 
@@ -123,6 +123,26 @@ def s06_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _listing(spark: SparkSession, sf_dir: str, *statuses: str) -> DataFrame:
+    """A file for each name that orders of these states give: as long as its orders are many, as new as their last key."""
+    orders = sample.read(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin(*statuses))
+    table = F.lower(F.regexp_replace("o_orderpriority", "[^A-Z]+", ""))
+    day = F.to_date("o_orderdate")
+    name = F.when(F.col("o_orderstatus") == "O", N.dashed_name(table, day)).otherwise(N.compact_name(table, day))
+    files_ = orders.groupBy(F.concat(F.lit(f"{LANDING_BASE}/"), name).alias("path"))
+    return files_.agg(F.count(F.lit(1)).alias("length"), F.timestamp_seconds(F.max("o_orderkey")).alias("modificationTime"))
+
+
+def s06_listing_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three looks at a folder, the last without a change: what each of them found."""
+    path = scratch.fresh_path(spark, "looks")
+    for statuses in (("O", "F"), ("F", "P"), ("P", "F")):
+        history.record(_listing(spark, sf_dir, *statuses), path)
+    return history.log(spark, path).select(
+        F.col("look").cast("bigint").alias("look"), "path", "status", "length", F.unix_timestamp("modificationTime").alias("seconds")
+    )
+
+
 def s08_mart_from_saved_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.fresh_path(spark, "daily")
     sinks.save_table(_cells(spark, sf_dir), path, cluster_by=CELL[:1], sort_by=CELL)
@@ -594,6 +614,13 @@ def m_weekly_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(_mart(spark, sf_dir))
 
 
+def m04_m05_last_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """End-of-week levels and, beside them, the ones last recorded."""
+    cells, days = _cells(spark, sf_dir), sample.model_calendar(spark, sf_dir)
+    mart = weekly.weekly_mart(cells, days).select(*weekly.WEEK, "eop_stock_on_hand_qty", "eop_ordered_stock_qty")
+    return _plain(weekly.with_last_levels(mart, cells, days))
+
+
 def a_weekly_mart_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     mart = weekly.weekly_mart_as_coded(
         sample.sales(spark, sf_dir), sample.inventory(spark, sf_dir), sample.model_calendar(spark, sf_dir)
@@ -816,6 +843,7 @@ QUERIES: dict[str, Query] = {
     "m_weekly_mart": m_weekly_mart,
     "m03_avg_price": _mart_columns("avg_sales_price", "mean_line_price"),
     "m04_m05_end_of_week": _mart_columns("eop_stock_on_hand_qty", "eop_ordered_stock_qty"),
+    "m04_m05_last_levels": m04_m05_last_levels,
     "m06_total_cost": _mart_columns("wk_sales_cost", "wk_discount", "wk_sales_mgrn"),
     "m07_stock_pct": _mart_columns("out_of_stock_pct", "in_stock_pct"),
     "m08_m10_impacts": _mart_columns(
@@ -853,6 +881,7 @@ QUERIES: dict[str, Query] = {
     "s02_drop_for_a_date": s02_drop_for_a_date,
     "s03_declared_table_load": s03_declared_table_load,
     "s06_list_files": s06_list_files,
+    "s06_listing_history": s06_listing_history,
     "s08_mart_from_saved_daily": s08_mart_from_saved_daily,
     "s09_views_in_sql": s09_views_in_sql,
     "s10_external_table": s10_external_table,

@@ -402,6 +402,34 @@ from inventory cross join (values (true), (false)) v(dashed_name) where cal_dt <
 select distinct cast(yr_num as bigint) as yr_num, cast(wk_num as bigint) as wk_num,
        true as has_data, true as dated from mart""",
     "s08_mart_from_saved_daily": _mart(),
+    "s06_listing_history": """
+with named as (
+  select 's3a://landing/' || regexp_replace(lower(o_orderpriority), '[^a-z]+', '', 'g') || '_'
+         || case when o_orderstatus = 'O' then strftime(o_orderdate, '%Y-%m-%d') || '.csv'
+                 else strftime(o_orderdate, '%Y%m%d') || '.csv.gz' end as path, * from orders
+),
+one as (select path, count(*) as length, max(o_orderkey) as seconds from named where o_orderstatus in ('O', 'F') group by path),
+two as (select path, count(*) as length, max(o_orderkey) as seconds from named where o_orderstatus in ('F', 'P') group by path)
+select cast(1 as bigint) as look, path, 'added' as status, length, seconds from one
+union all
+select 2, path, case when one.path is null then 'added' when two.path is null then 'removed' else 'rewritten' end,
+       coalesce(two.length, one.length), coalesce(two.seconds, one.seconds)
+from one full outer join two using (path)
+where one.path is null or two.path is null or one.length <> two.length or one.seconds <> two.seconds""",
+    "m04_m05_last_levels": f"""{_MART},
+recorded as (
+  select yr_num, wk_num, store_key, prod_key, max(trans_dt) as week_day,
+         arg_max(inventory_on_hand_qty, trans_dt) as on_hand, arg_max(inventory_on_order_qty, trans_dt) as on_order
+  from daily join calendar on trans_dt = cal_dt group by {WEEK_KEYS}
+),
+carried as (
+  select *, last_value(on_hand ignore nulls) over (partition by store_key, prod_key order by yr_num, wk_num) as last_on_hand,
+         last_value(on_order ignore nulls) over (partition by store_key, prod_key order by yr_num, wk_num) as last_on_order
+  from recorded
+)
+select {KEYS}, eop_stock_on_hand_qty, eop_ordered_stock_qty,
+       cast(last_on_hand as double) as last_on_hand_qty, cast(last_on_order as double) as last_on_order_qty
+from mart join carried using (yr_num, wk_num, store_key, prod_key)""",
     "s09_views_in_sql": f"""with {SALES},{CALENDAR}
 select {KEYS}, cast(sum(sales_qty) as double) as wk_sales_qty,
        cast(sum(sales_amt) as double) as wk_sales_amt

@@ -44,9 +44,14 @@ def replace_days(batch: DataFrame, location: Location, table: str, target: str)
     A day's partition is replaced as a whole, so a batch can run again.
     """
     spark = batch.sparkSession
-    days = batch.select("run_date").distinct()
-    names = list_files(spark, _landed(location, table)).select("name", N.date_of(F.col("name")).alias("run_date"))
-    names = names.filter(N.table_of(F.col("name")) == table).join(days, "run_date")
+    days = [row.run_date for row in batch.select("run_date").distinct().collect()]
+    if not days:
+        return
+    # only these days' drops are looked into, in either convention
+    labels = ",".join(f"{day:%Y%m%d},{day:%Y-%m-%d}" for day in days)
+    near = list_files(spark, f"{location.base.rstrip('/')}/{table}_{{{labels}}}.csv*")
+    names = near.select("name", N.date_of(F.col("name")).alias("run_date"))
+    names = names.filter((N.table_of(F.col("name")) == table) & F.col("run_date").isin(days))
     chosen = names.groupBy("run_date").agg(F.max("name").alias("name")).collect()  # one row a day
     if not chosen:
         return

@@ -3,7 +3,8 @@
 Every line of a text is content or boilerplate; Viterbi decoding finds the best
 sequence, and the share of words in content lines decides whether a text stays.
 The field is trained on documents labelled good or bad, whose lines take the
-document's label.
+document's label, and on such documents joined at a line's end, a good one before or
+behind a bad one, which is how it learns where a text changes.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from shelfline.llm.common import Block, blocks, widened
 from shelfline.llm.words import U, Words, hash_spans, is_word, mix, seeds, spans
 
-#: Bound of the training sample: documents of each label, and lines of a document.
+#: Bound of the training sample: documents of each label; longer ones are cut into pieces of so many lines.
 SAMPLE_DOCS, SAMPLE_LINES = 500, 64
 CONTENT_SHARE = 0.5
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
@@ -141,27 +142,41 @@ class Field(NamedTuple):
         return labels
 
 
-def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 80, rate: float = 0.3, penalty: float = 1e-3) -> Field:
+def joined(pieces: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pieces of one label as sequences, and good and bad ones end to end, in both orders.
+
+    Each label's pieces take part once in each order, the scarcer one's several times.
+    """
+    by_label = [[x for x, y in pieces if y == label] for label in (0, 1)]
+    found = [(x, np.full(len(x), y)) for x, y in pieces]
+    for i in range(max(map(len, by_label))):
+        for first in (0, 1):
+            # another partner in the other order
+            x, y = (by_label[k][(i + (k != first) * (i // len(by_label[k]) + 1)) % len(by_label[k])] for k in (first, 1 - first))
+            found.append((np.concatenate((x, y)), np.repeat((first, 1 - first), (len(x), len(y)))))
+    return found
+
+
+def fit(pieces: list[tuple[np.ndarray, int]], rounds: int = 80, rate: float = 0.3, penalty: float = 1e-3) -> Field:
     """Maximum likelihood by gradient steps (Adam) with exact forward-backward sums.
 
-    ``sequences``: a feature matrix and a label for each training document.  With
-    one label only, the neutral field.
+    ``pieces``: a feature matrix and a label for each piece of a training document.
+    With one label only, the neutral field.  Both labels and the joined sequences count alike.
     """
-    if len({y for _, y in sequences}) < 2:
+    if len({y for _, y in pieces}) < 2:
         return Field.neutral()
+    sequences = joined(pieces)
     n, top, width = len(sequences), max(len(x) for x, _ in sequences), len(FEATURES) + 1
-    x, mask = np.zeros((n, top, width)), np.zeros((n, top), bool)
-    for i, (rows, _) in enumerate(sequences):
-        x[i, : len(rows), :-1], x[i, : len(rows), -1], mask[i, : len(rows)] = rows, 1, True
-    y = np.array([label for _, label in sequences])
-    weight = 1 / (2 * np.bincount(y, minlength=2)[y])  # both labels count alike
+    x, mask, y = np.zeros((n, top, width)), np.zeros((n, top), bool), np.zeros((n, top), np.int64)
+    for i, (rows, labels) in enumerate(sequences):
+        x[i, : len(rows), :-1], x[i, : len(rows), -1], mask[i, : len(rows)], y[i, : len(rows)] = rows, 1, True, labels
+    kind = np.array([label for _, label in pieces] + [2] * (n - len(pieces)))
+    weight = 1 / (3 * np.bincount(kind)[kind])
     w, tr = np.zeros((width, 2)), np.zeros((2, 2))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(tr), np.zeros_like(tr)]
-    gold = np.zeros((n, top, 2))
-    gold[np.arange(n), :, y] = mask
-    pairs = mask[:, 1:].sum(axis=1)
+    gold = np.stack([mask & (y == 0), mask & (y == 1)], axis=2).astype(float)
     gold_tr = np.zeros((2, 2))
-    np.add.at(gold_tr, (y, y), pairs * weight)
+    np.add.at(gold_tr, (y[:, :-1], y[:, 1:]), mask[:, 1:] * weight[:, None])
 
     def logsum(a: np.ndarray, axis: int) -> np.ndarray:
         m = a.max(axis=axis, keepdims=True)
@@ -198,8 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS,
     """A field from a bounded sample of ``labels(doc_id, quality)``.
 
     The sample has at most ``sample_docs`` documents of each label, those of least
-    crc32(doc_id), as far as they have ``sample_lines`` lines or fewer; only their
-    line features reach the driver.
+    crc32(doc_id), in pieces of ``sample_lines`` lines; only their line features, two
+    bytes a line, reach the driver.
     """
     key = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     marked = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
@@ -213,12 +228,16 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS,
                 hashes = hash_spans(block.data, words.starts, words.ends)
                 found = lines(block, words)
                 x = np.packbits(features(block, words, hashes, found), axis=1)
-                out = [x[a:b].tobytes() if b - a <= sample_lines else None for a, b in zip(found.bounds[:-1], found.bounds[1:], strict=True)]
-                quality = batch.column("quality").slice(block.first, len(block))
-                yield pa.RecordBatch.from_arrays([quality, pa.array(out, pa.binary())], ["quality", "x"])
+                quality = batch.column("quality").slice(block.first, len(block)).to_pylist()
+                out = [
+                    (q, x[at : min(at + sample_lines, b)].tobytes())
+                    for q, a, b in zip(quality, found.bounds[:-1], found.bounds[1:], strict=True)
+                    for at in range(a, b, sample_lines)
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["quality", "x"])
 
     width = -(-len(FEATURES) // 8)
-    got = sorted((r["quality"], bytes(r["x"])) for r in rows.mapInArrow(measure, "quality int, x binary").where("x is not null").collect())
+    got = sorted((r["quality"], bytes(r["x"])) for r in rows.mapInArrow(measure, "quality int, x binary").collect())
     unpack = lambda b: np.unpackbits(np.frombuffer(b, np.uint8).reshape(-1, width), axis=1)[:, : len(FEATURES)]
     return fit([(unpack(x), q) for q, x in got])
 

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from shelfline.llm import line_crf
 
@@ -52,7 +53,7 @@ def test_viterbi_against_all_labellings():
         assert tuple(got[a:b]) == best
 
 
-def test_training_follows_the_exact_gradient():
+def test_fit_tells_the_labels_apart():
     rng = np.random.default_rng(2)
     width = len(line_crf.FEATURES)
     data = [(np.hstack([np.full((n, 1), y, bool), rng.random((n, width - 1)) < 0.3]), y) for y in (0, 1) for n in (1, 2, 4, 6) * 5]
@@ -94,3 +95,36 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs):
     assert [r["n_words"] for r in rows if r["doc_id"] == 5] == [100_000]
     assert line_crf.measure_quality(no_docs, field).collect() == []
     assert line_crf.train(no_docs, labels).emission.tolist() == line_crf.Field.neutral().emission.tolist()
+
+
+def test_mixed_texts_are_labelled_line_by_line(spark):
+    """Good and bad texts joined at a line's end, never seen like that in training."""
+    docs, labels = documents(spark)
+    field = line_crf.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.where("doc_id >= 80").collect()}
+    junk, prose = ([t for i, t in sorted(texts.items()) if (i % 3 == 0) == bad] for bad in (True, False))
+    rows = [(k, "\n".join(pieces)) for k, pieces in enumerate([(j, p), (p, j), (p, j, q)][k % 3] for k, (j, p, q) in enumerate(zip(junk, prose, prose[1:])))]
+    got = line_crf.measure_quality(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()
+    for r in got:
+        want = sum(len(WORD.findall(line)) for line in r.text.split("\n") if "|" not in line)
+        assert r.content_words == want and 0 < want < r.n_words
+
+
+def test_long_training_texts_are_cut_not_left_out(spark):
+    docs, labels = documents(spark)
+    whole = docs.groupBy().agg(F.array_join(F.collect_list(F.when(F.col("doc_id") % 3 == 0, F.col("text"))), "\n").alias("junk"),
+                               F.array_join(F.collect_list(F.when(F.col("doc_id") % 3 != 0, F.col("text"))), "\n").alias("prose"))
+    two = whole.select(F.explode(F.array(F.struct(F.lit(0).alias("doc_id"), F.col("junk").alias("text")), F.struct(F.lit(1).alias("doc_id"), F.col("prose").alias("text")))).alias("d")).select("d.*")
+    field = line_crf.train(two, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int"))
+    kept = {r.doc_id: r.kept for r in line_crf.measure_quality(docs, field).collect() if not r.base_failed}
+    assert kept and all(keep == (i % 3 != 0) for i, keep in kept.items())
+
+
+def test_joined_sequences_change_in_both_directions():
+    pieces = [(np.full((n, 2), y), y) for y, sizes in ((0, (1, 2)), (1, (3, 1, 4, 1, 5))) for n in sizes]
+    found = line_crf.joined(pieces)
+    assert len(found) == 7 + 2 * 5
+    for x, y in found:
+        assert (x[:, 0] == y).all()
+    changes = {tuple(y[[0, -1]]) for _, y in found[7:]}
+    assert changes == {(0, 1), (1, 0)}

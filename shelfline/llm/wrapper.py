@@ -67,13 +67,31 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[a-z]+")
+#: Plain containers, whose names mostly tell what they hold: part of a name (``site-footer``) is enough.
+CONTAINERS = frozenset("div ul ol dl table tbody tr td center figure details".split())
+#: Of other elements only a whole name counts, and an id, which often is a heading's slug, on sections alone.
+NAMED_BY_ID = CONTAINERS | {"section"}
+#: Elements nested deeper than this belong to the one at this depth, as in browsers, whose limit is 512.
+DEEPEST = 200
+
+
+def aside_by_name(tag: str, names: list[str]) -> bool:
+    """Whether names (``c:``, ``i:``, ``r:`` and a class, id or role) say that an element is aside of the article."""
+    for name in names:
+        kind, value = name[0], name[2:]
+        if kind == "i" and tag not in NAMED_BY_ID:
+            continue
+        words = _NAME.findall(value) if tag in CONTAINERS else [value]
+        if not ASIDE_WORDS.isdisjoint(words):
+            return True
+    return False
 
 
 class Element:
-    __slots__ = ("tag", "path", "aside", "skipped")
+    __slots__ = ("tag", "path", "aside", "skipped", "inline")
 
-    def __init__(self, tag: str, path: str, aside: bool, skipped: bool) -> None:
-        self.tag, self.path, self.aside, self.skipped = tag, path, aside, skipped
+    def __init__(self, tag: str, path: str, aside: bool, skipped: bool, inline: bool = False) -> None:
+        self.tag, self.path, self.aside, self.skipped, self.inline = tag, path, aside, skipped, inline
 
 
 _labels: dict[tuple[str, str], tuple[str, bool]] = {}
@@ -92,8 +110,8 @@ def _label(tag: str, attributes: str) -> tuple[str, bool]:
             names += [f"{key[0]}:{re.sub(r'[^a-z_-]+', '#', v)}" for v in value.split()]
         else:
             hidden |= key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", ""))
-    words = {w for n in names for w in _NAME.findall(n[2:])}
-    aside = tag in ASIDE or hidden or (tag not in WHOLE and bool(words & ASIDE_WORDS)) or bool(words & OTHERS_WORDS)
+    others = tag in WHOLE and any(not OTHERS_WORDS.isdisjoint(_NAME.findall(n[2:])) for n in names if n[0] != "i")
+    aside = tag in ASIDE or hidden or others or (tag not in WHOLE and aside_by_name(tag, names))
     found = ".".join([tag, *sorted(set(names))]).replace("/", "#"), aside
     if attributes and len(attributes) < 200:
         if len(_labels) > 20_000:
@@ -150,8 +168,9 @@ def walk(page: str) -> Iterator[tuple[str, Element | str]]:
             continue
         above = stack[-1] if stack else top
         label, aside = _label(tag, m.group(3) or "")
-        path = above.path if tag in INLINE else f"{above.path}/{label}"
-        element = Element(tag, path, aside, above.skipped or aside)
+        inline = tag in INLINE or len(stack) >= DEEPEST
+        path = above.path if inline else f"{above.path}/{label}"
+        element = Element(tag, path, aside, above.skipped or aside, inline)
         yield "open", element
         if tag in VOID or token.endswith("/>") and tag not in INLINE and tag not in CLOSES_P and tag not in ENDS and tag not in RAW:
             yield "close", element
@@ -209,7 +228,7 @@ def fold(page: str) -> tuple[list, dict[str, list]]:
         if kind == "open":
             elements.append(x)
             linked += x.tag == "a"
-            if x.tag in INLINE:
+            if x.inline:
                 continue
             node, order, last = stack[-1]
             label = x.path.rpartition("/")[2]
@@ -231,7 +250,7 @@ def fold(page: str) -> tuple[list, dict[str, list]]:
         else:
             elements.pop()
             linked -= x.tag == "a"
-            if x.tag not in INLINE:
+            if not x.inline:
                 stack.pop()
 
     def mark(node: list) -> None:  # children that some instance of their parent lacks
@@ -297,9 +316,9 @@ def _names(label: str) -> set[str]:
 
 def _is_aside(label: str, lenient: bool = False) -> bool:
     """Whether a wrapper's element is aside; if ``lenient``, only if it surely is."""
-    tag = _tag(label)
-    words = {w for part in label.split(".")[1:] for w in _NAME.findall(part[2:])}
-    return tag in ASIDE or bool(words & OTHERS_WORDS) or (not lenient and tag not in WHOLE and bool(words & ASIDE_WORDS))
+    tag, names = _tag(label), label.split(".")[1:]
+    words = {w for part in names if part[0] != "i" or tag in NAMED_BY_ID for w in _NAME.findall(part[2:])}
+    return tag in ASIDE or bool(words & OTHERS_WORDS) or (not lenient and tag not in WHOLE and aside_by_name(tag, names))
 
 
 def article_paths(wrapper: list, texts: dict[str, list]) -> list[str]:
@@ -361,7 +380,7 @@ def read(page: str, paths: frozenset[str]) -> str:
                 if keep:
                     held.append(x)
                 continue
-            root = x.tag not in INLINE and x.path in paths
+            root = not x.inline and x.path in paths
             if x.tag not in INLINE and held:
                 out.append(" ".join("".join(held).split()))
                 held = []
@@ -472,7 +491,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     ``text``: the article's blocks, white space turned into single spaces, joined by
     one space; ``wrapper``: its host's expression.  A page without the host's
-    article elements gives all its text but menus, forms and the like.
+    article elements gives all its text but menus, forms and the like.  Of elements
+    nested more than ``DEEPEST`` deep the text counts as that of the one at that depth.
 
     Null or empty html gives an empty text.  Pages whose address names no host form
     a host of their own.  Repeated rows are read alike.  Other columns are ignored.

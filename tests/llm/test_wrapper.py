@@ -90,3 +90,24 @@ def test_odd_and_empty_tables(spark):
     assert texts[1, None] == texts[2, ""] == texts[4, "http://a.b/"] == "" and texts[None, "http://a.b/"] == "x"
     assert len(texts[5, "http://a.b"]) == 400_001
     assert w.extract(pages.limit(0)).collect() == []
+
+
+def test_slugs_and_compound_names_within_an_article_are_text():
+    body = (
+        "<article><h2 id=related-work>Related</h2><section id=search-algorithms><p>a</p></section><p class=social-history>b</p>"
+        "<p id=notice-2>c <span class=ad-hoc>d</span></p><h3 id=copyright>e</h3><section class='ad-free'>f</section>"
+        "<p class=advert>buy</p><span class=ad>now</span><div class='post-share'>s</div><section id=comments>r</section>"
+        "<div id=related-posts>x</div><section class=newsletter>y</section></article>"
+    )
+    node, _ = w.fold(page(body))
+    assert w.read(page(body), frozenset(w.article_paths(node, {}))) == "Related a b c d e f"
+
+
+def test_deep_pages_are_read(spark):
+    """Ten thousand nested elements, closed and not, on hosts with other pages."""
+    deep = "<div>" * 10_000 + "deep <p>text" + "</div>" * 5_000 + "tail"
+    rows = [(1, "http://a.b/1", page(deep)), (2, "http://a.b/2", page("<div><p>flat text</p></div>")), (3, "http://c.d/", page(f"<article>{deep}</article>"))]
+    rows += [(4, "http://e.f/", page("<article>" + "<section><p>x</p>" * 3_000 + "</article>"))]
+    got = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[3] == "deep text tail"
+    assert got[2] == "flat text" and got[4] == " ".join(["x"] * 3_000)

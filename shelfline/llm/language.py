@@ -28,10 +28,14 @@ MOST_EVIDENCE = 60.0
 #: Pages' worth of trust in the level above: host in suffix, suffix in all pages, declaration in none.
 HOST_TRUST, SUFFIX_TRUST, DECLARED_TRUST = 5.0, 20.0, 1.0
 
-_ASIDE = re.compile(r"<!--.*?-->|<(script|style|nav|footer|aside|head|form|template|svg)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+_ASIDES = "script style nav footer aside head form template svg".split()
+_ASIDE = re.compile(rf"<({'|'.join(_ASIDES)})\b", re.I)
+_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _ASIDES}
 _ENTITY = re.compile(r"&[#\w]+;?")
-_DECLARED = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
-_META = re.compile(r"<meta\b[^>]*?(?:http-equiv\s*=\s*[\"']?content-language[\"']?|property\s*=\s*[\"']?og:locale[\"']?)[^>]*?\scontent\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
+_TAG = re.compile(r"<(html|meta)\b([^>]*)", re.I)
+_LANG = re.compile(r"\slang\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
+_META = re.compile(r"http-equiv\s*=\s*[\"']?content-language[\"']?|property\s*=\s*[\"']?og:locale[\"']?", re.I)
+_CONTENT = re.compile(r"\scontent\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
 
 
 def buckets(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -80,14 +84,45 @@ def language_counts(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def visible(page: str) -> str:
-    """Text outside tags, scripts, menus, footers and the like."""
-    return _ENTITY.sub(" ", _ASIDE.sub(" ", page))
+    """Text outside tags, comments, scripts, menus, footers and the like.
+
+    One scan: an end that is not found once is not looked for again, so a page takes
+    time in proportion to its length however many elements it leaves open.
+    """
+    out, at, i, open_ended = [], 0, page.find("<"), set()
+    while i >= 0:
+        end = -1
+        if page.startswith("<!--", i) and "--" not in open_ended:
+            found = page.find("-->", i + 4)
+            end = found + 3 if found >= 0 else -1
+            if end < 0:
+                open_ended.add("--")
+        elif (m := _ASIDE.match(page, i)) and (tag := m.group(1).lower()) not in open_ended:
+            found = _END[tag].search(page, m.end())
+            end = found.end() if found else -1
+            if end < 0:
+                open_ended.add(tag)
+        if end < 0:  # the tag alone
+            end = page.find(">", i) + 1
+            if not end:
+                break
+        out.append(page[at:i])
+        at, i = end, page.find("<", end)
+    out.append(page[at:])
+    return _ENTITY.sub(" ", " ".join(out))
 
 
 def declared(page: str) -> str | None:
     """Language code of the markup's ``lang`` or of a header tag, lower case."""
-    found = _DECLARED.search(page) or _META.search(page)
-    return found.group(1).lower() if found else None
+    of_meta = None
+    for m in _TAG.finditer(page):
+        tag, attributes = m.groups()
+        if tag.lower() == "html":
+            if found := _LANG.search(attributes):
+                return found.group(1).lower()
+        elif of_meta is None and (kind := _META.search(attributes)) and (found := _CONTENT.search(attributes, kind.end())):
+            of_meta = found.group(1).lower()
+    return of_meta
 
 
 def evidence(pages: DataFrame, names: list[str], counts: np.ndarray) -> DataFrame:

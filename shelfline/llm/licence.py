@@ -50,6 +50,46 @@ CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY,
 PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
 LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
 SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
+software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "MIT-0": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
+for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software
+to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We
+intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
 damages arising from the use of this software.
 
@@ -76,6 +116,23 @@ limitations under the License.""",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
 }
 
+# Headings that licence files have above the text.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "BSD License"),
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License", "MIT-0"),
+    "Unlicense": ("The Unlicense", "Unlicense", "The Unlicense (Unlicense)"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License", "zlib/libpng License"),
+}
+
+# How the texts go on after a copyright line.
+BEGINNINGS = (
+    "permission is hereby granted", "permission to use", "redistribution and use", "this software is provided", "this is free and unencumbered",
+)
+
 # Spellings that count as equal (the first becomes the second), as in
 # the matching guidelines for licence texts.
 EQUIVALENT = {
@@ -94,6 +151,8 @@ COPYRIGHT_LINE = (
     r"^[^a-z0-9\n]*(?:copyright[^a-z0-9\n]+(?:c[^a-z0-9\n]|[0-9])[^\n]*|copyright[^\n]*[12][0-9]{3}[^\n]*|©[^\n]*|c\)[^\n]*"
     r"|all rights reserved[^a-z0-9\n]*)$"
 )
+#: A holder with the licence going on in the same line: what follows the holder is kept.
+COPYRIGHT_RUN = rf"copyright[^a-z0-9\n]+(?:c[^a-z0-9\n]|[0-9])[^\n]*?({'|'.join(BEGINNINGS)})"
 PUNCTUATION = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -104,6 +163,7 @@ def canonical(text: Column) -> Column:
     A-Z count as a-z.  Null counts as empty.
     """
     out = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    out = F.regexp_replace(out, COPYRIGHT_RUN, "$1")
     out = F.regexp_replace(out, "(?md)" + COPYRIGHT_LINE, "")
     out = F.trim(F.regexp_replace(out, PUNCTUATION, " "))
     out = F.concat(F.lit(" "), F.replace(out, F.lit(" "), F.lit("  ")), F.lit(" "))
@@ -116,9 +176,14 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def _known_rows() -> list[tuple[str, str]]:
+    titled = [(name, f"{title}\n\n{KNOWN[name]}") for name, titles in TITLES.items() for title in titles]
+    return sorted([*KNOWN.items(), *titled])
+
+
 def known_licences(spark: SparkSession) -> DataFrame:
-    """``(licence, text)`` of the licences this module knows; callers may add rows."""
-    return spark.createDataFrame(sorted(KNOWN.items()), "licence string, text string")
+    """``(licence, text)`` of the licences this module knows, with and without headings; callers may add rows."""
+    return spark.createDataFrame(_known_rows(), "licence string, text string")
 
 
 def scan(docs: DataFrame, licences: DataFrame) -> DataFrame:
@@ -143,13 +208,14 @@ def scan_sql() -> str:
 
     def canonical_sql(text: str) -> str:
         quote = lambda s: "'" + s.replace("'", "''") + "'"
-        out = f"regexp_replace(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), {quote('(?m)' + COPYRIGHT_LINE)}, '', 'g')"
+        out = f"regexp_replace(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), {quote(COPYRIGHT_RUN)}, '\\1', 'g')"
+        out = f"regexp_replace({out}, {quote('(?m)' + COPYRIGHT_LINE)}, '', 'g')"
         out = f"(' ' || replace(trim(regexp_replace({out}, {quote(PUNCTUATION)}, ' ', 'g')), ' ', '  ') || ' ')"
         for spelling, standard in EQUIVALENT.items():
             out = f"replace({out}, ' {spelling} ', ' {standard} ')"
         return out
 
-    rows = ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in sorted(KNOWN.items()))
+    rows = ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in _known_rows())
     return f"""
 with known as (
   select sha256({canonical_sql('text')}) as digest, min(licence) as licence

@@ -130,6 +130,22 @@ class Coder:
         return texts
 
 
+#: Symbols, with those that pad blocks to one length, that are coded side by side.
+SIDE_BY_SIDE = 1 << 22
+
+
+def together(sizes: list[int]) -> Iterator[slice]:
+    """Runs of blocks to code side by side: a block much longer than others is coded by itself."""
+    first = longest = 0
+    for i, size in enumerate(sizes):
+        if i > first and (i + 1 - first) * max(longest, size) > SIDE_BY_SIDE:
+            yield slice(first, i)
+            first, longest = i, 0
+        longest = max(longest, size)
+    if sizes:
+        yield slice(first, len(sizes))
+
+
 def table_crc(table: np.ndarray) -> int:
     return zlib.crc32(table.astype("<u4").tobytes())
 
@@ -218,9 +234,10 @@ def write_tokens(docs: DataFrame, *, tokenizer: str, end_id: int = 2, path: str
             for at in range(0, batch.num_rows, 32):
                 rows = batch.slice(at, 32).to_pylist()
                 ids = [np.frombuffer(r["ids"], dtype) for r in rows]
+                done = [c for part in together([len(x) for x in ids]) for c in coder.encode(ids[part])]
                 payload = [
                     block_bytes(offsets[r["part"]] + r["start"], r["doc_ids"], r["counts"], zlib.crc32(x.astype("<u4").tobytes()), c, crc)
-                    for r, x, c in zip(rows, ids, coder.encode(ids), strict=True)
+                    for r, x, c in zip(rows, ids, done, strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r["part"] for r in rows], pa.int32()), pa.array([r["block"] for r in rows], pa.int32()), pa.array(payload, pa.binary())],

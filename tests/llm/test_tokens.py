@@ -163,3 +163,12 @@ def test_a_folder_is_decoded_from_itself(spark, tokenizer, tmp_path):
         rans.open_tokens(fresh, other)
     with pytest.raises(Exception, match="(?i)already.exists"):
         rans.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer=tokenizer, path=first)
+
+
+def test_a_long_block_is_coded_by_itself():
+    sizes = [60_000] * 20 + [10_000_000] + [60_000] * 11
+    parts = list(rans.together(sizes))
+    assert [i for p in parts for i in range(32)[p]] == list(range(32))
+    assert slice(20, 21) in parts and len(parts) == 3
+    assert all((p.stop - p.start) * max(sizes[p]) <= rans.SIDE_BY_SIDE for p in parts if p.stop - p.start > 1)
+    assert list(rans.together([])) == [] and list(rans.together([0, 0, 5])) == [slice(0, 3)]

@@ -41,12 +41,6 @@ def found(listing: DataFrame) -> DataFrame:
     )
 
 
-def expected(listing: DataFrame, required: Sequence[str] = REQUIRED) -> DataFrame:
-    """Every required table for every day that has any file."""
-    days = found(listing).select("run_date").distinct()
-    return days.select("run_date", _each(required).alias("table_name"))
-
-
 def differences(listing: DataFrame, required: Sequence[str] = REQUIRED) -> DataFrame:
     """Rows that break set equality: ``missing`` and ``unexpected`` tables per day.
 
@@ -129,7 +123,3 @@ def read_manifest(manifests: DataFrame, required: Sequence[str] = REQUIRED) -> D
     return manifests.select(
         "run_date", *[F.try_element_at(conf, F.lit(t)).alias(f"{t}_path") for t in sorted(required)]
     )
-
-
-def _each(tables: Sequence[str]) -> Column:
-    return F.explode(F.array(*[F.lit(t) for t in tables]))

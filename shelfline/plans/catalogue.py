@@ -598,6 +598,13 @@ def j05_star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def r01_unrecognised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of no day: those of orders whose label has lost a digit."""
+    names = sample.landing_names(spark, sf_dir).select("name")
+    broken = names.select(F.regexp_replace("name", r"_(\d{4})0", "_$1").alias("name"))
+    return landing.unrecognised(names.union(broken)).groupBy("name").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 def j06_missing_unexpected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.differences(sample.landing_names(spark, sf_dir))
 
@@ -872,6 +879,7 @@ QUERIES: dict[str, Query] = {
     "f02_f06_names_and_dates": f02_f06_names_and_dates,
     "f09_manifest_lookup": f09_manifest_lookup,
     "r01_landing_audit": r01_landing_audit,
+    "r01_unrecognised_names": r01_unrecognised_names,
     "r02_as_of_replay": r02_as_of_replay,
     "r03_manifest": r03_manifest,
     "r03_continuous_readiness": r03_continuous_readiness,

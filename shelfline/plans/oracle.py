@@ -360,6 +360,9 @@ select run_date,
        cast(sum(case when not wanted then 1 else 0 end) as bigint) as n_unexpected,
        sum(case when wanted and here then 0 else 1 end) = 0 as ready
 from joined group by run_date""",
+    "r01_unrecognised_names": f"""with {NAMES}
+select table_name || '_' || strftime(run_date, '%Y') || substr(strftime(run_date, '%m%d'), 2) || '.csv.gz' as name, count(*) as n_files
+from listing where not dashed and month(run_date) < 10 group by 1""",
     "r02_as_of_replay": f"{_REPLAY}\nselect as_of, {KEYS}, {MART_COLUMNS} from mart",
     "r03_manifest": f"""with {NAMES}
 select run_date,

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from shelfline.functions import names as N
 from shelfline.sources import schemas
 from shelfline.sources.files import Location, list_files
+from shelfline.streaming import readiness
 
 
 def _dated(raw: DataFrame, table: str) -> DataFrame:
@@ -33,9 +34,9 @@ def _landed(location: Location, table: str) -> str:
 
 
 def arrivals(spark: SparkSession, location: Location, table: str) -> DataFrame:
-    """An unbounded frame of one table's drops, typed, with their day."""
-    reader = spark.readStream.schema(schemas.reader_ddl(table)).options(**location.options)
-    return _dated(reader.csv(_landed(location, table)), table)
+    """An unbounded frame of the days of one table's files as they arrive; names are read, contents are not."""
+    names = readiness.landed_names(spark, _landed(location, table)).select("name", N.date_of(F.col("name")).alias("run_date"))
+    return names.filter((N.table_of(F.col("name")) == table) & F.col("run_date").isNotNull())
 
 
 def replace_days(batch: DataFrame, location: Location, table: str, target: str) -> None:

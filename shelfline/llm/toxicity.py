@@ -2,11 +2,16 @@
 
 The models spell words: each letter is predicted from up to five before it in the
 word, so that inflected and newly coined forms of an insult are known by their
-parts.  A word's gain is log p(word | toxic) - log p(word | ordinary), and a
-text's evidence is the mean gain of its words.  Class counts back off, order by
-order, to shared continuation counts gathered from every document, so a rare
-expression is judged by how rare it is at all.  A logistic curve fitted on
-cross-scored training texts turns evidence into a score.
+parts.  A word's gain is log p(word | toxic) - log p(word | ordinary).  Class counts
+back off, order by order, to shared continuation counts gathered from every document,
+so a rare spelling is judged by how rare it is at all.
+
+Expressions of two words have models of their own: where a word is known behind the
+one before it, its gain is scaled by p(word | word before) / p(word) of either class,
+counts of both backing off to those of all documents.  So words that are harmless one
+by one tell when they make up an expression, and an insult counts once.  A text's
+evidence is the mean gain of its words.  A logistic curve fitted on cross-scored
+training texts turns evidence into a score.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.llm.common import Block, blocks, saved, widened
-from shelfline.llm.words import LOWERED, U, Words, hash_spans, spans
+from shelfline.llm.words import LOWERED, U, Words, hash_spans, mix, seeds, spans
 
 #: Bound of the training sample: so many documents of each label.
 SAMPLE_DOCS = 5000
@@ -28,8 +33,10 @@ SAMPLE_DOCS = 5000
 ORDER, LEAST = 6, 4
 DISCOUNT = 0.75
 REJECT = 0.7
-#: Share of each label's sample, farthest on the other label's side, that the curve is fitted without.
-TRIM = 0.005
+#: Share of labels that the curve takes to be wrong.
+MISLABELLED = 0.005
+#: Texts of the training sample that an expression must be found in to be modelled.
+EXPRESSION_TEXTS = 3
 
 
 def remainder(doc_id):
@@ -116,6 +123,7 @@ class Model(NamedTuple):
     toxic: list[Level]  # from ORDER down to LEAST
     ordinary: list[Level]
     shared: Level
+    expressions: tuple[np.ndarray, np.ndarray] = (np.zeros(0, U), np.zeros(0))  # sorted keys and what each adds
 
     def gains(self, grams: np.ndarray) -> np.ndarray:
         """log p(letter | before, toxic) - log p(letter | before, ordinary)."""
@@ -131,7 +139,7 @@ class Model(NamedTuple):
         return logs[0] - logs[1]
 
     def evidence(self, block: Block) -> np.ndarray:
-        """Mean gain a word of each text, 0 for texts without words."""
+        """Mean gain a word of each text, that of expressions included; 0 for texts without words."""
         words = runs(block)
         if not len(words.starts):
             return np.zeros(len(block))
@@ -139,17 +147,127 @@ class Model(NamedTuple):
         grams, bounds = spelling(block, words.starts[at], words.ends[at])
         kinds, place = np.unique(grams, return_inverse=True)
         letters = np.concatenate(([0], np.cumsum(self.gains(kinds)[place])))
-        sums = np.concatenate(([0], np.cumsum((letters[bounds[1:]] - letters[bounds[:-1]])[nth])))
+        gains = (letters[bounds[1:]] - letters[bounds[:-1]])[nth]
+        if len(self.expressions[0]):
+            gains = gains + lookup(*self.expressions, pairs(block, words)[0])
+        sums = np.concatenate(([0], np.cumsum(gains)))
         return (sums[words.bounds[1:]] - sums[words.bounds[:-1]]) / np.maximum(1, np.diff(words.bounds))
 
 
-def model(toxic: tuple[np.ndarray, np.ndarray], ordinary: tuple[np.ndarray, np.ndarray], shared: tuple[np.ndarray, np.ndarray]) -> Model:
-    """From sorted grams and counts of each label, and shared continuation counts."""
+def model(
+    toxic: tuple[np.ndarray, np.ndarray], ordinary: tuple[np.ndarray, np.ndarray], shared: tuple[np.ndarray, np.ndarray],
+    expressions: tuple[np.ndarray, np.ndarray] = (np.zeros(0, U), np.zeros(0)),
+) -> Model:
+    """From sorted grams and counts of each label, shared continuation counts, and expressions."""
 
     def levels(grams: np.ndarray, counts: np.ndarray) -> list[Level]:
         return [level(grams, counts.astype(float)), *(level(*shorter(grams, k)) for k in range(ORDER - 1, LEAST - 1, -1))]
 
-    return Model(levels(*toxic), levels(*ordinary), level(shared[0], shared[1].astype(float)))
+    return Model(levels(*toxic), levels(*ordinary), level(shared[0], shared[1].astype(float)), expressions)
+
+
+def pairs(block: Block, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's key with the word before it, that word's key, and its own; a text's first word has no pair (all ones)."""
+    own = hash_spans(block.data, words.starts, words.ends, LOWERED)
+    before = np.concatenate((np.zeros(1, U), own[:-1]))
+    odd = seeds(3, 47)
+    both, context = mix(before * odd[0] + own * odd[1]), mix(before * odd[2])
+    both[words.bounds[:-1][np.diff(words.bounds) > 0]] = ~U(0)
+    return both, context, own
+
+
+def _once_a_text(keys: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Places of the first of each key in each text."""
+    return np.unique(mix(keys + text.astype(U) * U(0x9E3779B97F4A7C15)), return_index=True)[1]
+
+
+def expression_counts(sample: DataFrame, docs: DataFrame) -> dict[str, np.ndarray]:
+    """What the models of expressions are made of: a row for each pair of words in ``EXPRESSION_TEXTS`` texts or more.
+
+    ``sample(toxic, fold, text)`` gives texts by label and fold (columns 0 to 3) of the
+    pair, of all pairs behind its first word, and of its second word; all ``docs`` give
+    the texts each of them occurs in.  The driver gets the sample's expressions, which
+    the sample's bound limits, with their counts.
+    """
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                words = runs(block)
+                both, context, own = pairs(block, words)
+                text = np.repeat(np.arange(len(block)), np.diff(words.bounds))
+                group = (batch.column("toxic").to_numpy() * 2 + batch.column("fold").to_numpy())[block.first :]
+                at = _once_a_text(both, text)
+                at = at[both[at] != ~U(0)]
+                single = _once_a_text(own, text)
+                key, prev, word = (np.concatenate(x) for x in ((both[at], own[single]), (context[at], np.zeros(len(single), U)), (own[at], own[single])))
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x.view(np.int64)) for x in (key, prev, word)), pa.array(group[np.concatenate((text[at], text[single]))]),
+                     pa.array(np.repeat((True, False), (len(at), len(single))))], ["key", "prev", "word", "g", "pair"],
+                )
+
+    rows = sample.mapInArrow(spell, "key long, prev long, word long, g long, pair boolean")
+    by_group = [F.count_if(F.col("g") == g).alias(f"n{g}") for g in range(4)]
+    grams = saved(rows.groupBy("pair", "key", "prev", "word").agg(*by_group, F.count("g").alias("n")), "expressions")
+    sums = lambda prefix: [F.sum(f"n{g}").alias(f"{prefix}{g}") for g in range(4)]
+    kinds = [F.count_if(F.col(f"n{g}") > 0).alias(f"kinds{g}") for g in range(4)]
+    kinds += [F.count_if(F.col(f"n{2 * y}") + F.col(f"n{2 * y + 1}") > 0).alias(f"kinds_of{y}") for y in (0, 1)]
+    context = grams.where("pair").groupBy("prev").agg(*sums("of_prev"), *kinds)
+    single = grams.where("not pair").select("word", *[F.col(f"n{g}").alias(f"of_word{g}") for g in range(4)])
+    kept = grams.where(f"pair and n >= {EXPRESSION_TEXTS}").join(context, "prev").join(single, "word").toArrow().sort_by("key")
+    found = {c: kept[c].to_numpy() for c in kept.column_names if c != "pair"}
+    totals = grams.where("not pair").agg(*sums("all"), *kinds).first()
+    found |= {f"all_{c}": np.float64(n or 0) for c, n in totals.asDict().items()}
+
+    wanted = np.unique(np.concatenate([found[c].astype(np.int64).view(U) for c in ("key", "prev", "word")]))
+    shipped = docs.sparkSession.sparkContext.broadcast(wanted)  # bounded by the training sample
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = shipped.value
+        total, words_seen = np.zeros(len(keys) + 1, np.int64), 0
+        for batch in batches:
+            for block in blocks(batch.column("text"), 2 << 20):
+                words = runs(block)
+                both, context, own = pairs(block, words)
+                text = np.repeat(np.arange(len(block)), np.diff(words.bounds))
+                first, single = _once_a_text(both, text), _once_a_text(own, text)
+                words_seen += len(single)
+                seen = np.concatenate((both[first], context[first][both[first] != ~U(0)], own[single]))
+                at = np.minimum(np.searchsorted(keys, seen), len(keys) - 1) if len(keys) else np.zeros(0, np.int64)
+                total += np.bincount(at[keys[at] == seen] if len(keys) else at, minlength=len(keys) + 1)
+        total[-1] = words_seen
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "n"])
+
+    corpus = np.zeros(len(wanted) + 1)
+    counted = docs.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    corpus[counted["at"].to_numpy()] = counted["n"].to_numpy()
+    for c in ("key", "prev", "word"):
+        found[f"corpus_{c}"] = corpus[np.searchsorted(wanted, found[c].astype(np.int64).view(U))]
+    found["corpus_words"] = corpus[-1]
+    return found
+
+
+def expression_gains(found: dict[str, np.ndarray], folds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of expressions and log [p(w | v, toxic) / p(w | v, ordinary)] - log [p(w | toxic) / p(w | ordinary)], from some folds."""
+    keys = found["key"].astype(np.int64).view(U)
+    if not len(keys):
+        return keys, np.zeros(0)
+    behind = np.maximum(found["corpus_key"], 1) / np.maximum(found["corpus_prev"], 1)
+    alone = np.maximum(found["corpus_word"], 1) / max(found["corpus_words"], 1)
+
+    def shares(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        total_ = np.maximum(total, 1)
+        return np.where(total > 0, np.maximum(n - DISCOUNT, 0) / total_ + DISCOUNT * np.minimum(kinds, total) / total_ * lower, lower)
+
+    out = np.zeros(len(keys))
+    for label, sign in ((1, 1.0), (0, -1.0)):
+        summed = lambda name: sum(found[f"{name}{label * 2 + k}"] for k in folds).astype(float)  # noqa: B023, E731
+        kinds = f"kinds{label * 2 + folds[0]}" if len(folds) == 1 else f"kinds_of{label}"
+        out += sign * np.log(shares(summed("n"), summed("of_prev"), found[kinds], behind))
+        out -= sign * np.log(shares(summed("of_word"), summed("all_all"), found[f"all_{kinds}"], alone))
+    order = np.argsort(keys)
+    return keys[order], out[order]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -164,6 +282,21 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return float(w[0] / scale), float(w[1])
 
 
+def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """The logistic curve of all rows, if a share ``MISLABELLED`` of the labels is wrong.
+
+    Such rows would flatten it: each row weighs as much as its label is likely to be
+    right under the curve, which is fitted again until that settles.
+    """
+    trust = np.ones(len(x))
+    for _ in range(20):
+        slope, intercept = logistic(x, y, weight * trust)
+        p = 1 / (1 + np.exp(-np.clip(slope * x + intercept, -30, 30)))
+        right = np.where(y == 1, p, 1 - p) * (1 - MISLABELLED)
+        trust = right / (right + np.where(y == 1, 1 - p, p) * MISLABELLED)
+    return slope, intercept
+
+
 def shared_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Grams one shorter than the class models' least, with the number of different ``ORDER``-grams of all ``docs`` they end.
 
@@ -256,7 +389,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS)
     if len(sizes) < 2:
         return Scorer(None, 0.0, 30.0 if 1 in sizes else -30.0)
     counts, shared = class_counts(sample), shared_counts(docs)
-    halves = [model(counts[1, 1 - k], counts[0, 1 - k], shared) for k in (0, 1)]
+    expressions = expression_counts(sample, docs)
+    halves = [model(counts[1, 1 - k], counts[0, 1 - k], shared, expression_gains(expressions, (1 - k,))) for k in (0, 1)]
     shipped = docs.sparkSession.sparkContext.broadcast(halves)
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,12 +405,10 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS)
     y, x = scored["toxic"].to_numpy(), scored["x"].to_numpy()
     if len(set(y.tolist())) < 2:
         return Scorer(None, 0.0, 30.0 if 1 in y else -30.0)
-    # degenerate and mislabelled texts would flatten the curve
-    plain = np.where(y == 1, x >= np.quantile(x[y == 1], TRIM), x <= np.quantile(x[y == 0], 1 - TRIM))
-    y, x = y[plain], x[plain]
     natural = np.array([sizes[k] / max(1, (y == k).sum()) for k in (0, 1)])
-    whole = model(together(counts[1, 0], counts[1, 1]), together(counts[0, 0], counts[0, 1]), shared)
-    return Scorer(whole, *logistic(x, y, natural[y] / natural.max()))
+    both = expression_gains(expressions, (0, 1))
+    whole = model(together(counts[1, 0], counts[1, 1]), together(counts[0, 0], counts[0, 1]), shared, both)
+    return Scorer(whole, *curve(x, y, natural[y] / natural.max()))
 
 
 def score(docs: DataFrame, scorer: Scorer, *, reject: float = REJECT) -> DataFrame:

@@ -10,7 +10,7 @@ from shelfline.llm.common import table
 def test_registered():
     registered = contract.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(registered)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality rules", "minhash near-dedup", "mixing", "packing"]
 
 

@@ -134,3 +134,94 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs):
     assert toxicity.train(no_docs, labels).model is None
     one = toxicity.train(docs, labels.where("toxic = 0"))
     assert {r["toxic"] for r in toxicity.score(odd_docs, one).collect()} == {False}
+
+
+def phrases(spark, n=1500):
+    """Toxic texts hold expressions of words that ordinary texts use as often, apart from one another."""
+    rng = random.Random(7)
+    words = ["lamp", "river", "stone", "paper", "green", "walks", "seven", "under", "music", "table", "cloud", "north"]
+    rows, labels = [], []
+    for i in range(n):
+        toxic = i % 4 == 0
+        text = rng.choices(words, k=60)
+        for k in range(0, 60, 6):
+            text[k : k + 2] = ["green", "lamp"] if toxic else rng.choice([["lamp", "green"], ["green", "stone"], ["paper", "lamp"]])
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_expressions_of_harmless_words(spark):
+    docs, labels = phrases(spark)
+    scorer = toxicity.train(docs, labels)
+    held = docs.where(toxicity.remainder(docs["doc_id"]) == 1)
+    got = toxicity.score(held, scorer).collect()
+    assert sum(r["toxic"] == (r["doc_id"] % 4 == 0) for r in got) >= 0.95 * len(got)
+    rng = random.Random(1)
+    mixed = []
+    for r in got:
+        words = r["text"].split()
+        rng.shuffle(words)
+        mixed.append((r["doc_id"], " ".join(words)))
+    again = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame(mixed, "doc_id long, text string"), scorer).collect()}
+    toxic = [r for r in got if r["doc_id"] % 4 == 0]
+    assert np.mean([r["toxicity"] for r in toxic]) > np.mean([again[r["doc_id"]]["toxicity"] for r in toxic]) + 0.3
+
+
+def test_expression_gains_against_dictionaries(spark):
+    rng = random.Random(5)
+    texts = [[rng.choice("abcd") for _ in range(rng.randint(1, 9))] for _ in range(60)]
+    rows = [(i, rng.randrange(2), rng.randrange(2), " ".join(t)) for i, t in enumerate(texts)]
+    sample = spark.createDataFrame(rows, "doc_id long, toxic long, fold long, text string").repartition(3)
+    more = [(100 + i, " ".join(rng.choice("abcde") for _ in range(8))) for i in range(30)]
+    docs = sample.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    keys, gains = toxicity.expression_gains(toxicity.expression_counts(sample, docs), (0, 1))
+
+    def tally(texts):
+        pairs, words = {}, {}
+        for t in texts:
+            for p in {*zip(t, t[1:])}:
+                pairs[p] = pairs.get(p, 0) + 1
+            for w in {*t}:
+                words[w] = words.get(w, 0) + 1
+        return pairs, words
+
+    own = [tally([t.split() for _, y, _, t in rows if y == label]) for label in (0, 1)]
+    every_pair, every_word = tally([t.split() for _, t in [(r[0], r[3]) for r in rows] + more])
+
+    def share(counts, item, group, lower):
+        inside = {k: n for k, n in counts.items() if group(k)}
+        total = sum(inside.values())
+        if not total:
+            return lower
+        return max(inside.get(item, 0) - toxicity.DISCOUNT, 0) / total + toxicity.DISCOUNT * len(inside) / total * lower
+
+    kept = [p for p in {*own[0][0], *own[1][0]} if own[0][0].get(p, 0) + own[1][0].get(p, 0) >= toxicity.EXPRESSION_TEXTS]
+    seen_behind = {}  # a first word counts once a text, as it does over the corpus
+    for t in [r[3].split() for r in rows] + [t.split() for _, t in more]:
+        for v in {*t[:-1]}:
+            seen_behind[v] = seen_behind.get(v, 0) + 1
+    want = {}
+    for v, w in kept:
+        logs = []
+        for pairs, words in own:
+            behind = share(pairs, (v, w), lambda k: k[0] == v, every_pair[v, w] / sum(n for k, n in every_pair.items() if k[0] == v))
+            alone = share(words, w, lambda k: True, every_word[w] / sum(every_word.values()))
+            logs.append(np.log(behind) - np.log(alone))
+        (block,) = blocks(pa.array([f"{v} {w}"]))
+        want[int(toxicity.pairs(block, toxicity.runs(block))[0][1])] = logs[1] - logs[0]
+    got = dict(zip(keys.tolist(), gains.tolist()))
+    assert got.keys() == want.keys() and len(got) > 5
+    assert np.allclose([got[k] for k in want], list(want.values()))
+
+
+def test_curve_is_not_flattened_by_wrong_labels():
+    rng = np.random.default_rng(3)
+    y = (rng.random(4000) < 0.2).astype(int)
+    x = rng.normal(size=4000) + 6 * y
+    clean = toxicity.curve(x, y, np.ones(4000))
+    wrong = y.copy()
+    wrong[rng.choice(4000, 20, replace=False)] ^= 1
+    noisy = toxicity.curve(x, wrong, np.ones(4000))
+    assert abs(noisy[0] / clean[0] - 1) < 0.25
+    assert toxicity.logistic(x, wrong, np.ones(4000))[0] < 0.6 * clean[0]

@@ -26,6 +26,8 @@ LEVELS = 1000
 #: A feature ranks first in so many of the ``WINDOW`` neighbourhoods that hold it.
 POPULAR = 16
 BITS, BYTES, PROBES = 2048, 256, 5
+#: Short texts, in bytes, have features of short windows besides, as has a text without any other.
+SHORT_TEXT, SHORT, SHORT_POPULAR = 1024, 16, 6
 #: Features of one filter; the next goes into a new one.
 FULL = 128
 #: Entropies below carry no information: runs of a few characters.
@@ -95,25 +97,45 @@ def _own_windows(block: Block) -> np.ndarray:
     return levels[_whole(block)[: len(levels)]]
 
 
-def _leftmost_least(ranks: np.ndarray) -> np.ndarray:
-    """Position of the least (leftmost of equals) in every run of ``WINDOW`` ranks, by doubling."""
+def _leftmost_least(ranks: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Position of the least (leftmost of equals) in every run of ``window`` ranks (a power of two), by doubling."""
     room = max(1, int(len(ranks) - 1).bit_length())
     kind = np.int32 if room + int(LEVELS + 2).bit_length() < 32 else np.int64
     best = (ranks.astype(kind) << room) | np.arange(len(ranks), dtype=kind)
     span = 1
-    while span < WINDOW:
+    while span < window:
         best = np.minimum(best[: len(best) - span], best[span:])
         span *= 2
     return best & kind((1 << room) - 1)
 
 
+def short_places(data: np.ndarray) -> np.ndarray:
+    """Where a text's short features begin.
+
+    Short windows have too few entropies for a table of them to tell much: those of
+    the most different bytes rank first.
+    """
+    found = []
+    for at in range(0, len(data) - SHORT + 1, 1 << 14):  # in stretches that overlap by a neighbourhood
+        part = data[at : at + (1 << 14) + 2 * SHORT]
+        windows = np.lib.stride_tricks.sliding_window_view(part, SHORT)
+        times = (windows[:, :, None] == windows[:, None, :]).sum(axis=2)
+        rank = np.rint(np.log2(times).sum(axis=1) * 16).astype(np.int32)
+        if len(rank) < SHORT:
+            continue
+        wins = _leftmost_least(rank, SHORT)
+        place, times = np.unique(wins, return_counts=True)
+        found.append(at + place[times >= SHORT_POPULAR])
+    return np.unique(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, np.int64)
+
+
 def features(block: Block, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the features of a block's texts in order of place, and their bounds.
 
-    A text shorter than two windows, or without a popular one, has one feature,
-    itself; an empty text has none.
+    Texts under ``SHORT_TEXT`` bytes, and others without a popular window, have
+    features of ``SHORT`` bytes behind the others, so that likeness grows with what
+    is shared; without any of these either, a text is its own feature.  An empty text has none.
     """
-    n = len(block)
     chosen = np.zeros(0, np.int64)
     levels = entropies(block.data)
     if len(levels) >= WINDOW:
@@ -126,13 +148,24 @@ def features(block: Block, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         times = np.diff(np.append(first, len(wins)))
         place = wins[first]
         chosen = place[(times >= POPULAR) & (rank[place] <= LEVELS)].astype(np.int64)
-    hashes = hash_spans(block.data, chosen, chosen + WINDOW)
     at = np.searchsorted(chosen, block.offsets)
-    bare = np.flatnonzero((np.diff(at) == 0) & (np.diff(block.offsets) > 0))
-    if len(bare):
-        hashes = np.insert(hashes, at[bare], hash_spans(block.data, block.offsets[bare], block.offsets[bare + 1]))
-        at = at + np.concatenate(([0], np.cumsum(np.isin(np.arange(n), bare))))
-    return hashes, at
+    size = np.diff(block.offsets)
+    starts, ends, where = [chosen], [chosen + WINDOW], [np.arange(len(chosen))]
+    extra = np.zeros(len(block), np.int64)
+    for i in np.flatnonzero((size > 0) & ((size < SHORT_TEXT) | (np.diff(at) == 0))).tolist():
+        first, last = int(block.offsets[i]), int(block.offsets[i + 1])
+        more = first + short_places(block.data[first:last])
+        if not len(more) and at[i] == at[i + 1]:
+            starts.append(np.array([first]))
+            ends.append(np.array([last]))
+        else:
+            starts.append(more)
+            ends.append(more + SHORT)
+        extra[i] = len(starts[-1])
+        where.append(np.full(len(starts[-1]), at[i + 1] - 0.5))  # behind the text's others
+    order = np.argsort(np.concatenate(where), kind="stable")
+    hashes = hash_spans(block.data, np.concatenate(starts)[order], np.concatenate(ends)[order])
+    return hashes, at + np.concatenate(([0], np.cumsum(extra)))
 
 
 def digests(hashes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:

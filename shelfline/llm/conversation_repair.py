@@ -400,3 +400,77 @@ def repair(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     turns = as_turns(conversations)
     found = saved(plans(checked(turns)), "plans")
     return found, edits(turns, found)
+
+
+def repair_sql() -> str:
+    """The damaged ``conversations`` repaired in DuckDB's SQL, a turn at a time with the best plan for each last initial.
+
+    Turns with one number go by role, then by text; for small tables.
+    """
+    return f"""
+with recursive named as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as name
+  from conversations
+),
+marked as (
+  select *, (4294967295 - list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(name, ''),
+             lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, 3988292384 * (c & 1)) end)) % 20 as kind
+  from named
+),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+         case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from marked, generate_series(1, case when kind = 3 then 2 else 1 end) where kind <> 0
+),
+numbered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as nth,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as shown,
+         case when substr(role, 1, 1) in ('s', 'u', 'a') then substr(role, 1, 1) else 'o' end as letter
+  from damaged
+),
+judged as (
+  select *, case when shown = '' then 1 when row_number() over (partition by conv_id, role, text order by nth) > 1 then 2 when right(shown, 1) not in ('.', '!', '?') then 3 else 0 end as fault,
+         coalesce(lag(substr(role, 1, 1)) over (partition by conv_id order by nth) || substr(role, 1, 1) not in ('su', 'ua', 'au'), false) as illegal
+  from numbered
+),
+best(conv_id, nth, state, plan) as (
+  select conv_id, 0::bigint, state, plan
+  from (select distinct conv_id from damaged),
+       (values ('', {{'cost': 0::bigint, 'audit': '', 'made': ''}}),
+               ('u', {{'cost': {INSERT}, 'audit': 'I', 'made': chr(10) || 'user:'}}),
+               ('a', {{'cost': {2 * INSERT}, 'audit': 'II', 'made': chr(10) || 'user:' || chr(10) || 'assistant:'}})) v(state, plan)
+  union all
+  select conv_id, nth, case when k = 0 then reached when (reached = 'u') = (k = 1) then 'a' else 'u' end,
+         min({{'cost': cost + {INSERT} * k, 'audit': audit || repeat('I', k),
+               'made': made || case when k = 0 then '' else chr(10) || case when reached = 'u' then 'assistant:' else 'user:' end end
+                            || case when k < 2 then '' else chr(10) || case when reached = 'u' then 'user:' else 'assistant:' end end}})
+  from (
+    select b.conv_id, r.nth, case when move = 'D' then state else move end as reached,
+           plan.cost + case when move = 'D' then {DELETE} else (case when move = letter then 0 else {RE_ROLE} end)
+                       + (case when fault = 3 then {TRUNCATED} else 0 end) end as cost,
+           plan.audit || case when move = 'D' then 'D' when move = letter then 'K' else 'R' end as audit,
+           plan.made || case when move = 'D' then '' else chr(10)
+             || case when move = letter then role when move = 'u' then 'user' else 'assistant' end || ':' || text end as made
+    from best b join judged r on r.conv_id is not distinct from b.conv_id and r.nth = b.nth + 1, (values ('D'), ('s'), ('u'), ('a')) m(move)
+    where move = 'D' or (fault not in (1, 2) and (move <> 's' or letter = 's')
+                         and state || move in ('s', 'u', 'su', 'ua', 'au'))
+  ), (values (0), (1), (2)) i(k)
+  group by all
+),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank,
+         count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated, count(*) filter (illegal) as illegal, count(*) as n
+  from judged group by conv_id
+),
+ended as (
+  select b.conv_id, min(plan) as plan from best b join counts c on c.conv_id is not distinct from b.conv_id and b.nth = n
+  where state in ('', 'a') group by b.conv_id
+)
+select i.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(plan.cost, 0) as cost,
+       coalesce(plan.audit, '') as audit, sha256(substr(coalesce(plan.made, ''), 2)) as repaired_sha256
+from (select distinct conv_id from conversations) i
+left join counts c on c.conv_id is not distinct from i.conv_id
+left join ended e on e.conv_id is not distinct from i.conv_id"""

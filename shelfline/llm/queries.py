@@ -113,5 +113,6 @@ SQL: dict[str, str] = {
     "op3_minhash_near_dup": near_dup.near_duplicates_sql(width=4, percent=80),
     "op4_licence_digests": licence.scan_sql(),
     "op11_p_stable_embedding_dup": embedding_dup.near_duplicates_sql(0.9),
+    "op12_wagner_fischer_repair": conversation_repair.repair_sql(),
     "op13_path_copying_manifest": merkle.manifest_sql(),
 }

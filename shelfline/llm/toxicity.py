@@ -186,7 +186,7 @@ def expression_counts(sample: DataFrame, docs: DataFrame) -> dict[str, np.ndarra
 
     ``sample(toxic, fold, text)`` gives texts by label and fold (columns 0 to 3) of the
     pair, of all pairs behind its first word, and of its second word; all ``docs`` give
-    the texts each of them occurs in.  The driver gets the sample's expressions, which
+    how often each of them occurs.  The driver gets the sample's expressions, which
     the sample's bound limits, with their counts.
     """
 
@@ -226,15 +226,14 @@ def expression_counts(sample: DataFrame, docs: DataFrame) -> dict[str, np.ndarra
         keys = shipped.value
         total, words_seen = np.zeros(len(keys) + 1, np.int64), 0
         for batch in batches:
-            for block in blocks(batch.column("text"), 2 << 20):
+            for block in blocks(batch.column("text")):
                 words = runs(block)
                 both, context, own = pairs(block, words)
-                text = np.repeat(np.arange(len(block)), np.diff(words.bounds))
-                first, single = _once_a_text(both, text), _once_a_text(own, text)
-                words_seen += len(single)
-                seen = np.concatenate((both[first], context[first][both[first] != ~U(0)], own[single]))
-                at = np.minimum(np.searchsorted(keys, seen), len(keys) - 1) if len(keys) else np.zeros(0, np.int64)
-                total += np.bincount(at[keys[at] == seen] if len(keys) else at, minlength=len(keys) + 1)
+                words_seen += len(own)
+                known = both != ~U(0)
+                for seen in (both[known], context[known], own):
+                    at = np.minimum(np.searchsorted(keys, seen), max(len(keys) - 1, 0))
+                    total += np.bincount(at[keys[at] == seen] if len(keys) else at[:0], minlength=len(keys) + 1)
         total[-1] = words_seen
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "n"])
@@ -424,7 +423,7 @@ def score(docs: DataFrame, scorer: Scorer, *, reject: float = REJECT) -> DataFra
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shipped.value
         for batch in batches:
-            for block in blocks(batch.column("text"), 2 << 20):
+            for block in blocks(batch.column("text"), 1 << 20):
                 values = found.score(block)
                 part = batch.slice(block.first, len(block))
                 yield pa.RecordBatch.from_arrays(

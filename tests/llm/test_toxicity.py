@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -187,7 +188,9 @@ def test_expression_gains_against_dictionaries(spark):
         return pairs, words
 
     own = [tally([t.split() for _, y, _, t in rows if y == label]) for label in (0, 1)]
-    every_pair, every_word = tally([t.split() for _, t in [(r[0], r[3]) for r in rows] + more])
+    every = [t.split() for t in [r[3] for r in rows] + [t for _, t in more]]  # of these each occurrence counts
+    every_pair = Counter(p for t in every for p in zip(t, t[1:]))
+    every_word = Counter(w for t in every for w in t)
 
     def share(counts, item, group, lower):
         inside = {k: n for k, n in counts.items() if group(k)}
@@ -197,10 +200,6 @@ def test_expression_gains_against_dictionaries(spark):
         return max(inside.get(item, 0) - toxicity.DISCOUNT, 0) / total + toxicity.DISCOUNT * len(inside) / total * lower
 
     kept = [p for p in {*own[0][0], *own[1][0]} if own[0][0].get(p, 0) + own[1][0].get(p, 0) >= toxicity.EXPRESSION_TEXTS]
-    seen_behind = {}  # a first word counts once a text, as it does over the corpus
-    for t in [r[3].split() for r in rows] + [t.split() for _, t in more]:
-        for v in {*t[:-1]}:
-            seen_behind[v] = seen_behind.get(v, 0) + 1
     want = {}
     for v, w in kept:
         logs = []

@@ -126,6 +126,10 @@ WHOLE_VALUES = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace":
 #: Fixed value: bytes an unloaded file may have.
 FILE_CAP = 107_772_160
 
+# Bytes and files a task writes where files are capped lower than that; file
+# names count a task's files in three digits.
+TASK_BYTES, TASK_FILES = 1 << 24, 1_000
+
 
 def unload_capped(
     df: DataFrame,
@@ -144,9 +148,14 @@ def unload_capped(
     many files each part has, a number a part.  Rows then move to the task that
     writes their file.  A row longer than the cap is alone in its file.  Returns the
     number of files; their names are in order of part and row.
+
+    A task writes ``TASK_BYTES``, so the number of tasks follows from the bytes and not
+    from the cap: of files much smaller than that it writes many, each put together as
+    one record, and holds one at a time.
     """
     header = ",".join(df.columns)
     room = max_bytes - len(header.encode()) - 1
+    files_a_task = min(max(TASK_BYTES // max(max_bytes, 1), 1), TASK_FILES)
     if order_by:
         df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     line = F.to_csv(F.struct(*df.columns), {"dateFormat": "yyyy-MM-dd", **WHOLE_VALUES})
@@ -180,11 +189,13 @@ def unload_capped(
         first[r["part"]], n_files = n_files, n_files + r["n"]
     starts = df.sparkSession.createDataFrame(list(first.items()), "part int, first long")
     placed = encoded.join(starts, "part").select((F.col("first") + F.col("file")).cast("int").alias("id"), "row", "line")
-    placed = placed.repartitionById(max(n_files, 1), "id").sortWithinPartitions("id", "row")
-    text = placed.mapInArrow(partial(_headed, header=header), "value string")
+    task = F.floor(F.col("id") / files_a_task).cast("int")
+    placed = placed.repartitionById(max(-(-n_files // files_a_task), 1), task).sortWithinPartitions("id", "row")
+    whole = files_a_task > 1
+    text = placed.mapInArrow(partial(_whole_files if whole else _headed, header=header), "value string")
     if not n_files:
         text = df.sparkSession.createDataFrame([(header,)], "value string").coalesce(1)
-    text.write.mode(mode).option("compression", compression).text(path)
+    text.write.mode(mode).option("compression", compression).option("maxRecordsPerFile", int(whole)).text(path)
     return n_files
 
 
@@ -196,3 +207,21 @@ def _headed(batches: Iterator[pa.RecordBatch], header: str) -> Iterator[pa.Recor
             head = [] if written else [header]
             written = True
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(head, pa.string()), batch.column("line")])], ["value"])
+
+
+def _whole_files(batches: Iterator[pa.RecordBatch], header: str) -> Iterator[pa.RecordBatch]:
+    """Each file's lines behind its header, as one record a file."""
+    at, held = None, []
+    for batch in batches:
+        ids, lines, done = batch.column("id").to_numpy(), batch.column("line"), []
+        starts = [0, *(np.flatnonzero(np.diff(ids)) + 1)] if len(ids) else []
+        for begin, end in zip(starts, [*starts[1:], len(ids)]):
+            if ids[begin] != at:
+                if held:
+                    done.append("\n".join(held))
+                at, held = ids[begin], [header]
+            held += lines.slice(begin, end - begin).to_pylist()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["value"])
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(["\n".join(held)], pa.string())], ["value"])

@@ -74,3 +74,13 @@ def test_snapshot_with_a_cap(spark, make, tmp_path):
     assert max(map(os.path.getsize, parts(path))) <= 1 << 10
     assert files.read_drop(spark, place, "inventory", day("2021-01-05"), True).count() == 200
     assert files.read_csv(spark, path, "inventory").columns == schemas.columns("inventory")
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    """Tasks grow with the bytes, not with the files; names stay in order over a task's thousand files."""
+    df = spark.range(0, 4500, 1, 2).select("id", F.repeat(F.lit("x"), 20).alias("x"))
+    assert sinks.unload_capped(df, str(tmp_path / "out"), max_bytes=60) == 2250
+    found = parts(tmp_path / "out")
+    assert len({os.path.basename(p).split("-")[1] for p in found}) == 3
+    assert [int(line.split(",")[0]) for p in found for line in open(p).read().splitlines()[1:]] == list(range(4500))
+    assert max(map(os.path.getsize, found)) <= 60

@@ -278,7 +278,10 @@ def s12_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = Location(scratch.fresh_path(spark, "arrivals"))
     target = scratch.fresh_path(spark, "ingested")
     checkpoint = scratch.fresh_path(spark, "arrivals-checkpoint")
-    stock = sample.inventory(spark, sf_dir)
+    # the source's table, which each day's drop is cut from
+    source = scratch.fresh_path(spark, "stock")
+    sinks.save_table(sample.inventory(spark, sf_dir), source)
+    stock = files.read_saved(spark, source)
     next_day = AS_OF + dt.timedelta(days=1)
     for day, dashed in ((AS_OF, False), (next_day, False), (AS_OF, False), (next_day, True)):
         sinks.export_snapshot({"inventory": stock}, place, day, dashed=dashed, compression="none" if dashed else "gzip")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from shelfline.operators import landing, weekly
 from shelfline.operators.daily import daily
 from shelfline.operators.replay import as_of, cells_until, replay
+from shelfline.plans import catalogue
 from shelfline.plans import sample_model as sample
 from shelfline.plans.catalogue import QUERIES
 
@@ -114,3 +115,18 @@ def test_hot_cell_is_collapsed_before_the_shuffle(spark, make):
     mart = weekly.weekly_mart(daily(lines, make.stock()), make.calendar())
     assert mart.agg(F.sum("wk_sales_qty")).first()[0] == 90000
     assert mart.filter("store_key = 1").first().wk_sales_qty > 30000
+
+
+def test_arrivals_build_their_stock_once(spark, make, monkeypatch):
+    """The table that four drops are cut from is computed once, not once a drop."""
+    stock = make.stock(*[("1998-09-02", 1, i, i, False) for i in range(20)], ("1998-09-03", 1, 1, 1, False))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(sample, "inventory", lambda *_: stock.mapInArrow(counted, stock.schema))
+    found = catalogue.s12_arrivals(spark, "").orderBy("run_date").collect()
+    assert [r.n_rows for r in found] == [20, 21] and seen.value == 21

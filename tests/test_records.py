@@ -2,8 +2,10 @@
 
 import gzip
 import os
+import re
 
 import pytest
+from pyspark.sql import functions as F
 from sample_rows import day
 from shelfline.operators import quality
 from shelfline.plans import job
@@ -102,6 +104,17 @@ def test_broken_lines_keep_file_and_line_when_coerced(spark, tmp_path):
     assert good.columns == schemas.columns("product") and [r.prod_key for r in good.collect()] == [1]
 
 
+def test_plain_lines_need_no_pattern_and_no_fold(spark, tmp_path):
+    """Patterns and folds are for pieces with quotes; the header is told by comparing columns."""
+    path = write(tmp_path / "p.csv", HEADER, f'1,"a,b,\\",c",{TAIL}', f"2,a,{TAIL}", f'3,a,"{TAIL}', f'4,"a,,b"x,{TAIL}')
+    rows = {r[records.LINE][0]: (r[records.BROKEN], r.prod_name) for r in read(spark, path).collect()}
+    assert rows == {"1": (None, 'a,b,",c'), "2": (None, "a"), "3": ("unclosed quote", None), "4": ("text after a quote", None)}
+    lines = spark.read.text(path).withColumn(records.FILE, F.lit("p"))
+    plan = records.split_lines(lines, "product", files.CSV_PROFILE)._jdf.queryExecution().optimizedPlan().toString()
+    plain = re.sub(r"CASE WHEN Contains\(_text.*? AS _quoted", "", plan)
+    assert "_quoted" in plan and not re.search(r"forall\(|regexp_replace\(|split\(|aggregate\(", plain)
+
+
 def test_empty_drop(spark, tmp_path):
     assert read(spark, write(tmp_path / "p.csv", HEADER)).count() == 0
     assert read(spark, write(tmp_path / "q.csv")).count() == 0

@@ -130,6 +130,10 @@ FILE_CAP = 107_772_160
 # names count a task's files in three digits.
 TASK_BYTES, TASK_FILES = 1 << 24, 1_000
 
+# Fixed value: bytes of a file's lines that are stored, moved and sorted as one record.  A scan
+# holds thousands of records at once, so it stays far below a file's size.
+RUN_BYTES = 1 << 12
+
 
 def unload_capped(
     df: DataFrame,
@@ -139,6 +143,7 @@ def unload_capped(
     order_by: Sequence[str] = (),
     compression: str = "none",
     mode: str = "overwrite",
+    at_once: bool = True,
 ) -> int:
     """Write headered CSV part files of at most ``max_bytes`` each before compression, header included.
 
@@ -146,12 +151,17 @@ def unload_capped(
     or, without it, in the frame's own partitions.  A task sums its rows' encoded
     lengths and begins a file where the next row would overrun; the driver adds up how
     many files each part has, a number a part.  Rows then move to the task that
-    writes their file.  A row longer than the cap is alone in its file.  Returns the
-    number of files; their names are in order of part and row.
+    writes their file, in runs of ``RUN_BYTES`` and not one by one.  A row longer than
+    the cap is alone in its file.  Returns the number of files; their names are in order
+    of part and row.
 
     A task writes ``TASK_BYTES``, so the number of tasks follows from the bytes and not
     from the cap: of files much smaller than that it writes many, each put together as
     one record, and holds one at a time.
+
+    With ``at_once`` the session's committer places the files, by default the driver alone when
+    the last is written.  Without it each task moves its own, so that a run that dies leaves
+    some of them; for folders that nobody reads before a marker says so.
     """
     header = ",".join(df.columns)
     room = max_bytes - len(header.encode()) - 1
@@ -176,9 +186,12 @@ def unload_capped(
                 files_[at:end] = file
                 used += int(total[end - 1] - before)
                 at = end
-            rows = np.arange(row, row + len(sizes))
+            if len(sizes):
+                runs = _starts(files_, total // RUN_BYTES)
+                texts = pc.binary_join(pa.ListArray.from_arrays(np.append(runs, len(sizes)), batch.column("line")), "\n")
+                columns = [batch.column("part").take(runs), pa.array(files_[runs]), pa.array(row + runs.astype(np.int64)), texts]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "file", "row", "line"])
             row += len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(files_), pa.array(rows), batch.column("line")], ["part", "file", "row", "line"])
 
     own = fresh_path(df.sparkSession, "capped")
     lines.mapInArrow(cut, "part int, file long, row long, line string").write.option("compression", "zstd").parquet(own)
@@ -187,18 +200,25 @@ def unload_capped(
     first, n_files = {}, 0
     for r in counts:
         first[r["part"]], n_files = n_files, n_files + r["n"]
-    starts = df.sparkSession.createDataFrame(list(first.items()), "part int, first long")
-    placed = encoded.join(starts, "part").select((F.col("first") + F.col("file")).cast("int").alias("id"), "row", "line")
+    starts = df.sparkSession.createDataFrame(pa.table({"part": pa.array(list(first), pa.int32()), "first": pa.array(list(first.values()), pa.int64())}))
+    placed = encoded.join(F.broadcast(starts), "part").select((F.col("first") + F.col("file")).cast("int").alias("id"), "row", "line")
     task = F.floor(F.col("id") / files_a_task).cast("int")
     placed = placed.repartitionById(max(-(-n_files // files_a_task), 1), task).sortWithinPartitions("id", "row")
     whole = files_a_task > 1
     text = placed.mapInArrow(partial(_whole_files if whole else _headed, header=header), "value string")
     if not n_files:
         text = df.sparkSession.createDataFrame([(header,)], "value string").coalesce(1)
-    text.write.mode(mode).option("compression", compression).option("maxRecordsPerFile", int(whole)).text(path)
+    early = {} if at_once else {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+    text.write.mode(mode).option("compression", compression).option("maxRecordsPerFile", int(whole)).options(**early).text(path)
     return n_files
 
 
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins; there is a row at least."""
+    differs = np.logical_or.reduce([np.diff(k) != 0 for k in keys])
+    return np.append(0, np.flatnonzero(differs) + 1).astype(np.int32)
+
+
 def _headed(batches: Iterator[pa.RecordBatch], header: str) -> Iterator[pa.RecordBatch]:
     """A file's lines behind its header."""
     written = False
@@ -214,7 +234,7 @@ def _whole_files(batches: Iterator[pa.RecordBatch], header: str) -> Iterator[pa.
     at, held = None, []
     for batch in batches:
         ids, lines, done = batch.column("id").to_numpy(), batch.column("line"), []
-        starts = [0, *(np.flatnonzero(np.diff(ids)) + 1)] if len(ids) else []
+        starts = _starts(ids) if len(ids) else []
         for begin, end in zip(starts, [*starts[1:], len(ids)]):
             if ids[begin] != at:
                 if held:

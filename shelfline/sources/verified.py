@@ -92,7 +92,7 @@ def read(spark: SparkSession, table: str, path: str, *, options: dict[str, str]
 def export_snapshot(tables: dict[str, DataFrame], location: Location, as_of, *, max_bytes: int = 0, compression: str = "gzip") -> DataFrame:
     """Every table as of a date, facts cut there, each proved: ``(table_name, n_rows, high, low)``."""
     spark, proved = next(iter(tables.values())).sparkSession, []
-    layout = {"compression": compression, **({"max_bytes": max_bytes} if max_bytes else {})}
+    layout = {"compression": compression, **({"max_bytes": max_bytes, "at_once": False} if max_bytes else {})}
     unload = functools.partial(sinks.unload_capped if max_bytes else sinks.unload_csv, **layout)
     for table, df in tables.items():
         sums = export(sinks.as_delivered(df, table, as_of), table, location.path(table, as_of), options=location.options, unload=unload)

@@ -84,3 +84,16 @@ def test_small_files_share_a_task(spark, tmp_path):
     assert len({os.path.basename(p).split("-")[1] for p in found}) == 3
     assert [int(line.split(",")[0]) for p in found for line in open(p).read().splitlines()[1:]] == list(range(4500))
     assert max(map(os.path.getsize, found)) <= 60
+
+
+@pytest.mark.parametrize("cap", [9500, sinks.FILE_CAP])
+def test_lines_move_in_runs(spark, tmp_path, monkeypatch, cap):
+    """What is stored and shuffled grows with the bytes, not with the lines; long lines and order are kept."""
+    monkeypatch.setattr(sinks, "fresh_path", lambda *_: str(tmp_path / "own"))
+    text = F.repeat(F.lit("x"), F.when(F.col("id") % 1500 == 7, 9000).otherwise(20).cast("int"))
+    df = spark.range(0, 4500, 1, 4).select("id", text.alias("x"))
+    assert sinks.unload_capped(df, str(tmp_path / "out"), max_bytes=cap) == len(parts(tmp_path / "out"))
+    assert max(map(os.path.getsize, parts(tmp_path / "out"))) <= cap
+    lines = [line for p in parts(tmp_path / "out") for line in open(p).read().splitlines() if line != "id,x"]
+    assert lines == [f"{i},{'x' * (9000 if i % 1500 == 7 else 20)}" for i in range(4500)]
+    assert spark.read.parquet(str(tmp_path / "own")).count() < 150

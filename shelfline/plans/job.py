@@ -88,8 +88,8 @@ def run(spark: SparkSession, config: JobConfig) -> dict[str, str]:
 
     A run's folder is replaced as a whole (mode "overwrite") or added to; dimensions
     are always replaced, as each run delivers them whole.  The mart is built from this
-    run's day rows only; if the day table is kept, they are joined once, into a table
-    of the job's own, and both are written from there.
+    run's day rows only; if the day table is kept, they are joined once: the mart is
+    built from the kept table or, if that is added to, both from a table of the job's own.
 
     A dimension key that comes more than once would multiply the facts: it stops the
     job.  With ``rejects`` nothing in a drop does: broken lines, rows that do not parse
@@ -134,10 +134,13 @@ def run(spark: SparkSession, config: JobConfig) -> dict[str, str]:
     if config.save_daily or not config.incremental:
         cells = daily(inputs["sales"], inputs["inventory"])
     if config.save_daily:
-        own = scratch.fresh_path(spark, "cells")
-        sinks.save_table(cells, own, cluster_by=CELL[:1], sort_by=CELL)
-        cells = files.read_saved(spark, own)
+        if config.mode == "append":
+            own = scratch.fresh_path(spark, "cells")
+            sinks.save_table(cells, own, cluster_by=CELL[:1], sort_by=CELL)
+            cells = files.read_saved(spark, own)
         save(DAY_TABLE, cells, cluster_by=CELL[:1], sort_by=CELL)
+        if config.mode != "append":
+            cells = files.read_saved(spark, saved[DAY_TABLE])
     if not config.incremental:
         mart = weekly_mart(cells, inputs["calendar"], config.week_end_day)
         save(MART, mart, partition_by=WEEK[:2], sort_by=WEEK)

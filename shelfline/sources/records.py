@@ -101,14 +101,20 @@ def read_records(spark: SparkSession, path: str, table: str, options: dict[str,
     """The records of a drop, sound or broken, header lines left out; a written table.
 
     The files are scanned once.  What follows reads the written records: first which
-    files have a header (a row a file), then the records with those files' lines
-    marked.  ``raw_line`` has every undecodable byte replaced.
+    files have a header, into a table of a row a file, then the records with those files'
+    lines marked.  That table's size is known, so Spark sends it to the records and
+    no record moves for the join.  A line that its fields spell out again is not stored
+    beside them.  ``raw_line`` has every undecodable byte replaced.
     """
+    sep, names = options.get("sep", ","), schemas.columns(table)
+    spelled = F.concat_ws(sep, *[F.coalesce(n, F.lit("")) for n in names])
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias(FILE))
-    own = scratch.fresh_path(spark, f"{table}-records")
-    split_lines(lines, table, options).write.option("compression", "zstd").parquet(own)
-    records = spark.read.parquet(own)
-    headed = records.where(IS_HEADER).select(F.col(FILE).alias("_headed")).distinct()
+    own, heads = (scratch.fresh_path(spark, f"{table}-{what}") for what in ("records", "headed"))
+    found = split_lines(lines, table, options).withColumn(LINE, F.when(F.col(LINE) != spelled, F.col(LINE)))
+    found.write.option("compression", "zstd").parquet(own)
+    records = spark.read.schema(found.schema).parquet(own)
+    records.where(IS_HEADER).select(F.col(FILE).alias("_headed")).distinct().write.parquet(heads)
+    headed = spark.read.schema("_headed string").parquet(heads)
     marked = records.where(f"not {IS_HEADER}").join(headed, F.col(FILE) == F.col("_headed"), "left")
     no_header = F.when(F.col("_headed").isNull(), NO_HEADER)
-    return marked.withColumn(BROKEN, F.coalesce(BROKEN, no_header)).drop("_headed", IS_HEADER)
+    return marked.withColumns({BROKEN: F.coalesce(BROKEN, no_header), LINE: F.coalesce(LINE, spelled)}).drop("_headed", IS_HEADER)

@@ -63,15 +63,18 @@ def unload_csv(
     compression: str = "gzip",
     max_records: int = 0,
     mode: str = "overwrite",
+    contract: str | None = None,
 ) -> None:
     """Write headered CSV part files below ``path``.
 
-    Rows are rebalanced first, so one long input partition is not one writer.
+    Rows are rebalanced first, so one long input partition is not one writer; those
+    for the ``contract`` of a table take its types after that, as wide decimals are no longs.
     ``max_records`` limits the rows of a part (0: no limit); more parts mean more
     readers later, as gzip files do not split.
     """
+    df = df.hint("rebalance")
     (
-        df.hint("rebalance")
+        (schemas.to_contract(df, contract) if contract else df)
         .write.mode(mode)
         .option("header", "true")
         .option("dateFormat", "yyyy-MM-dd")
@@ -107,9 +110,12 @@ def export_snapshot(
     """
     written: list[tuple[str, int]] = []
     for table, df in tables.items():
-        rows = schemas.to_contract(as_delivered(df, table, as_of), table)
+        rows = as_delivered(df.select(*[c for c in schemas.columns(table) if c in df.columns]), table, as_of)
         seen = Observation()
-        unload = partial(unload_capped, max_bytes=max_bytes) if max_bytes else unload_csv
+        if max_bytes:
+            rows, unload = schemas.to_contract(rows, table), partial(unload_capped, max_bytes=max_bytes)
+        else:
+            unload = partial(unload_csv, contract=table)
         unload(
             rows.observe(seen, F.count(F.lit(1)).alias("rows_written")),
             location.path(table, label or as_of, dashed),

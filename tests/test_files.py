@@ -243,3 +243,37 @@ def test_a_drop_whose_parts_arrive_over_two_passes_is_whole(spark, tmp_path, mak
 def test_shared_folder_comes_from_the_session(spark):
     assert scratch.shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert scratch.fresh_path(spark, "a") != scratch.fresh_path(spark, "a")
+
+
+@pytest.mark.parametrize("mode", ["overwrite", "append"])
+def test_kept_day_rows_are_written_once_unless_added_to(spark, make, tmp_path, monkeypatch, mode):
+    """The mart is built from the kept day table; where that holds other runs' rows too, from a copy of this run's."""
+    place = Location(str(tmp_path / "in"))
+    dims = {t: spark.createDataFrame([(1,)], f"{schemas.KEYS[t][0]} int") for t in ("product", "store")}
+    facts = {"sales": make.sales(("2021-01-04", 1, 1, 2, 10)), "inventory": make.stock(("2021-01-05", 1, 1, 3, False))}
+    sinks.export_snapshot({**facts, "calendar": make.calendar(), **dims}, place, RUN.replace(year=2021))
+    labels, fresh = [], scratch.fresh_path
+    monkeypatch.setattr(scratch, "fresh_path", lambda spark, label: labels.append(label) or fresh(spark, label))
+    for nth in (1, 2):
+        saved = job.run(spark, job.JobConfig(RUN.replace(year=2021), place.base, str(tmp_path / "out"), mode=mode, save_daily=True))
+        times = nth if mode == "append" else 1
+        assert files.read_saved(spark, saved[job.DAY_TABLE]).count() == 2 * times
+        assert [r.wk_sales_qty for r in files.read_saved(spark, saved[job.MART]).collect()] == [2] * times
+    assert labels == (["cells"] * 2 if mode == "append" else [])
+
+
+def test_exported_rows_move_before_they_take_contract_types(spark, make, tmp_path, monkeypatch):
+    """A decimal of 38 digits is no longer one long; columns that no contract has do not move at all."""
+    moved, to_contract = [], schemas.to_contract
+
+    def seen(df, table):
+        moved.append((df._jdf.queryExecution().optimizedPlan().toString(), df.columns))
+        return to_contract(df, table)
+
+    monkeypatch.setattr(schemas, "to_contract", seen)
+    stock = make.stock(("2021-01-04", 1, 1, 3, False)).withColumn("note", F.lit("x"))
+    sinks.export_snapshot({"inventory": stock}, Location(str(tmp_path)), RUN.replace(year=2021), compression="none")
+    ((plan, columns),) = moved
+    assert plan.startswith("Rebalance") and "note" not in columns
+    (row,) = files.read_csv(spark, str(tmp_path / f"inventory_{RUN.replace(year=2021):%Y%m%d}.csv.gz"), "inventory").collect()
+    assert (row.prod_key, row.inventory_on_hand_qty, row.out_of_stock_flg, row.waste_qty) == (1, 3, False, None)

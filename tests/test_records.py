@@ -1,6 +1,7 @@
 """Malformed lines and repeated dimension keys."""
 
 import gzip
+import hashlib
 import os
 import re
 
@@ -120,6 +121,34 @@ def test_empty_drop(spark, tmp_path):
     assert read(spark, write(tmp_path / "q.csv")).count() == 0
 
 
+def test_no_record_moves_to_learn_of_its_header(spark, tmp_path, capsys):
+    """Files with a header are few, so the join is no shuffle even of records over the broadcast threshold."""
+    path = write(tmp_path / "p.csv", HEADER, *[f"{i},{hashlib.sha256(str(i).encode()).hexdigest()},{TAIL}" for i in range(5_000)])
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "64k")
+    try:
+        rows = read(spark, path)
+        capsys.readouterr()
+        rows.explain()
+        plan = capsys.readouterr().out
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        assert rows.where(f"{records.BROKEN} is null").count() == 5_000
+        spark.conf.set(key, "-1")  # a list of files over the threshold
+        assert read(spark, path).where(f"{records.BROKEN} is null").count() == 5_000
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_a_line_that_its_fields_spell_out_is_stored_once(spark, tmp_path):
+    """Others are kept as they came: quotes, white space, nulls that are written out, broken lines."""
+    plain = [f"1,a,{TAIL}", f"2,,{TAIL}", ",,,,,,,,,,", f"3, a ,{TAIL}"]
+    other = [f'4,"a",{TAIL}', f'5,"",{TAIL}', f"6,\\N,{TAIL}", "7,a", f"8,a,{TAIL},", f'9,"a,{TAIL}', ","]
+    rows = read(spark, write(tmp_path / "p.csv", HEADER, *plain, *other), nullValue="\\N")
+    assert sorted(r[records.LINE] for r in rows.collect()) == sorted(plain + other)
+    stored = spark.read.parquet(*[f for f in rows.inputFiles() if "product-records" in f])
+    assert {r[records.LINE] for r in stored.collect()} == {None, *other}
+
+
 @pytest.fixture
 def landed(spark, tmp_path, sample_dir):
     """A whole landing with the product file given as text."""

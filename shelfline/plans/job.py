@@ -116,7 +116,7 @@ def run(spark: SparkSession, config: JobConfig) -> dict[str, str]:
             )
             for t, df in checked.items()
         ]
-        save(REJECTS, functools.reduce(DataFrame.unionByName, bad), partition_by=("table_name",))
+        save(REJECTS, functools.reduce(DataFrame.unionByName, bad), partition_by=("table_name",), spread_by=(records.LINE,))
         save(REPEATED, quality.repeated_keys(inputs["inventory"], STOCK_KEY))
     else:
         inputs = read_inputs(spark, config)

@@ -31,6 +31,7 @@ def save_table(
     partition_by: Sequence[str] = (),
     cluster_by: Sequence[str] = (),
     sort_by: Sequence[str] = (),
+    spread_by: Sequence[str] = (),
     compression: str = "zstd",
     mode: str = "overwrite",
     replace_partitions: bool = False,
@@ -41,11 +42,14 @@ def save_table(
     the same files.  Rows are rebalanced on those columns: adaptive execution alone
     decides the number of files, splits a large partition over several tasks and
     merges small ones.  Sorting comes after the shuffle, so files really are sorted.
+    It splits no finer than the tasks that sent the rows, so of few and very large
+    partitions these can be too much for a task to sort; ``spread_by`` deals their rows
+    by more columns, at the price of a file for every partition a task has rows of.
     With ``mode`` "overwrite" the whole folder is replaced, or with
     ``replace_partitions`` only the partitions that the rows belong to.
     """
     by = [*partition_by, *cluster_by]
-    df = df.hint("rebalance", *by)
+    df = df.hint("rebalance", *by, *spread_by)
     order = list(dict.fromkeys([*by, *sort_by]))
     if order:
         df = df.sortWithinPartitions(*order)

@@ -187,3 +187,16 @@ def test_rerun_in_append_mode_holds_each_dimension_once(spark, landed, tmp_path)
     assert files.read_saved(spark, saved["product"]).count() == 59
     mart = files.read_saved(spark, saved[job.MART])
     assert mart.count() == 2 * mart.distinct().count()
+
+
+def test_many_rejects_of_one_file_are_written_by_several_tasks(spark, landed, tmp_path):
+    """Rejects of a table are one partition of the write, which splits no finer than the task that found them."""
+    place, _, product = landed
+    broken = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(60_000)]
+    path = product(*broken)
+    with gzip.open(path + ".gz", "wb") as f, open(path, "rb") as plain:
+        f.write(plain.read())
+    saved = job.run(spark, job.JobConfig(RUN, place.base, str(tmp_path / "out"), rejects=True))
+    rejects = files.read_saved(spark, saved[job.REJECTS])
+    assert sorted(r[records.LINE] for r in rejects.collect()) == sorted(broken)
+    assert rejects.columns[-1] == "table_name" and len(rejects.inputFiles()) > 1
